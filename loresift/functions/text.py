@@ -34,8 +34,8 @@ def split_identifiers(text: Column) -> Column:
 
 def expand_identifiers(text: Column) -> Column:
     """The text, followed by its split form on a new line when that differs."""
-    split = split_identifiers(text)
-    return F.when(split != text, F.concat(text, F.lit("\n"), split)).otherwise(text)
+    # distinct over the pair names the split once, so it is computed once
+    return F.array_join(F.array_distinct(F.array(text, split_identifiers(text))), "\n")
 
 
 def not_blank(text: Column) -> Column:

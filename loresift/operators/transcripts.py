@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loresift.functions.once import computed_once
 from loresift.functions.paths import project_label
 from loresift.functions.since import rfc3339
 from loresift.functions.text import not_blank
@@ -56,7 +57,7 @@ def extract_documents(lines: DataFrame) -> DataFrame:
 
     Lines that are no JSON, or hold no text, give no document.
     """
-    parsed = lines.withColumn("record", F.try_parse_json("line")).filter(F.col("record").isNotNull())
+    parsed = computed_once(lines, record=F.try_parse_json("line")).filter(F.col("record").isNotNull())
     record = F.col("record")
     fields = parsed.select(
         F.coalesce(string_at(record, "$.sessionId"), F.lit("")).alias("session_id"),
@@ -69,7 +70,7 @@ def extract_documents(lines: DataFrame) -> DataFrame:
         F.col("event_index").cast("bigint").alias("event_index"),
         "record",
     )
-    texts = fields.withColumn("text", record_text(record, F.col("event_role"))).drop("record")
+    texts = computed_once(fields, text=record_text(record, F.col("event_role")))
     return texts.filter(not_blank(F.col("text"))).select(*TRANSCRIPT_SCHEMA.fieldNames())
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loresift.functions.once import computed_once
 from loresift.operators import postings as build
+from loresift.operators.skew import spread_small
 from loresift.schema import Corpus
 
 
@@ -22,7 +24,7 @@ class DocumentScan:
 
     def __init__(self, corpus: Corpus, documents: DataFrame):
         self.corpus = corpus
-        self._documents = documents
+        self._documents = spread_small(documents, list(corpus.keys))
 
     def documents(self) -> DataFrame:
         return self._documents
@@ -38,8 +40,10 @@ class DocumentScan:
 
     def dictionary_of(self, terms: DataFrame) -> DataFrame:
         """``(scope, term, df)`` of the terms in a one-column table."""
+        # the outer form, since the plain one has a size test pushed below the
+        # tokeniser, which would then run twice
         each = build.tokenized(self._documents, self.corpus).select(
-            *self.corpus.scope, F.explode(F.array_distinct("tokens")).alias("term")
+            *self.corpus.scope, F.explode_outer(F.array_distinct("tokens")).alias("term")
         )
         return build.dictionary(each.join(terms, "term", "left_semi"), self.corpus.scope)
 
@@ -62,9 +66,7 @@ class DocumentScan:
                 columns.append(_positions(term).alias(f"pos_{i}"))
             columns.append((F.col("dl") - F.size(F.array_remove("tokens", term))).alias(f"tf_{i}"))
         found = build.tokenized(self._documents.filter(where), self.corpus)
-        # An array of one struct, exploded: keeps the later match test from
-        # being pushed below the tokeniser, which would then run twice.
-        once = found.select(*self._documents.columns, F.inline(F.array(F.struct("tokens", "dl"))))
+        once = computed_once(found, tokens=F.col("tokens"), dl=F.col("dl"))
         return once.select(*self._documents.columns, "dl", *columns)
 
     def with_documents(self, hits: DataFrame, hits_bounded: bool) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loresift.functions.paths import all_of
 from loresift.operators import postings as build
-from loresift.operators.skew import salted_join
+from loresift.operators.skew import salted_join, spread_small
 from loresift.schema import CODE, TRANSCRIPTS, Corpus
 from loresift.session import configure
 
@@ -88,7 +88,8 @@ class StoredIndex:
         self._write(self._with_unit(documents), f"{base}/documents", unit, list(self.corpus.keys))
         stored = self._read("documents", base)
         extra = tuple(c for c in unit if c not in self.corpus.filterable)
-        rows = self.with_term_bucket(build.postings(stored, self.corpus, extra))
+        spread = spread_small(stored, list(self.corpus.keys))
+        rows = self.with_term_bucket(build.postings(spread, self.corpus, extra))
         self._write(rows, f"{base}/postings", [*unit, "term_bucket"], ["term", *self.corpus.keys])
         posted = self._read("postings", base)
         terms = build.dictionary(posted, (*unit, "term_bucket"))
