@@ -15,11 +15,13 @@ import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loresift.functions import text as text_functions
 from loresift.operators import clauses
 from loresift.operators.batch import batch_search
 from loresift.operators.search import search
+from loresift.operators.skew import spread_small
 from loresift.operators.transcripts import extract_documents
 from loresift.plans.scan import DocumentScan
 from loresift.plans.store import StoredIndex
@@ -52,14 +54,15 @@ def jobs(spark: SparkSession, folder: str) -> dict:
     def words(text):
         return lambda: clauses.words(spark, text)
 
-    def many(corpus):
-        return lambda: drain(batch_search(indexes[corpus.name], fixtures.query_table(spark, folder)))
+    def many(corpus, **columns):
+        asked = fixtures.query_table(spark, folder).withColumns(columns)
+        return lambda: drain(batch_search(indexes[corpus.name], asked))
 
     def boolean():
         return clauses.boolean(spark, [("any", ["the", "of the"]), ("any", ["aning", "als"])])
 
     scan = DocumentScan(CODE, fixtures.code(spark, folder))
-    documents = fixtures.table(spark, folder, "documents")
+    documents = spread_small(fixtures.table(spark, folder, "documents"), ["doc_id"])
     return {
         "transcript_extract": (lambda: drain(extract_documents(fixtures.transcript_lines(spark, folder))), 3),
         "identifier_expand": (
@@ -78,7 +81,8 @@ def jobs(spark: SparkSession, folder: str) -> dict:
         "search_repo": (stored(CODE, words("that estion"), equals={"repo": "src3", "language": "en"}), 5),
         "scan_search_code": (lambda: search(scan, "that estion ndat").collect(), 3),
         "batch_search_transcripts": (many(TRANSCRIPTS), 3),
-        "batch_search_code": (many(CODE), 3),
+        "batch_search_repo": (many(CODE, repo=F.concat(F.lit("src"), F.col("query_id") % 20)), 3),
+        "batch_search_all_repos": (many(CODE), 3),
         "replace_file": (lambda: drain(QUERIES["replace_file"](spark, folder)), 1),
         "ignore_filter": (lambda: drain(QUERIES["ignore_filter"](spark, folder)), 3),
         "stream_debounce": (lambda: drain(QUERIES["stream_debounce"](spark, folder)), 1),

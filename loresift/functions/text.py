@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 # The token class (letters and numbers; everything else separates).
 TOKEN_PATTERN = r"[\p{IsAlphabetic}\p{N}]+"
 
-# Places where an identifier is broken up. Lower to upper case,
-# digit to letter, letter to digit, and before the last capital of a run of
-# capitals when lower case follows; that last rule wants two capitals before
-# the break, or one if it opens the text.
+# Places where an identifier is broken up. Lower to upper case;
+# before the last capital of a run of capitals when lower case follows, which
+# wants two capitals before the break, or one if it opens the text; digit to
+# letter; letter to digit. The cheapest test of each comes first, since nearly
+# every position fails it.
 IDENTIFIER_BREAKS = "|".join(
     [
-        r"(?<=\p{IsLowercase})(?=\p{IsUppercase})",
+        r"(?=\p{IsUppercase})(?:(?<=\p{IsLowercase})"
+        r"|(?:(?<=\p{IsUppercase}\p{IsUppercase})|(?<=\A\p{IsUppercase}))(?=.\p{IsLowercase}))",
         r"(?<=[0-9])(?=\p{IsAlphabetic})",
-        r"(?<=\p{IsAlphabetic})(?=[0-9])",
-        r"(?:(?<=\p{IsUppercase}\p{IsUppercase})|(?<=\A\p{IsUppercase}))(?=\p{IsUppercase}\p{IsLowercase})",
+        r"(?=[0-9])(?<=\p{IsAlphabetic})",
     ]
 )
 

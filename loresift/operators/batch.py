@@ -87,7 +87,9 @@ def batch_search(index, queries: DataFrame, match: str = ANY, now: datetime | No
         *([F.count_if(F.col("q_repo").isNull()).alias("open")] if "repo" in options else []),
     ).first()
     one_scope = not scope or ("repo" in options and size["open"] == 0)
-    small_clauses = one_scope and size["n"] <= BROADCAST_ROWS
+    # a clause term has at most one row per scope it is asked in
+    n_scopes = 1 if one_scope else index.count_scopes()
+    small_clauses = n_scopes is not None and size["n"] * n_scopes <= BROADCAST_ROWS
     small_hits = size["n_queries"] * MAX_LIMIT <= BROADCAST_ROWS
 
     weighted = _weighted(index, clauses)

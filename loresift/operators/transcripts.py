@@ -10,6 +10,7 @@ from loresift.functions.paths import project_label
 from loresift.functions.since import rfc3339
 from loresift.functions.text import not_blank
 from loresift.functions.variant import is_string, string_at
+from loresift.operators.skew import spread_small
 from loresift.schema import TRANSCRIPT_SCHEMA
 from loresift.sources.jsonl import read_lines
 
@@ -57,7 +58,8 @@ def extract_documents(lines: DataFrame) -> DataFrame:
 
     Lines that are no JSON, or hold no text, give no document.
     """
-    parsed = computed_once(lines, record=F.try_parse_json("line")).filter(F.col("record").isNotNull())
+    spread = spread_small(lines, ["file_path", "event_index"])
+    parsed = computed_once(spread, record=F.try_parse_json("line")).filter(F.col("record").isNotNull())
     record = F.col("record")
     fields = parsed.select(
         F.coalesce(string_at(record, "$.sessionId"), F.lit("")).alias("session_id"),

@@ -35,6 +35,10 @@ class DocumentScan:
     def with_term_bucket(self, rows: DataFrame) -> DataFrame:
         return rows  # nothing is stored by term
 
+    def count_scopes(self) -> int | None:
+        """Number of statistics scopes, None where only a pass over the documents could tell."""
+        return None if self.corpus.scope else 1
+
     def stats(self) -> DataFrame:
         return build.corpus_stats(self._documents, self.corpus)
 

@@ -143,6 +143,10 @@ class StoredIndex:
     def with_term_bucket(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("term_bucket", build.term_bucket(F.col("term"), self.term_buckets))
 
+    def count_scopes(self) -> int | None:
+        """Number of statistics scopes; the table read for it has a row per unit."""
+        return self.stats().count()
+
     def stats(self) -> DataFrame:
         return self._read("stats").groupBy(*self.corpus.scope).agg(
             F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loresift.functions.paths import from_uri
@@ -16,11 +16,9 @@ def _usable(lines: DataFrame) -> DataFrame:
 
     Lines are numbered before this, so the ones left out still count.
     """
-    return (
-        lines.withColumn("line", F.regexp_replace("line", "\r$", ""))
-        .filter(F.is_valid_utf8("line") & F.col("line").rlike(r"(?U)\S"))
-        .select("file_path", "event_index", "line")
-    )
+    usable = lines.filter(F.is_valid_utf8("line") & F.col("line").rlike(r"(?U)\S"))
+    # after the test: a replacement would turn bad bytes into good ones
+    return usable.select("file_path", "event_index", F.regexp_replace("line", "\r$", "").alias("line"))
 
 
 def _reader(spark: SparkSession, root: str, **options):
@@ -28,12 +26,21 @@ def _reader(spark: SparkSession, root: str, **options):
     return reader.text(root, **options).withColumn("file_uri", F.col("_metadata.file_path"))
 
 
+def _lines(text: Column) -> Column:
+    """Lines of a text. Splitting would mend bad bytes all over the text, so a
+    text with bad bytes is split byte by byte and its good lines stay usable.
+    """
+    bytewise = F.split(F.decode(text.cast("binary"), "ISO-8859-1"), "\n")
+    restored = F.transform(bytewise, lambda line: F.encode(line, "ISO-8859-1").cast("string"))
+    return F.when(F.is_valid_utf8(text), F.split(text, "\n")).otherwise(restored)
+
+
 def split_lines(texts: DataFrame, content: str = "value") -> DataFrame:
     """Numbered lines of whole files held in one column: no shuffle."""
     return _usable(
         texts.select(
             "file_path",
-            F.posexplode(F.split(F.col(content), "\n")).alias("event_index", "line"),
+            F.posexplode(_lines(F.col(content))).alias("event_index", "line"),
         ).withColumn("event_index", F.col("event_index").cast("bigint"))
     )
 
