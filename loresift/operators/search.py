@@ -105,24 +105,10 @@ def rank(
     corpus: Corpus = index.corpus
     where = filters(corpus, since, now, equals, ranges)
     found, frequencies = match_rows(index, query, where)
-    single_scope = _scope_condition(corpus, equals)
-    one_scope = not corpus.scope or single_scope is not None
-    stats = index.term_stats(query.terms, single_scope)
-    columns = ["n_docs", "avg_dl", *[f"df_{i}" for i in range(len(query.terms))]]
-    if one_scope:
-        # one row of statistics: a scalar subquery, no join
-        value = F.lit(None) if not query.terms else stats.select(F.struct(*columns)).scalar()
-        found = found.withColumn("stats", value)
-    else:
-        packed = stats.select(*corpus.scope, F.struct(*columns).alias("stats"))
-        found = found.join(packed, list(corpus.scope))
-    if not query.terms:
-        scored = found.drop("stats").withColumn("score", F.lit(0.0))
+    if query.terms:
+        scored = _scored(index, query, found, frequencies, _scope_condition(corpus, equals))
     else:
-        stat = F.col("stats")
-        idf = {t: bm25.idf(stat["n_docs"], stat[f"df_{i}"]) for i, t in enumerate(query.terms)}
-        value = clauses.score(query, frequencies, F.col("dl"), stat["avg_dl"], idf)
-        scored = found.withColumn("score", bm25.reported(value)).drop("stats")
+        scored = found.withColumn("score", F.lit(0.0))  # nothing matches
     inner = [c for c in scored.columns if c == "dl" or c.startswith("clause_")]
     order = [F.desc("score"), *corpus.keys]
     top = scored.drop(*inner).orderBy(*order).limit(clamp_limit(limit))
@@ -131,6 +117,24 @@ def rank(
     return full if full is top else full.orderBy(*order).limit(clamp_limit(limit))
 
 
+def _scored(
+    index, query: TextQuery, found: DataFrame, frequencies: list[list[Column]], one_scope: Column | None
+) -> DataFrame:
+    """Add ``score``, from the statistics of each document's scope."""
+    scope = list(index.corpus.scope)
+    stats = index.term_stats(query.terms, one_scope)
+    packed = F.struct("n_docs", "avg_dl", *[f"df_{i}" for i in range(len(query.terms))])
+    if not scope or one_scope is not None:
+        # one row of statistics: a scalar subquery, no join
+        found = found.withColumn("stats", stats.select(packed).scalar())
+    else:
+        found = found.join(stats.select(*scope, packed.alias("stats")), scope)
+    stat = F.col("stats")
+    idf = {t: bm25.idf(stat["n_docs"], stat[f"df_{i}"]) for i, t in enumerate(query.terms)}
+    value = clauses.score(query, frequencies, F.col("dl"), stat["avg_dl"], idf)
+    return found.withColumn("score", bm25.reported(value)).drop("stats")
+
+
 def present(ranked: DataFrame, corpus: Corpus, raw: Column, *leading: str) -> DataFrame:
     """Public columns of ranked documents, after the ``leading`` ones."""
     excerpt = snippet(F.col(corpus.text), raw, corpus.snippet_chars).alias("snippet")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from loresift.schema import CODE_SCHEMA, TRANSCRIPT_SCHEMA
 
@@ -17,7 +17,7 @@ def talk(spark, texts, path="/t/-Users-u-demo/a.jsonl", **overrides):
             "session_id": "s",
             "project": "Users/u/demo",
             "event_role": "user",
-            "timestamp": datetime(2024, 1, 1, 0, i, tzinfo=timezone.utc),
+            "timestamp": datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(minutes=i),
             "cwd": None,
             "git_branch": None,
             "file_path": path,
