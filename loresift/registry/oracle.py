@@ -372,7 +372,7 @@ ORACLE = {
     "burst_batch": f"WITH {CHANGES} SELECT file_path, first_change, last_change, n_changes FROM bursts",
     "stream_debounce": f"""
     WITH {CHANGES} SELECT file_path, first_change, last_change, n_changes FROM bursts
-    WHERE last_change + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 SECOND FROM changes)""",
+    WHERE last_change + INTERVAL 6 HOUR - INTERVAL 1 MICROSECOND <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 SECOND FROM changes)""",
     "stream_upsert": """
     WITH kept AS (SELECT *, '/t/-docs-' || source || '/' || doc_id || '.jsonl' AS file_path FROM documents WHERE doc_id % 5 <> 0)
     SELECT file_path, CAST(0 AS BIGINT) AS event_index, 'docs/' || source AS project,

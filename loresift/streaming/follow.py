@@ -33,7 +33,10 @@ def quiet_files(changes: DataFrame, quiet: str = QUIET, late: str = "10 seconds"
     and on a table alike.
     """
     bursts = changes.withWatermark("ts", late) if changes.isStreaming else changes
-    grouped = bursts.groupBy("file_path", F.session_window("ts", quiet).alias("burst"))
+    # session windows that touch are merged, yet a file quiet for exactly this
+    # long is due; the smallest unit of time less keeps the two apart
+    window = F.session_window("ts", f"{quiet} -1 microseconds").alias("burst")
+    grouped = bursts.groupBy("file_path", window)
     return grouped.agg(F.max("ts").alias("last_change"), F.count("*").alias("n_changes")).select(
         "file_path", F.col("burst.start").alias("first_change"), "last_change", "n_changes"
     )

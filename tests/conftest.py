@@ -18,7 +18,9 @@ def spark(tmp_path_factory):
         **{
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
-            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.shuffle.partitions": "4",
+            # short jobs: quick compilation counts for more than fast code
+            "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",
             "spark.driver.memory": "8g",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
