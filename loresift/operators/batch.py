@@ -78,19 +78,21 @@ def batch_search(index, queries: DataFrame, match: str = ANY, now: datetime | No
     asked = asked.withColumnsRenamed({c: f"q_{c}" for c in options})
 
     clauses = query_clauses(asked.drop("limit"), match)
-    # How many rows the clause side can have, whether there are phrases, and
-    # how many queries: decides the join strategies below.
+    limit = F.col("limit") if "limit" in queries.columns else F.lit(None).cast("int")
+    wanted = F.least(F.greatest(F.coalesce(limit, F.lit(DEFAULT_LIMIT)), F.lit(1)), F.lit(MAX_LIMIT))
+    asked_for = queries.select("query_id", "query", wanted.alias("wanted"))
+    # How many rows the clauses and the hits can have at most, and whether
+    # there are phrases: decides the join strategies below.
     size = clauses.agg(
         F.count("*").alias("n"),
         F.coalesce(F.max("width"), F.lit(1)).alias("width"),
-        F.count_distinct("query_id").alias("n_queries"),
         *([F.count_if(F.col("q_repo").isNull()).alias("open")] if "repo" in options else []),
     ).first()
     one_scope = not scope or ("repo" in options and size["open"] == 0)
     # a clause term has at most one row per scope it is asked in
     n_scopes = 1 if one_scope else index.count_scopes()
     small_clauses = n_scopes is not None and size["n"] * n_scopes <= BROADCAST_ROWS
-    small_hits = size["n_queries"] * MAX_LIMIT <= BROADCAST_ROWS
+    small_hits = (asked_for.agg(F.sum("wanted")).first()[0] or 0) <= BROADCAST_ROWS
 
     weighted = _weighted(index, clauses)
     if "repo" in options and scope:
@@ -142,9 +144,6 @@ def batch_search(index, queries: DataFrame, match: str = ANY, now: datetime | No
     )
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), *keys)
     top = scored.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= MAX_LIMIT)
-    wanted = F.least(F.greatest(F.coalesce(F.col("limit"), F.lit(DEFAULT_LIMIT)), F.lit(1)), F.lit(MAX_LIMIT))
-    asked_for = queries.select("query_id", "query", wanted.alias("wanted") if "limit" in queries.columns
-                               else F.lit(DEFAULT_LIMIT).alias("wanted"))
     top = top.join(asked_for, "query_id").filter(F.col("rank") <= F.col("wanted")).drop("wanted")
     full = index.with_documents(top, hits_bounded=small_hits)
     return present(full, corpus, F.col("query"), "query_id", "rank")

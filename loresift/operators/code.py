@@ -23,6 +23,8 @@ def build_documents(files: DataFrame, repo: str, branch: str = "unknown", commit
 
     The size kept is that of the file, not of the expanded text.
     """
+    if not repo or not branch:
+        raise ValueError("repository and branch need a name")  # they name storage folders
     text = files.withColumn("content", F.col("content").cast("string")).filter(F.is_valid_utf8("content"))
     return text.select(
         F.lit(repo).alias("repo"),

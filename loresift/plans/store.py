@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,9 +58,8 @@ class StoredIndex:
     ) -> StoredIndex:
         """Write a new index of ``documents`` below ``root``."""
         index = cls(documents.sparkSession, root, corpus, doc_buckets, term_buckets)
-        settings = [(corpus.name, doc_buckets, term_buckets)]
-        schema = "corpus string, doc_buckets int, term_buckets int"
-        index.spark.createDataFrame(settings, schema).coalesce(1).write.json(f"{index.root}/settings")
+        settings = {"corpus": [corpus.name], "doc_buckets": [doc_buckets], "term_buckets": [term_buckets]}
+        index.spark.createDataFrame(pa.table(settings)).coalesce(1).write.json(f"{index.root}/settings")
         index._write_tables(documents, index.root)
         return index
 
@@ -286,9 +286,12 @@ class StoredIndex:
         pending = f"{self.root}/_pending/{uuid.uuid4().hex}"
         self._write_tables(documents, pending)
         folders = [(table, self._unit_folder(u)) for table in TABLES for u in units]
-        moves = [(table, folder, self._exists(f"{pending}/{table}/{folder}")) for table, folder in folders]
-        schema = "table string, folder string, has_rows boolean"
-        self.spark.createDataFrame(moves, schema).coalesce(1).write.json(f"{pending}/exchange")
+        moves = {
+            "table": [table for table, _ in folders],
+            "folder": [folder for _, folder in folders],
+            "has_rows": [self._exists(f"{pending}/{table}/{folder}") for table, folder in folders],
+        }
+        self.spark.createDataFrame(pa.table(moves)).coalesce(1).write.json(f"{pending}/exchange")
         self._exchange(pending)
 
     def finish_pending(self) -> None:

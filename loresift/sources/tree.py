@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 FORMAT = "loresift_tree"
@@ -111,10 +110,14 @@ def read_contents(files: DataFrame, root: str) -> DataFrame:
     """Add the bytes of each listed file as ``content``; unreadable files drop out.
 
     The listing is spread out by path first: one directory may hold most of
-    the files, and listing tasks are per directory.
+    the files, and listing tasks are per directory. The number of tasks is
+    given, as the adaptive planner would go by the size of the paths alone and
+    leave all the reading to a few tasks.
     """
     columns = files.columns
-    spread = files.repartition(F.col("path"))
+    session = files.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    spread = files.repartition(tasks, "path")
     schema = ", ".join(f"`{n}` {t}" for n, t in spread.dtypes) + ", content binary"
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,8 +19,9 @@ def spark(tmp_path_factory):
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.sql.shuffle.partitions": "4",
-            # short jobs: quick compilation counts for more than fast code
+            # short jobs on tiny tables: compiling costs more than it gains
             "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",
+            "spark.sql.codegen.wholeStage": "false",
             "spark.driver.memory": "8g",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
