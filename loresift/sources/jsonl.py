@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loresift.functions.paths import from_uri
+from loresift.sources.tree import as_uri, read_contents, with_sizes
 
 #: Files up to this size are read one per row; longer ones are split.
 WHOLE_FILE_BYTES = 64 * 1024 * 1024
@@ -21,9 +22,9 @@ def _usable(lines: DataFrame) -> DataFrame:
     return usable.select("file_path", "event_index", F.regexp_replace("line", "\r$", "").alias("line"))
 
 
-def _reader(spark: SparkSession, root: str, **options):
+def _reader(spark: SparkSession, paths: str | list[str], **options):
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
-    return reader.text(root, **options).withColumn("file_uri", F.col("_metadata.file_path"))
+    return reader.text(paths, **options).withColumn("file_uri", F.col("_metadata.file_path"))
 
 
 def _lines(text: Column) -> Column:
@@ -50,14 +51,14 @@ def _small_files(spark: SparkSession, root: str, limit: int) -> DataFrame:
     return split_lines(whole.withColumn("file_path", from_uri(F.col("file_uri"))))
 
 
-def _large_files(spark: SparkSession, root: str, limit: int) -> DataFrame:
+def _large_files(spark: SparkSession, paths: str | list[str], limit: int) -> DataFrame:
     """Numbered lines of files that several tasks read together.
 
     Each task numbers the lines of its block; the blocks' line counts, one row
     per block, are summed up along the file to place the block.
     """
     lines = (
-        _reader(spark, root, lineSep="\n")
+        _reader(spark, paths, lineSep="\n")
         .filter(F.col("_metadata.file_size") > limit)
         .select(
             from_uri(F.col("file_uri")).alias("file_path"),
@@ -86,6 +87,22 @@ def read_lines(spark: SparkSession, root: str, whole_file_bytes: int = WHOLE_FIL
     return _small_files(spark, root, whole_file_bytes).unionByName(_large_files(spark, root, whole_file_bytes))
 
 
+def read_lines_of(files: DataFrame, root: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """Numbered lines of the files named in ``file_path`` that still exist below ``root``.
+
+    Only the names of files too large for a row come to the driver, which
+    hands them to the reader that splits them.
+    """
+    sized = with_sizes(files.select("file_path", F.col("file_path").alias("path")), root)
+    is_small = F.col("size_bytes") <= whole_file_bytes
+    contents = read_contents(sized.filter(is_small), root)
+    lines = split_lines(contents.select("file_path", F.col("content").cast("string").alias("value")))
+    large = [as_uri(row["path"], root) for row in sized.filter(~is_small).select("path").collect()]
+    if large:
+        lines = lines.unionByName(_large_files(files.sparkSession, large, whole_file_bytes))
+    return lines
+
+
 def list_transcripts(spark: SparkSession, root: str) -> DataFrame:
     """``(file_path, mtime, size_bytes)`` of the transcript files; contents are not read."""
     files = (

@@ -106,6 +106,27 @@ def list_tree(spark: SparkSession, root: str, partitions: int = DEFAULT_PARTITIO
     return spark.read.format(FORMAT).option("root", root).option("partitions", partitions).load()
 
 
+def with_sizes(files: DataFrame, root: str) -> DataFrame:
+    """Add ``size_bytes`` to rows with a ``path``; rows whose file is gone drop out."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in files.dtypes) + ", size_bytes bigint"
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, _ = _open(root)
+        for batch in batches:
+            found = filesystem.get_file_info(batch.column("path").to_pylist())
+            kept = [row for row, info in enumerate(found) if info.type == fs.FileType.File]
+            sizes = pa.array([found[row].size for row in kept], pa.int64())
+            yield _with_column(batch, kept, "size_bytes", sizes)
+
+    return files.mapInArrow(look, schema)
+
+
+def as_uri(path: str, root: str) -> str:
+    """A listed path as Spark's readers take it: with the scheme and host of the root."""
+    scheme, mark, rest = root.partition("://")
+    return f"{scheme}://{rest.split('/', 1)[0]}{path}" if mark else path
+
+
 def read_contents(files: DataFrame, root: str) -> DataFrame:
     """Add the bytes of each listed file as ``content``; unreadable files drop out.
 
@@ -134,15 +155,15 @@ def read_contents(files: DataFrame, root: str) -> DataFrame:
                 contents.append(data)
                 held += len(data)
                 if held >= _BATCH_BYTES:
-                    yield _with_contents(batch, kept, contents)
+                    yield _with_column(batch, kept, "content", pa.array(contents, pa.binary()))
                     kept, contents, held = [], [], 0
             if kept:
-                yield _with_contents(batch, kept, contents)
+                yield _with_column(batch, kept, "content", pa.array(contents, pa.binary()))
 
     return spread.mapInArrow(load, schema).select(*columns, "content")
 
 
-def _with_contents(batch: pa.RecordBatch, kept: list[int], contents: list[bytes]) -> pa.RecordBatch:
+def _with_column(batch: pa.RecordBatch, kept: list[int], name: str, values: pa.Array) -> pa.RecordBatch:
     taken = pa.Table.from_batches([batch]).take(pa.array(kept, pa.int64()))
-    columns = [column.combine_chunks() for column in taken.columns] + [pa.array(contents, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=[*taken.column_names, "content"])
+    columns = [column.combine_chunks() for column in taken.columns] + [values]
+    return pa.RecordBatch.from_arrays(columns, names=[*taken.column_names, name])

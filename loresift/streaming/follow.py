@@ -7,14 +7,15 @@ whatever notices them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from loresift.operators.transcripts import extract_documents
 from loresift.plans.store import StoredIndex
-from loresift.sources.jsonl import split_lines
-from loresift.sources.tree import read_contents
+from loresift.sources.jsonl import read_lines_of, split_lines
 
 # Change kinds that matter, and how long a file must be quiet.
 KINDS = ("create", "modify", "remove")
@@ -58,15 +59,26 @@ def apply_versions(index: StoredIndex, versions: DataFrame) -> None:
 def reindex_paths(index: StoredIndex, due: DataFrame, root: str) -> None:
     """Reindex the files in ``due`` from storage; those that are gone are dropped."""
     paths = due.select("file_path").distinct()
-    contents = read_contents(paths.withColumn("path", F.col("file_path")), root)
-    texts = contents.select("file_path", F.col("content").cast("string").alias("value"))
-    index.replace_files(extract_documents(split_lines(texts)), paths)
+    index.replace_files(extract_documents(read_lines_of(paths, root)), paths)
+
+
+def _each_batch(job: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """Run ``job`` on a micro-batch that is kept while it is used several times."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        try:
+            job(kept)
+        finally:
+            kept.unpersist()
+
+    return run
 
 
 def follow_versions(index: StoredIndex, changes: DataFrame) -> DataStreamWriter:
     """Stream of file versions into the index, one replacement per micro-batch."""
     wanted = transcript_changes(changes)
-    return wanted.writeStream.foreachBatch(lambda batch, batch_id: apply_versions(index, batch))
+    return wanted.writeStream.foreachBatch(_each_batch(lambda batch: apply_versions(index, batch)))
 
 
 def follow_files(
@@ -75,5 +87,5 @@ def follow_files(
     """Stream of change notices into the index; files are read once they are quiet."""
     due = quiet_files(transcript_changes(changes), quiet, late)
     return due.writeStream.outputMode("append").foreachBatch(
-        lambda batch, batch_id: reindex_paths(index, batch, root)
+        _each_batch(lambda batch: reindex_paths(index, batch, root))
     )

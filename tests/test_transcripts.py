@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loresift.operators.transcripts import extract_documents
-from loresift.sources.jsonl import list_transcripts, read_lines, split_lines
+from loresift.sources.jsonl import list_transcripts, read_lines, read_lines_of, split_lines
 
 PATH = "/x/-Users-u-Desktop-demo/abc.jsonl"
 
@@ -136,6 +136,17 @@ def test_a_large_file_is_read_in_blocks(spark, tmp_path):
     assert found == dict(enumerate(lines))
 
 
+@pytest.mark.parametrize("limit", [100, 4, 0])
+def test_lines_of_named_files(spark, tmp_path, limit):
+    (tmp_path / "a.jsonl").write_text("1\n\n3")
+    (tmp_path / "b.jsonl").write_text("12345\n6")
+    (tmp_path / "c.jsonl").write_text("not asked for")
+    names = [(str(tmp_path / n),) for n in ("a.jsonl", "b.jsonl", "gone.jsonl")]
+    found = read_lines_of(spark.createDataFrame(names, "file_path string"), str(tmp_path), limit).collect()
+    lines = {(r["file_path"].rsplit("/", 1)[1], r["event_index"], r["line"]) for r in found}
+    assert lines == {("a.jsonl", 0, "1"), ("a.jsonl", 2, "3"), ("b.jsonl", 0, "12345"), ("b.jsonl", 1, "6")}
+
+
 def test_listing_has_sizes_and_times(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("12345")
     row = list_transcripts(spark, str(tmp_path)).first()
