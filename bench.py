@@ -70,8 +70,8 @@ def jobs(spark: SparkSession, folder: str) -> dict:
             3,
         ),
         "postings": (lambda: drain(scan.postings()), 3),
-        "index_build_transcripts": (build(TRANSCRIPTS, fixtures.transcripts), 1),
-        "index_build_code": (build(CODE, fixtures.code), 1),
+        "index_build_transcripts": (build(TRANSCRIPTS, fixtures.transcripts), 3),
+        "index_build_code": (build(CODE, fixtures.code), 2),
         "search_any": (stored(TRANSCRIPTS, words("the aning als")), 5),
         "search_rare": (stored(TRANSCRIPTS, words("aning")), 5),
         "search_phrase": (stored(TRANSCRIPTS, lambda: clauses.phrase(spark, "of the")), 5),

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from loresift.functions.text import tokens
 from loresift.schema import Corpus
 
-TERM_BUCKETS = 16
-
 
 def tokenized(documents: DataFrame, corpus: Corpus) -> DataFrame:
     """Add ``tokens`` and the document length ``dl``."""

@@ -26,9 +26,9 @@ from loresift.session import configure
 
 TABLES = ("documents", "postings", "dictionary", "stats")
 
-#: Suit a few GB. For 100 TB use about 1024 document and 64 term buckets.
-DOC_BUCKETS = 8
-TERM_BUCKETS = 8
+#: Suit some 10 GB. For 100 TB use about 1024 document and 64 term buckets.
+DOC_BUCKETS = 4
+TERM_BUCKETS = 4
 
 
 def path_bucket(path: Column, buckets: int) -> Column:
@@ -79,7 +79,8 @@ class StoredIndex:
         partitions and split large ones, such as a repository that is a third
         of the data; each piece is sorted for the readers' min/max tests.
         """
-        placed = rows.hint("rebalance", *partitions).sortWithinPartitions(*partitions, *order)
+        within = [c for c in order if c not in partitions]
+        placed = rows.hint("rebalance", *partitions).sortWithinPartitions(*partitions, *within)
         placed.write.partitionBy(*partitions).parquet(path)
 
     def _write_tables(self, documents: DataFrame, base: str) -> None:
