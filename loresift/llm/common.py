@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
     """Cut batches into slices of about ``limit`` bytes of the text column, at least one row each."""
     for batch in batches:
         start, size = 0, 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         for row, length in enumerate(lengths):
             if size and size + length > limit:
                 yield batch.slice(start, row - start)

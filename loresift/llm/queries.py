@@ -6,11 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loresift.llm import chat, exact_dedup, near_dedup, packing, token_files, top_k
+from loresift.llm import chat, exact_dedup, near_dedup, packing, token_files, top_k, toxicity
 from loresift.llm.common import read_table, settle
 from loresift.session import scratch_path
 
 
+def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.score_toxicity(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+    return scored.select(
+        "doc_id", "held_out", "score", "predicted", "n_words", F.size("passages").alias("n_passages")
+    )
+
+
 def exact_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.label_copies(read_table(spark, folder, "documents"), exact_dedup.new_index(spark))
 
@@ -50,6 +57,7 @@ def chat_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": toxicity_query,
     "op2_minhash_near_dedup": near_dedup_query,
     "op4_packing": packing_query,
     "op6_exact_dedup": exact_dedup_query,
