@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loresift.llm import chat, exact_dedup, near_dedup, packing, token_files, top_k, toxicity
+from loresift.llm import (
+    chat,
+    exact_dedup,
+    lm_scoring,
+    near_dedup,
+    packing,
+    sentencepiece_bpe,
+    token_files,
+    top_k,
+    toxicity,
+)
 from loresift.llm.common import read_table, settle
 from loresift.session import scratch_path
 
@@ -29,6 +39,17 @@ def near_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def lm_scoring_query(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.score_documents(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+def sentencepiece_query(spark: SparkSession, folder: str) -> DataFrame:
+    """What each text encodes to, and what its ids decode to, read back from the written ids."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = settle(sentencepiece_bpe.encode(read_table(spark, folder, "documents"), path), "piece-ids")
+    return sentencepiece_bpe.round_trip(encoded, path)
+
+
 def packing_query(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -59,7 +80,9 @@ def chat_query(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": toxicity_query,
     "op2_minhash_near_dedup": near_dedup_query,
+    "op3_lm_scoring": lm_scoring_query,
     "op4_packing": packing_query,
+    "op5_sentencepiece": sentencepiece_query,
     "op6_exact_dedup": exact_dedup_query,
     "op7_token_files": token_files_query,
     "op9_exact_top_k": top_k_query,
