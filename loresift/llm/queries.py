@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loresift.llm import (
     chat,
     exact_dedup,
+    html_extract,
     lm_scoring,
     near_dedup,
     packing,
@@ -63,6 +64,10 @@ def token_files_query(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.document_spans(spark, target)
 
 
+def html_query(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, folder, "pages"))
+
+
 def top_k_query(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "embeddings")
     return top_k.top_k(rows, rows.where(F.col("vec_id") % 20 == 0))
@@ -85,6 +90,7 @@ QUERIES = {
     "op5_sentencepiece": sentencepiece_query,
     "op6_exact_dedup": exact_dedup_query,
     "op7_token_files": token_files_query,
+    "op8_html_extraction": html_query,
     "op9_exact_top_k": top_k_query,
     "op10_chat_formatting": chat_query,
 }
