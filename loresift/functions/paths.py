@@ -9,50 +9,51 @@ from pyspark.sql import functions as F
 
 # Extensions whose files are taken for binary.
 BINARY_EXTENSIONS = (
-    "png jpg jpeg gif ico webp bmp tiff pdf zip tar gz tgz bz2 xz 7z rar exe dll so dylib a o wasm class jar "
-    "pyc pyo mp3 mp4 mov avi webm wav flac ogg ttf otf woff woff2 eot psd ai sketch fig db sqlite parquet arrow "
-    "lock bin"
-).split()
+    "png", "jpg", "jpeg", "gif", "ico", "webp", "bmp", "tiff", "pdf", "zip", "tar", "gz", "tgz", "bz2", "xz",
+    "7z", "rar", "exe", "dll", "so", "dylib", "a", "o", "wasm", "class", "jar", "pyc", "pyo", "mp3", "mp4",
+    "mov", "avi", "webm", "wav", "flac", "ogg", "ttf", "otf", "woff", "woff2", "eot", "psd", "ai", "sketch",
+    "fig", "db", "sqlite", "parquet", "arrow", "lock", "bin",
+)
 
 # Language label and the extensions that carry it.
 LANGUAGE_EXTENSIONS = {
-    "rust": "rs",
-    "python": "py pyi",
-    "typescript": "ts tsx",
-    "javascript": "js jsx mjs cjs",
-    "go": "go",
-    "java": "java",
-    "kotlin": "kt kts",
-    "swift": "swift",
-    "c": "c h",
-    "cpp": "cc cpp cxx hh hpp hxx",
-    "csharp": "cs",
-    "ruby": "rb",
-    "php": "php",
-    "scala": "scala sc",
-    "clojure": "clj cljs cljc",
-    "elixir": "ex exs",
-    "erlang": "erl hrl",
-    "haskell": "hs",
-    "ocaml": "ml mli",
-    "lua": "lua",
-    "r": "r",
-    "shell": "sh bash zsh fish",
-    "sql": "sql",
-    "html": "html htm",
-    "css": "css scss sass less",
-    "vue": "vue",
-    "svelte": "svelte",
-    "markdown": "md markdown",
-    "yaml": "yml yaml",
-    "toml": "toml",
-    "json": "json jsonc",
-    "xml": "xml",
-    "proto": "proto",
-    "graphql": "graphql gql",
-    "terraform": "tf hcl",
-    "dockerfile": "dockerfile",
-    "make": "makefile mk",
+    "rust": ("rs",),
+    "python": ("py", "pyi",),
+    "typescript": ("ts", "tsx",),
+    "javascript": ("js", "jsx", "mjs", "cjs",),
+    "go": ("go",),
+    "java": ("java",),
+    "kotlin": ("kt", "kts",),
+    "swift": ("swift",),
+    "c": ("c", "h",),
+    "cpp": ("cc", "cpp", "cxx", "hh", "hpp", "hxx",),
+    "csharp": ("cs",),
+    "ruby": ("rb",),
+    "php": ("php",),
+    "scala": ("scala", "sc",),
+    "clojure": ("clj", "cljs", "cljc",),
+    "elixir": ("ex", "exs",),
+    "erlang": ("erl", "hrl",),
+    "haskell": ("hs",),
+    "ocaml": ("ml", "mli",),
+    "lua": ("lua",),
+    "r": ("r",),
+    "shell": ("sh", "bash", "zsh", "fish",),
+    "sql": ("sql",),
+    "html": ("html", "htm",),
+    "css": ("css", "scss", "sass", "less",),
+    "vue": ("vue",),
+    "svelte": ("svelte",),
+    "markdown": ("md", "markdown",),
+    "yaml": ("yml", "yaml",),
+    "toml": ("toml",),
+    "json": ("json", "jsonc",),
+    "xml": ("xml",),
+    "proto": ("proto",),
+    "graphql": ("graphql", "gql",),
+    "terraform": ("tf", "hcl",),
+    "dockerfile": ("dockerfile",),
+    "make": ("makefile", "mk",),
 }
 
 # Language label of files known by their whole name.
@@ -86,7 +87,7 @@ def language(path: Column) -> Column:
 
     The lookup is a literal map, so it costs neither a join nor a shuffle.
     """
-    by_extension = {ext: label for label, exts in LANGUAGE_EXTENSIONS.items() for ext in exts.split()}
+    by_extension = {ext: label for label, exts in LANGUAGE_EXTENSIONS.items() for ext in exts}
     ext = extension(path)
     by_name = F.try_element_at(_lookup(LANGUAGE_FILE_NAMES), F.lower(file_name(path)))
     found = F.when(ext == "", by_name).otherwise(F.try_element_at(_lookup(by_extension), ext))
@@ -94,7 +95,7 @@ def language(path: Column) -> Column:
 
 
 def is_binary(path: Column) -> Column:
-    return extension(path).isin(BINARY_EXTENSIONS)
+    return extension(path).isin(*BINARY_EXTENSIONS)
 
 
 def is_hidden(rel_path: Column) -> Column:
@@ -119,10 +120,6 @@ def project_label(path: Column) -> Column:
     return F.translate(F.regexp_replace(parent, "^-+", ""), "-", "/")
 
 
-def storage_key(label: Column) -> Column:
-    return F.translate(label, "/\\", "--")
-
-
 def from_uri(uri: Column) -> Column:
     """Plain path of a ``file:`` or other URI as reported by file sources."""
     plain = F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from loresift.functions.paths import file_name
 from loresift.operators.skew import salted_join
-from loresift.sources.tree import _open, read_contents
+from loresift.sources.tree import EXCLUDE_FILE, _open, read_contents
 
 _RULE_ARROW = pa.schema(
     [
@@ -37,7 +37,6 @@ _RULE_ARROW = pa.schema(
 
 # Rule files by rising precedence.
 GLOBAL_RULES, EXCLUDE_RULES, GITIGNORE_RULES, IGNORE_RULES = 0, 1, 2, 3
-EXCLUDE_FILE = ".git/info/exclude"
 RULE_FILES = {".gitignore": GITIGNORE_RULES, ".ignore": IGNORE_RULES}
 
 
@@ -116,7 +115,7 @@ def _parse_rules(lines: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def _outer_rules(spark: SparkSession, root: str) -> tuple[DataFrame, bool]:
     """Rules of the folders above the root, and whether the root is in a repository."""
     filesystem, base = _open(root)
-    in_repository = filesystem.get_file_info(base + "/.git").type == fs.FileType.Directory
+    in_repository = filesystem.get_file_info(base + "/.git").type != fs.FileType.NotFound
     rules = _rule_rows(spark, [])
     pending_git, found = [], in_repository
     folder, depth = base, 0
@@ -134,7 +133,7 @@ def _outer_rules(spark: SparkSession, root: str) -> tuple[DataFrame, bool]:
                 rules = rules.unionByName(table)
             elif not found:  # a repository's rules stop at its own root
                 pending_git.append(table)
-        if not found and filesystem.get_file_info(folder + "/.git").type == fs.FileType.Directory:
+        if not found and filesystem.get_file_info(folder + "/.git").type != fs.FileType.NotFound:
             found = True
     if found and not in_repository:
         for table in pending_git:

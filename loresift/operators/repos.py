@@ -5,20 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labels named in the error when the choice is not clear.
-_NAMED = 100
-
-
 def repo_list(documents: DataFrame) -> DataFrame:
     return documents.select("repo").distinct().orderBy("repo")
 
 
 def default_repo(documents: DataFrame) -> str:
     """The only repository there is; an error if there are none or several."""
-    labels = [row["repo"] for row in repo_list(documents).limit(_NAMED + 1).collect()]
+    labels = [row["repo"] for row in repo_list(documents).collect()]  # one row per repository
     if not labels:
         raise ValueError("no code repositories are indexed")
     if len(labels) > 1:
-        shown = ", ".join(labels[:_NAMED]) + (", ..." if len(labels) > _NAMED else "")
-        raise ValueError(f"several repositories are indexed ({shown}); name one with repo")
+        raise ValueError(f"several repositories are indexed ({', '.join(labels)}); name one with repo")
     return labels[0]

@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loresift.operators.search import MAX_LIMIT
 from loresift.schema import CODE, Corpus
 
 
+def _query(hits: DataFrame) -> list[str]:
+    """The column that tells the queries of a batch apart, if there is one."""
+    return [c for c in hits.columns if c == "query_id"]
+
+
 def _ranked(hits: DataFrame, corpus: Corpus) -> DataFrame:
-    """Number the hits of one query; there are never more than the largest limit."""
-    order = Window.orderBy(F.desc("score"), *corpus.keys)
-    bounded = hits.orderBy(F.desc("score"), *corpus.keys).limit(MAX_LIMIT)
-    return bounded.withColumn("rank", F.row_number().over(order))
+    """Number the hits of each query; a search returns no more than its limit of them."""
+    order = Window.partitionBy(*_query(hits)).orderBy(F.desc("score"), *corpus.keys)
+    return hits.withColumn("rank", F.row_number().over(order))
 
 
 def hits_json(hits: DataFrame, corpus: Corpus) -> DataFrame:
-    """All hits of a query as one pretty-printed JSON array, column ``hits``."""
+    """All hits of a query as one pretty-printed JSON array, column ``hits``; of a batch, one row per query."""
     ranked = _ranked(hits, corpus)
     rows = F.array_sort(F.collect_list(F.struct("rank", F.struct(*hits.columns).alias("hit"))))
     options = {"pretty": "true", "ignoreNullFields": "false"}
-    return ranked.agg(F.to_json(F.transform(rows, lambda r: r["hit"]), options).alias("hits"))
+    return ranked.groupBy(*_query(hits)).agg(F.to_json(F.transform(rows, lambda r: r["hit"]), options).alias("hits"))
 
 
 def hits_listing(hits: DataFrame, corpus: Corpus) -> DataFrame:
@@ -40,4 +43,5 @@ def hits_listing(hits: DataFrame, corpus: Corpus) -> DataFrame:
             "event_role",
         )
         lines = [head, F.concat(F.lit("    "), "snippet"), F.concat(F.lit("    "), "file_path")]
-    return ranked.select("rank", F.concat_ws("\n", *lines).alias("listing")).orderBy("rank")
+    listing = F.concat_ws("\n", *lines).alias("listing")
+    return ranked.select(*_query(hits), "rank", listing).orderBy(*_query(hits), "rank")

@@ -122,11 +122,8 @@ def paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def query_table(spark: SparkSession, folder: str) -> DataFrame:
-    """One query per benchmark item: its first three words."""
-    words = F.slice(F.split("text", r"\s+"), 1, 3)
-    return table(spark, folder, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query")
-    )
+    """One query per benchmark item: its whole text."""
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def file_changes(spark: SparkSession, folder: str) -> DataFrame:

@@ -171,7 +171,7 @@ def _batch(docs: str, asked: str, conditions: str, hit: str, keys: str, width: i
     FROM ranked d WHERE d.rank <= d.max_hits"""
 
 
-ASKED = r"SELECT item_id AS query_id, array_to_string(regexp_split_to_array(text, '\s+')[1:3], ' ') AS query, 10 AS max_hits FROM benchmark"
+ASKED = "SELECT item_id AS query_id, text AS query, 10 AS max_hits FROM benchmark"
 ASKED_NARROW = rf"""
   SELECT query_id, query || ' ' || replace(query, ' ', '-') AS query,
          CASE WHEN query_id % 2 = 0 THEN 'Users/u/p' || (query_id % 5) END AS project,

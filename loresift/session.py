@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,8 +16,6 @@ REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     # A JSON object with a repeated key keeps the last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
-    # Replace jobs overwrite only the partitions they touch.
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 #: Settings that matter for speed only; a value the cluster has set wins.
@@ -70,11 +69,13 @@ def new_session(app_name: str = "loresift", master: str | None = None, **conf: s
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is
-    made and set, which would not do on a cluster.
+    Only where the session names none and runs in one process (tests) a
+    temporary folder is made and set; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="loresift-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -2,117 +2,169 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from loresift.functions.paths import from_uri
-from loresift.sources.tree import as_uri, read_contents, with_sizes
-
-#: Files up to this size are read one per row; longer ones are split.
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
-
-
-def _usable(lines: DataFrame) -> DataFrame:
-    """Strip carriage returns; leave out blank and undecodable lines.
-
-    Lines are numbered before this, so the ones left out still count.
-    """
-    usable = lines.filter(F.is_valid_utf8("line") & F.col("line").rlike(r"(?U)\S"))
-    # after the test: a replacement would turn bad bytes into good ones
-    return usable.select("file_path", "event_index", F.regexp_replace("line", "\r$", "").alias("line"))
-
-
-def _reader(spark: SparkSession, paths: str | list[str], **options):
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
-    return reader.text(paths, **options).withColumn("file_uri", F.col("_metadata.file_path"))
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def _lines(text: Column) -> Column:
-    """Lines of a text. Splitting would mend bad bytes all over the text, so a
-    text with bad bytes is split byte by byte and its good lines stay usable.
+from loresift.sources.tree import _open, list_tree, reading_tasks, with_sizes
+
+#: Files are read in blocks of this size; a line belongs to the block it begins in.
+BLOCK_BYTES = 64 * 1024 * 1024
+
+SUFFIX = ".jsonl"
+#: Bytes read at a time, and lines handed on at a time.
+_READ_BYTES = 4 * 1024 * 1024
+_LINES = "file_path string, block bigint, nth bigint, line string"
+
+
+def _block_lines(stream, start: int, end: int) -> Iterator[bytes]:
+    """Lines of an open file that begin at ``start`` or later and before ``end``."""
+    at = max(0, start - 1)
+    stream.seek(at)
+    held, skipping = b"", start > 0
+    while data := stream.read(_READ_BYTES):
+        *lines, rest = (held + data).split(b"\n")
+        for line in lines:
+            if not skipping:
+                if at >= end:
+                    return
+                yield line
+            skipping = False
+            at += len(line) + 1
+        held = rest
+        if at >= end and not skipping:
+            return
+    if held and not skipping and at < end:
+        yield held
+
+
+def _usable(line: bytes) -> str | None:
+    """The line's text without a carriage return, or None if it is blank or no UTF-8."""
+    try:
+        text = line.removesuffix(b"\r").decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    return None if not text or text.isspace() else text
+
+
+def _read_blocks(blocks: DataFrame, root: str, block_bytes: int) -> DataFrame:
+    """``(file_path, block, nth, line)``: usable lines, numbered within their block by physical line."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, _ = _open(root)
+        for batch in batches:
+            for path, file_path, block in zip(*(batch.column(c).to_pylist() for c in ("path", "file_path", "block"))):
+                try:
+                    stream = filesystem.open_input_file(path)
+                except OSError:  # gone or unreadable
+                    continue
+                nth, texts, held = [], [], 0
+                with stream:
+                    for number, line in enumerate(_block_lines(stream, block * block_bytes, (block + 1) * block_bytes)):
+                        text = _usable(line)
+                        if text is None:
+                            continue
+                        nth.append(number)
+                        texts.append(text)
+                        held += len(line)
+                        if held >= _READ_BYTES:
+                            yield _line_batch(file_path, block, nth, texts)
+                            nth, texts, held = [], [], 0
+                if nth:
+                    yield _line_batch(file_path, block, nth, texts)
+
+    return blocks.select("path", "file_path", "block").mapInArrow(read, _LINES)
+
+
+def _line_batch(file_path: str, block: int, nth: list[int], texts: list[str]) -> pa.RecordBatch:
+    columns = [
+        pa.array([file_path] * len(nth), pa.string()), pa.array([block] * len(nth), pa.int64()),
+        pa.array(nth, pa.int64()), pa.array(texts, pa.string()),
+    ]
+    return pa.record_batch(columns, names=["file_path", "block", "nth", "line"])
+
+
+def _count_lines(blocks: DataFrame, root: str, block_bytes: int) -> DataFrame:
+    """``(file_path, block, n_lines)``: how many lines begin in each block."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, _ = _open(root)
+        for batch in batches:
+            counts = []
+            for path, block in zip(batch.column("path").to_pylist(), batch.column("block").to_pylist()):
+                at, end = max(0, block * block_bytes - 1), (block + 1) * block_bytes - 1
+                n = int(block == 0)
+                try:
+                    with filesystem.open_input_file(path) as stream:
+                        stream.seek(at)
+                        while at < end and (data := stream.read(min(_READ_BYTES, end - at))):
+                            n += data.count(b"\n")
+                            at += len(data)
+                except OSError:
+                    pass
+                counts.append(n)
+            yield pa.record_batch(
+                [batch.column("file_path"), batch.column("block"), pa.array(counts, pa.int64())],
+                names=["file_path", "block", "n_lines"],
+            )
+
+    return blocks.select("path", "file_path", "block").mapInArrow(count, "file_path string, block bigint, n_lines bigint")
+
+
+def _numbered(files: DataFrame, root: str, block_bytes: int) -> DataFrame:
+    """Lines of ``(path, file_path, size_bytes)``. Every file is read the same way, in blocks.
+
+    A file of one block needs no more; the blocks of longer ones are placed by
+    the line counts of the blocks before.
     """
-    bytewise = F.split(F.decode(text.cast("binary"), "ISO-8859-1"), "\n")
-    restored = F.transform(bytewise, lambda line: F.encode(line, "ISO-8859-1").cast("string"))
-    return F.when(F.is_valid_utf8(text), F.split(text, "\n")).otherwise(restored)
-
-
-def split_lines(texts: DataFrame, content: str = "value") -> DataFrame:
-    """Numbered lines of whole files held in one column: no shuffle."""
-    return _usable(
-        texts.select(
-            "file_path",
-            F.posexplode(_lines(F.col(content))).alias("event_index", "line"),
-        ).withColumn("event_index", F.col("event_index").cast("bigint"))
+    last = F.greatest(F.ceil(F.col("size_bytes") / block_bytes) - 1, F.lit(0))
+    several = F.col("size_bytes") > block_bytes
+    blocks = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))))
+    spread = blocks.repartition(reading_tasks(files.sparkSession), "path", "block")
+    single = _read_blocks(spread.filter(~several), root, block_bytes).select(
+        "file_path", F.col("nth").alias("event_index"), "line"
+    )
+    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = _count_lines(spread.filter(several), root, block_bytes).select(
+        "file_path", "block", F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("lines_before")
+    )
+    parts = _read_blocks(spread.filter(several), root, block_bytes).join(placed, ["file_path", "block"])
+    return single.unionByName(
+        parts.select("file_path", (F.col("lines_before") + F.col("nth")).alias("event_index"), "line")
     )
 
 
-def _small_files(spark: SparkSession, root: str, limit: int) -> DataFrame:
-    whole = _reader(spark, root, wholetext=True).filter(F.col("_metadata.file_size") <= limit)
-    return split_lines(whole.withColumn("file_path", from_uri(F.col("file_uri"))))
-
+def split_lines(texts: DataFrame, content: str = "value") -> DataFrame:
+    """Numbered lines of whole texts held in one column, by the same rules: no shuffle."""
+    lines = F.split(F.col(content), "\n")
+    numbered = texts.select("file_path", F.posexplode(lines).alias("event_index", "line"))
+    usable = numbered.filter(F.col("line").rlike(r"(?U)\S"))
+    return usable.select("file_path", F.col("event_index").cast("bigint"), F.regexp_replace("line", "\r$", "").alias("line"))
 
-def _large_files(spark: SparkSession, paths: str | list[str], limit: int) -> DataFrame:
-    """Numbered lines of files that several tasks read together.
 
-    Each task numbers the lines of its block; the blocks' line counts, one row
-    per block, are summed up along the file to place the block.
-    """
-    lines = (
-        _reader(spark, paths, lineSep="\n")
-        .filter(F.col("_metadata.file_size") > limit)
-        .select(
-            from_uri(F.col("file_uri")).alias("file_path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("read_order"),
-            F.col("value").alias("line"),
-        )
-    )
-    in_block = Window.partitionBy("file_path", "block").orderBy("read_order")
-    numbered = lines.withColumn("nth", F.row_number().over(in_block))
-    blocks = numbered.groupBy("file_path", "block").agg(F.count("*").alias("n_lines"))
-    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocks.select(
-        "file_path", "block", F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("lines_before")
-    )
-    joined = numbered.join(placed, ["file_path", "block"])
-    return _usable(joined.withColumn("event_index", F.col("lines_before") + F.col("nth") - 1))
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """Transcript files below ``root``, whatever their names begin with."""
+    listing = list_tree(spark, root).filter(F.endswith("path", F.lit(SUFFIX)))
+    return listing.select("path", F.col("path").alias("file_path"), "size_bytes", "mtime")
 
 
-def read_lines(spark: SparkSession, root: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+def read_lines(spark: SparkSession, root: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(file_path, event_index, line)`` of all ``*.jsonl`` files below ``root``.
 
-    ``event_index`` is the 0-based physical line number. The size test is on
-    file metadata, so each of the two readers lists only the files it reads.
+    ``event_index`` is the 0-based physical line number; blank and undecodable
+    lines count but are left out.
     """
-    return _small_files(spark, root, whole_file_bytes).unionByName(_large_files(spark, root, whole_file_bytes))
-
+    return _numbered(_listed(spark, root).drop("mtime"), root, block_bytes)
 
-def read_lines_of(files: DataFrame, root: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """Numbered lines of the files named in ``file_path`` that still exist below ``root``.
 
-    Only the names of files too large for a row come to the driver, which
-    hands them to the reader that splits them.
-    """
+def read_lines_of(files: DataFrame, root: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Numbered lines of the files named in ``file_path`` that still exist below ``root``."""
     sized = with_sizes(files.select("file_path", F.col("file_path").alias("path")), root)
-    is_small = F.col("size_bytes") <= whole_file_bytes
-    contents = read_contents(sized.filter(is_small), root)
-    lines = split_lines(contents.select("file_path", F.col("content").cast("string").alias("value")))
-    large = [as_uri(row["path"], root) for row in sized.filter(~is_small).select("path").collect()]
-    if large:
-        lines = lines.unionByName(_large_files(files.sparkSession, large, whole_file_bytes))
-    return lines
+    return _numbered(sized, root, block_bytes)
 
 
 def list_transcripts(spark: SparkSession, root: str) -> DataFrame:
     """``(file_path, mtime, size_bytes)`` of the transcript files; contents are not read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.jsonl")
-        .load(root)
-    )
-    return files.select(
-        from_uri(F.col("path")).alias("file_path"),
-        F.col("modificationTime").alias("mtime"),
-        F.col("length").alias("size_bytes"),
-    )
+    return _listed(spark, root).select("file_path", "mtime", "size_bytes")

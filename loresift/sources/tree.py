@@ -7,6 +7,7 @@ open will do; on a cluster that is storage all executors see.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,11 +31,29 @@ def _open(root: str):
     return filesystem, base.rstrip("/") or "/"
 
 
+#: A repository's own folder is not listed, but for its exclude rules.
+GIT_FOLDER = ".git"
+EXCLUDE_FILE = f"{GIT_FOLDER}/info/exclude"
+
+
+def _is_link(filesystem, path: str) -> bool:
+    return isinstance(filesystem, fs.LocalFileSystem) and os.path.islink(path)
+
+
 def _children(filesystem, path: str) -> list:
+    """Plain files and folders; links are left out, so that nothing is listed twice or without end."""
     try:
-        return filesystem.get_file_info(fs.FileSelector(path, recursive=False))
+        found = filesystem.get_file_info(fs.FileSelector(path, recursive=False))
     except OSError:  # an unreadable directory is passed over
         return []
+    children = []
+    for info in found:
+        if _is_link(filesystem, info.path):
+            continue
+        if info.base_name == GIT_FOLDER and info.type == fs.FileType.Directory:
+            info = filesystem.get_file_info(f"{path}/{EXCLUDE_FILE}")
+        children.append(info)
+    return children
 
 
 class _Listing(InputPartition):
@@ -68,7 +87,7 @@ class _TreeReader(DataSourceReader):
         while pending:
             for info in _children(filesystem, pending.pop()):
                 if info.type == fs.FileType.File:
-                    rows.append((info.path, info.path.removeprefix(prefix), info.size))
+                    rows.append((info.path, info.path.removeprefix(prefix), info.size, info.mtime))
                 elif info.type == fs.FileType.Directory and partition.recursive:
                     pending.append(info.path)
             if len(rows) >= _LISTING_ROWS:
@@ -79,10 +98,15 @@ class _TreeReader(DataSourceReader):
 
 
 def _listing_batch(rows: list[tuple]) -> pa.RecordBatch:
-    paths, rel_paths, sizes = zip(*rows)
+    paths, rel_paths, sizes, times = zip(*rows)
     return pa.record_batch(
-        [pa.array(paths, pa.string()), pa.array(rel_paths, pa.string()), pa.array(sizes, pa.int64())],
-        names=["path", "rel_path", "size_bytes"],
+        [
+            pa.array(paths, pa.string()),
+            pa.array(rel_paths, pa.string()),
+            pa.array(sizes, pa.int64()),
+            pa.array(times, pa.timestamp("us", tz="UTC")),
+        ],
+        names=["path", "rel_path", "size_bytes", "mtime"],
     )
 
 
@@ -94,14 +118,14 @@ class SourceTree(DataSource):
         return FORMAT
 
     def schema(self) -> str:
-        return "path string, rel_path string, size_bytes bigint"
+        return "path string, rel_path string, size_bytes bigint, mtime timestamp"
 
     def reader(self, schema) -> DataSourceReader:
         return _TreeReader(self.options["root"], int(self.options.get("partitions", DEFAULT_PARTITIONS)))
 
 
 def list_tree(spark: SparkSession, root: str, partitions: int = DEFAULT_PARTITIONS) -> DataFrame:
-    """``(path, rel_path, size_bytes)`` of every regular file below ``root``."""
+    """``(path, rel_path, size_bytes, mtime)`` of every regular file below ``root``."""
     spark.dataSource.register(SourceTree)
     return spark.read.format(FORMAT).option("root", root).option("partitions", partitions).load()
 
@@ -114,31 +138,30 @@ def with_sizes(files: DataFrame, root: str) -> DataFrame:
         filesystem, _ = _open(root)
         for batch in batches:
             found = filesystem.get_file_info(batch.column("path").to_pylist())
-            kept = [row for row, info in enumerate(found) if info.type == fs.FileType.File]
+            kept = [
+                row for row, info in enumerate(found)
+                if info.type == fs.FileType.File and not _is_link(filesystem, info.path)
+            ]
             sizes = pa.array([found[row].size for row in kept], pa.int64())
             yield _with_column(batch, kept, "size_bytes", sizes)
 
     return files.mapInArrow(look, schema)
 
 
-def as_uri(path: str, root: str) -> str:
-    """A listed path as Spark's readers take it: with the scheme and host of the root."""
-    scheme, mark, rest = root.partition("://")
-    return f"{scheme}://{rest.split('/', 1)[0]}{path}" if mark else path
+def reading_tasks(spark: SparkSession) -> int:
+    """How many tasks read files. The adaptive planner would go by the size of
+    the paths alone and leave all the reading to a few tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def read_contents(files: DataFrame, root: str) -> DataFrame:
     """Add the bytes of each listed file as ``content``; unreadable files drop out.
 
     The listing is spread out by path first: one directory may hold most of
-    the files, and listing tasks are per directory. The number of tasks is
-    given, as the adaptive planner would go by the size of the paths alone and
-    leave all the reading to a few tasks.
+    the files, and listing tasks are per directory.
     """
     columns = files.columns
-    session = files.sparkSession
-    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
-    spread = files.repartition(tasks, "path")
+    spread = files.repartition(reading_tasks(files.sparkSession), "path")
     schema = ", ".join(f"`{n}` {t}" for n, t in spread.dtypes) + ", content binary"
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

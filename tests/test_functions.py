@@ -16,16 +16,16 @@ def evaluate(spark, values, expression, kind="string"):
 
 
 SPLITS = {
-    "processOrderItem": "process Order Item",
-    "FooBarBaz": "Foo Bar Baz",
-    "HTTPRequest": "HTTP Request",
-    "parseHTTPHeader": "parse HTTP Header",
-    "ccai2639": "ccai 2639",
-    "v2Api": "v 2 Api",
-    "foo_bar_baz": "foo_bar_baz",
-    "ABc": "A Bc",
-    " ABc": " ABc",
-    "aXMl": "a XMl",
+    "paintRedFence": "paint Red Fence",
+    "TideTableRow": "Tide Table Row",
+    "GPSFix": "GPS Fix",
+    "readGPSClock": "read GPS Clock",
+    "pier3047": "pier 3047",
+    "k9Unit": "k 9 Unit",
+    "low_tide_mark": "low_tide_mark",
+    "QTe": "Q Te",
+    " QTe": " QTe",
+    "oGPs": "o GPs",
     "": "",
 }
 
@@ -92,12 +92,11 @@ def test_binary_and_hidden(spark):
 
 
 def test_project_labels(spark):
-    values = ["/Users/u/projects/-Users-u-Desktop-myproject/abc.jsonl", "/x/--a-b/c.jsonl", "c.jsonl", "/plain/c.jsonl"]
-    assert evaluate(spark, values, paths.project_label) == ["Users/u/Desktop/myproject", "a/b", "", "plain"]
+    values = ["/data/talk/-srv-team-harbour/k7.jsonl", "/x/--a-b/c.jsonl", "c.jsonl", "/plain/c.jsonl"]
+    assert evaluate(spark, values, paths.project_label) == ["srv/team/harbour", "a/b", "", "plain"]
 
 
-def test_storage_key_and_relative_path(spark):
-    assert evaluate(spark, ["a/b\\c"], paths.storage_key) == ["a-b-c"]
+def test_relative_path(spark):
     assert evaluate(spark, ["/r/a/b", "/other"], lambda v: paths.relative_to(v, "/r/")) == ["a/b", "/other"]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loresift.operators.transcripts import extract_documents
 from loresift.sources.jsonl import list_transcripts, read_lines, read_lines_of, split_lines
 
-PATH = "/x/-Users-u-Desktop-demo/abc.jsonl"
+PATH = "/var/logs/-srv-team-harbour/k7.jsonl"
 
 
 def extract(spark, *lines):
@@ -23,14 +23,14 @@ def message(content, **fields):
 
 
 def test_user_message(spark):
-    line = message("add the migration", sessionId="sess-1", timestamp="2026-05-10T14:23:00Z", cwd="/w", gitBranch="main")
+    line = message("paint the fence", sessionId="k7", timestamp="2025-11-03T08:09:10Z", cwd="/w", gitBranch="trunk")
     row = extract(spark, line)[0]
-    assert row["session_id"] == "sess-1"
+    assert row["session_id"] == "k7"
     assert row["event_role"] == "user"
-    assert row["text"] == "add the migration"
-    assert (row["cwd"], row["git_branch"]) == ("/w", "main")
-    assert row["timestamp"] == "2026-05-10 14:23:00.000000"
-    assert row["project"] == "Users/u/Desktop/demo"
+    assert row["text"] == "paint the fence"
+    assert (row["cwd"], row["git_branch"]) == ("/w", "trunk")
+    assert row["timestamp"] == "2025-11-03 08:09:10.000000"
+    assert row["project"] == "srv/team/harbour"
     assert row["file_path"] == PATH
 
 
@@ -109,9 +109,9 @@ def test_last_of_repeated_keys_wins(spark):
 LINES = b'first\r\n\n  \n\xff\xfebad\nlast "\xc3\xa9"'
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 7, 1])
 def test_lines_keep_their_physical_number(spark, tmp_path, limit):
-    """Whole-file and split reading agree: blank and undecodable lines are left out but counted."""
+    """Blocks of any size agree: blank and undecodable lines are left out but counted."""
     folder = tmp_path / "a b" / "-p"
     folder.mkdir(parents=True)
     (folder / "one+1.jsonl").write_bytes(LINES)
@@ -122,21 +122,26 @@ def test_lines_keep_their_physical_number(spark, tmp_path, limit):
     assert {r["file_path"] for r in found} == {str(folder / "one+1.jsonl")}
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 5])
+def test_names_and_marks_leave_out_no_line(spark, tmp_path, limit):
+    names = ["a.jsonl", "_b.jsonl", ".c.jsonl", "_d/e.jsonl", ".f/g.jsonl", "h/i.jsonl"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"\xef\xbb\xbffirst\nsecond")
+    found = read_lines(spark, str(tmp_path), limit).collect()
+    assert {(r["file_path"].removeprefix(f"{tmp_path}/"), r["event_index"], r["line"]) for r in found} == {
+        (name, *line) for name in names for line in ((0, "\ufefffirst"), (1, "second"))
+    }
+
+
 def test_a_large_file_is_read_in_blocks(spark, tmp_path):
     lines = [f"line {i} " + "x" * (i % 50) for i in range(40000)]
     (tmp_path / "big.jsonl").write_text("\n".join(lines) + "\n")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
-    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
-    try:
-        frame = read_lines(spark, str(tmp_path), 0)
-        found = {r["event_index"]: r["line"] for r in frame.collect()}
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.files.openCostInBytes")
+    found = {r["event_index"]: r["line"] for r in read_lines(spark, str(tmp_path), 65536).collect()}
     assert found == dict(enumerate(lines))
 
 
-@pytest.mark.parametrize("limit", [100, 4, 0])
+@pytest.mark.parametrize("limit", [100, 4, 1])
 def test_lines_of_named_files(spark, tmp_path, limit):
     (tmp_path / "a.jsonl").write_text("1\n\n3")
     (tmp_path / "b.jsonl").write_text("12345\n6")
