@@ -1,12 +1,15 @@
 """What a text query asks for: words and phrases in any-of or all-of groups.
 
-There is no query language; a query is put together from these pieces.
+A query is put together from these pieces, or read from a text with quoted
+phrases, ``AND``, ``OR`` and brackets.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +87,99 @@ def boolean(spark: SparkSession, groups: list[tuple[str, list[str]]], match: str
     return TextQuery(tuple(g for g in built if g.clauses), match, raw)
 
 
+_SYNTAX = re.compile(r'"([^"]*)"?|([()])|([^\s()"]+)')
+
+
+def parse(spark: SparkSession, text: str, match: str = ANY) -> TextQuery:
+    """A query text: words, ``"phrases"``, ``AND``, ``OR`` and brackets.
+
+    ``AND`` binds tighter than ``OR``; pieces side by side are joined by
+    ``match``. Unbalanced brackets and dangling operators are passed over. A
+    text without any of these is the same as ``words``.
+    """
+    found = [m.groups() for m in _SYNTAX.finditer(text)]
+    if not any(phrase is not None or bracket or word in ("AND", "OR") for phrase, bracket, word in found):
+        return words(spark, text, match)
+    pieces = [phrase if phrase is not None else word for phrase, _, word in found]
+    clause_of = dict(zip(dict.fromkeys(p for p in pieces if p), analyse(spark, list(dict.fromkeys(p for p in pieces if p)))))
+    at = 0
+
+    def joined(parts: list, how: str):
+        parts = [p for p in parts if p]
+        if len(parts) < 2:
+            return parts[0] if parts else None
+        flat = [q for p in parts for q in (p[1] if p[0] == how else [p])]
+        return (how, flat)
+
+    def one():
+        nonlocal at
+        phrase, bracket, word = found[at]
+        at += 1
+        if bracket == "(":
+            inner = either()
+            at += at < len(found)  # the closing bracket
+            return inner
+        terms = clause_of.get(phrase if phrase is not None else word)
+        return ("clause", Clause(terms)) if terms else None
+
+    def side_by_side():
+        nonlocal at
+        parts = []
+        while at < len(found) and found[at][1] != ")" and (found[at][0] is not None or found[at][2] not in ("AND", "OR")):
+            parts.append(one())
+        return joined(parts, match)
+
+    def both():
+        nonlocal at
+        parts = [side_by_side()]
+        while at < len(found) and found[at][0] is None and found[at][2] == "AND":
+            at += 1
+            parts.append(side_by_side())
+        return joined(parts, ALL)
+
+    def either():
+        nonlocal at
+        parts = [both()]
+        while at < len(found) and found[at][0] is None and found[at][2] == "OR":
+            at += 1
+            parts.append(both())
+        return joined(parts, ANY)
+
+    parts = []
+    while at < len(found):
+        parts.append(either())
+        at += at < len(found)  # a bracket that closes nothing
+    raw = " ".join(p for p, (phrase, _, word) in zip(pieces, found) if p and (phrase is not None or word not in ("AND", "OR")))
+    return _grouped(joined(parts, match), raw)
+
+
+def _grouped(tree: tuple | None, raw: str) -> TextQuery:
+    """Groups of a parsed query; alternatives that hold conjunctions of alternatives are multiplied out."""
+    if tree is None:
+        return TextQuery((), ALL, raw)
+    how, inner = tree
+    if how == "clause":
+        return TextQuery((Group((inner,), ANY),), ALL, raw)
+    other = ALL if how == ANY else ANY
+    if all(kind == "clause" for kind, _ in inner):
+        return TextQuery((Group(tuple(c for _, c in inner), how),), ALL, raw)
+    if all(kind == "clause" or all(k == "clause" for k, _ in sub) for kind, sub in inner):
+        groups = [Group((sub,) if kind == "clause" else tuple(c for _, c in sub), other) for kind, sub in inner]
+        return TextQuery(tuple(groups), how, raw)
+
+    def alternatives(node: tuple) -> list[tuple[Clause, ...]]:
+        """The conjunctions any of which satisfies a node."""
+        kind, sub = node
+        if kind == "clause":
+            return [(sub,)]
+        lists = [alternatives(n) for n in sub]
+        if kind == ANY:
+            return [a for found in lists for a in found]
+        return [tuple(dict.fromkeys(c for part in chosen for c in part)) for chosen in product(*lists)]
+
+    return TextQuery(tuple(Group(a, ALL) for a in dict.fromkeys(alternatives(tree))), ANY, raw)
+
+
 def phrase_starts(positions: list[Column]) -> Column:
     """Positions at which the i-th list holds ``start + i``, for all lists."""
     return reduce(F.array_intersect, [_shifted(found, offset) for offset, found in enumerate(positions)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,13 @@ def clamp_limit(limit: int | None) -> int:
     return max(1, min(MAX_LIMIT, DEFAULT_LIMIT if limit is None else limit))
 
 
+@dataclass(frozen=True)
+class Beyond:
+    """An end of a range that is not part of it."""
+
+    value: object
+
+
 def filters(
     corpus: Corpus,
     since: str | datetime | None = None,
@@ -33,7 +41,7 @@ def filters(
 ) -> Column:
     """Conjunction of exact-match, time and range conditions.
 
-    ``ranges`` are inclusive; None leaves an end open. Rows without a value
+    ``ranges`` are inclusive but for ends given as ``Beyond``; None leaves an end open. Rows without a value
     satisfy no condition on it.
     """
     conditions = []
@@ -49,9 +57,13 @@ def filters(
         conditions.append(F.col(column) == F.lit(value))
     for column, (low, high) in (ranges or {}).items():
         _check_field(corpus, column)
-        if low is not None:
+        if isinstance(low, Beyond):
+            conditions.append(F.col(column) > F.lit(low.value))
+        elif low is not None:
             conditions.append(F.col(column) >= F.lit(low))
-        if high is not None:
+        if isinstance(high, Beyond):
+            conditions.append(F.col(column) < F.lit(high.value))
+        elif high is not None:
             conditions.append(F.col(column) <= F.lit(high))
     return all_of(conditions)
 
@@ -152,7 +164,7 @@ def search(index, query: TextQuery | str, match: str = clauses.ANY, **options) -
     Options: ``limit``, ``since`` with ``now``, ``equals``, ``ranges``.
     """
     if isinstance(query, str):
-        query = clauses.words(index.documents().sparkSession, query, match)
+        query = clauses.parse(index.documents().sparkSession, query, match)
     return present(rank(index, query, **options), index.corpus, F.lit(query.raw))
 
 

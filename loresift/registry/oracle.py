@@ -309,6 +309,8 @@ ORACLE = {
     "search_phrase": _talk_search([("all", [["of", "the"]])], "of"),
     "search_compound": _talk_search([("any", [["the"], ["of", "the"]])], "the"),
     "search_bool": _talk_search(BOOL_GROUPS, "the"),
+    "search_text_syntax": _talk_search(BOOL_GROUPS, "the"),
+    "search_range_open": _talk_search(ANY_GROUPS, "the", limit=20, where="d.event_index BETWEEN 1 AND 2"),
     "search_bool_any": _talk_search(
         [("all", [["the"], ["aning"]]), ("all", [["als"], ["der"]])], "the", match="any", limit=25
     ),
@@ -347,6 +349,9 @@ ORACLE = {
     "index_summary": """
     SELECT count(*) AS n_documents, count(DISTINCT source || '/' || doc_id) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes
     FROM documents""",
+    "doc_count": "SELECT count(*) AS n_documents FROM documents",
+    "default_repo": "SELECT DISTINCT 'shop' AS repo FROM documents",
+    "hits_json_rows": _talk_search(ANY_GROUPS, "the"),
     "repo_list": "SELECT DISTINCT source AS repo FROM documents ORDER BY repo",
     "listing_transcripts": f"""
     WITH hits AS ({_talk_search(ANY_GROUPS, "the")})

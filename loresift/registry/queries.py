@@ -16,7 +16,7 @@ from loresift.operators.batch import batch_search
 from loresift.operators.changes import detect_changes
 from loresift.operators.code import build_documents, path_gates, walk_tree
 from loresift.operators.ignore import IGNORE_RULES, drop_ignored, rules_table
-from loresift.operators.search import match_count, search
+from loresift.operators.search import Beyond, match_count, search
 from loresift.operators.transcripts import extract_documents
 from loresift.plans.results import hits_json, hits_listing
 from loresift.plans.scan import DocumentScan
@@ -195,6 +195,15 @@ def search_bool(spark: SparkSession, folder: str) -> DataFrame:
     return search(_talk(spark, folder), clauses.boolean(spark, asked))
 
 
+def search_text_syntax(spark: SparkSession, folder: str) -> DataFrame:
+    return search(_talk(spark, folder), f'(the OR "{PHRASE}") AND (aning OR als)')
+
+
+def search_range_open(spark: SparkSession, folder: str) -> DataFrame:
+    ends = (Beyond(0), Beyond(3))
+    return search(_talk(spark, folder), ANY_WORDS, ranges={"event_index": ends}, limit=20)
+
+
 def search_bool_any(spark: SparkSession, folder: str) -> DataFrame:
     asked = [(clauses.ALL, ["the", "aning"]), (clauses.ALL, ["als", "der"])]
     return search(_talk(spark, folder), clauses.boolean(spark, asked, clauses.ANY), limit=25)
@@ -297,6 +306,15 @@ def index_summary(spark: SparkSession, folder: str) -> DataFrame:
     return _stored_code(spark, folder).summary()
 
 
+def doc_count(spark: SparkSession, folder: str) -> DataFrame:
+    return _code(spark, folder).stats().agg(F.sum("n_docs").alias("n_documents"))
+
+
+def default_repo(spark: SparkSession, folder: str) -> DataFrame:
+    documents = fixtures.code(spark, folder).withColumn("repo", F.lit("shop"))
+    return spark.createDataFrame([(repos.default_repo(documents),)], "repo string")
+
+
 def repo_list(spark: SparkSession, folder: str) -> DataFrame:
     return repos.repo_list(fixtures.code(spark, folder))
 
@@ -305,6 +323,13 @@ def json_hits(spark: SparkSession, folder: str) -> DataFrame:
     return hits_json(search_any(spark, folder), TRANSCRIPTS)
 
 
+def json_hit_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The JSON of the hits read back into rows."""
+    hits = search_any(spark, folder)
+    rows = F.from_json("hits", f"array<{hits.schema.simpleString()}>")
+    return hits_json(hits, TRANSCRIPTS).select(F.inline(rows))
+
+
 def listing_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     return hits_listing(search_any(spark, folder), TRANSCRIPTS)
 
@@ -454,6 +479,8 @@ QUERIES = {
     "search_compound": search_compound,
     "search_bool": search_bool,
     "search_bool_any": search_bool_any,
+    "search_text_syntax": search_text_syntax,
+    "search_range_open": search_range_open,
     "search_since": search_since,
     "search_range": search_range,
     "search_project": search_project,
@@ -473,6 +500,9 @@ QUERIES = {
     "since_values": since_values,
     "index_summary": index_summary,
     "repo_list": repo_list,
+    "doc_count": doc_count,
+    "default_repo": default_repo,
+    "hits_json_rows": json_hit_rows,
     "hits_json": json_hits,
     "listing_transcripts": listing_transcripts,
     "listing_code": listing_code,

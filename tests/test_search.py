@@ -275,3 +275,24 @@ def test_a_file_that_holds_most_documents(spark):
     assert index.dictionary().filter("term = 'hot'").first()["df"] == 3001
     index.replace_files(talk(spark, ["cold"], path="/t/-x/b.jsonl"), documents.filter("file_path like '%b.jsonl'"))
     assert match_count(index, clauses.words(spark, "hot")).first()["n_matches"] == 3000
+
+
+def test_query_texts(spark):
+    def shape(text, match="any"):
+        query = clauses.parse(spark, text, match)
+        groups = [(g.match, [" ".join(c.terms) for c in g.clauses]) for g in query.groups]
+        return query.match, groups
+
+    assert clauses.parse(spark, "tide low_water") == clauses.words(spark, "tide low_water")
+    assert shape('"low tide"') == ("all", [("any", ["low tide"])])
+    assert shape("a AND b") == ("all", [("all", ["a", "b"])])
+    assert shape("a OR b") == ("all", [("any", ["a", "b"])])
+    assert shape('(a OR "b c") AND d') == ("all", [("any", ["a", "b c"]), ("any", ["d"])])
+    assert shape("a AND b OR c AND d") == ("any", [("all", ["a", "b"]), ("all", ["c", "d"])])
+    assert shape("a b AND c") == ("all", [("any", ["a", "b"]), ("any", ["c"])])
+    assert shape("a b OR c", "all") == ("any", [("all", ["a", "b"]), ("all", ["c"])])
+    assert shape("(a OR b AND (c OR d)) AND e") == (
+        "any", [("all", ["a", "e"]), ("all", ["b", "c", "e"]), ("all", ["b", "d", "e"])]
+    )
+    assert shape('AND ((a OR ) "" ) ) AND "b') == ("all", [("any", ["a", "b"])])
+    assert shape("AND OR ()")[1] == [] and shape('"Of"') == ("all", [("any", ["of"])])
