@@ -69,6 +69,20 @@ class StoredIndex:
         corpus = {c.name: c for c in (TRANSCRIPTS, CODE)}[row["corpus"]]
         return cls(spark, root, corpus, row["doc_buckets"], row["term_buckets"])
 
+    # -- versions of files that streams have applied -------------------------
+
+    def applied_versions(self) -> DataFrame:
+        """``(file_path, ts)`` of the newest version applied to each file."""
+        path = f"{self.root}/versions"
+        schema = "file_path string, ts timestamp"
+        empty = self.spark.createDataFrame(pa.table({"file_path": pa.array([], pa.string()), "ts": pa.array([], pa.timestamp("us", tz="UTC"))}), schema)
+        empty.write.mode("append").parquet(path)  # makes the folder at first
+        return self.spark.read.schema(schema).parquet(path).groupBy("file_path").agg(F.max("ts").alias("ts"))
+
+    def note_versions(self, versions: DataFrame) -> None:
+        """Append ``(file_path, ts)`` of versions that are in the index now."""
+        versions.write.mode("append").parquet(f"{self.root}/versions")
+
     def _with_unit(self, rows: DataFrame) -> DataFrame:
         if "bucket" in self.corpus.unit:
             return rows.withColumn("bucket", path_bucket(F.col("file_path"), self.doc_buckets))

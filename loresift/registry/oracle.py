@@ -378,6 +378,8 @@ ORACLE = {
     "stream_debounce": f"""
     WITH {CHANGES} SELECT file_path, first_change, last_change, n_changes FROM bursts
     WHERE last_change + INTERVAL 6 HOUR - INTERVAL 1 MICROSECOND <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 SECOND FROM changes)""",
+    "stream_follow": f"""
+    WITH {CHANGES} SELECT file_path, min(ts) AS first_change, max(ts) AS last_change, count(*) AS n_changes FROM changes GROUP BY file_path""",
     "stream_upsert": """
     WITH kept AS (SELECT *, '/t/-docs-' || source || '/' || doc_id || '.jsonl' AS file_path FROM documents WHERE doc_id % 5 <> 0)
     SELECT file_path, CAST(0 AS BIGINT) AS event_index, 'docs/' || source AS project,

@@ -26,7 +26,7 @@ from loresift.schema import CODE, TRANSCRIPT_SCHEMA, TRANSCRIPTS
 from loresift.session import configure, scratch_path
 from loresift.sources.jsonl import read_lines
 from loresift.sources.tree import _open, read_contents
-from loresift.streaming.follow import follow_versions, quiet_files, transcript_changes
+from loresift.streaming.follow import due_files, follow_versions, quiet_files, transcript_changes
 
 #: What the search queries ask for.
 ANY_WORDS = "the aning als"
@@ -420,6 +420,28 @@ def stream_debounce(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(bursts.schema).parquet(out)
 
 
+def stream_follow(spark: SparkSession, folder: str) -> DataFrame:
+    """All changes of each file, as reported once it is quiet by the clock; the last ones too."""
+    configure(spark)
+    changes = transcript_changes(_stream(spark, folder, "events").select(*fixtures.change_columns()))
+    out = scratch_path(spark, "due")
+    due = due_files(changes, 500)
+    writer = due.writeStream.outputMode("append").format("parquet").trigger(processingTime="300 milliseconds")
+    running = writer.option("checkpointLocation", scratch_path(spark, "due-checkpoint")).start(out)
+    try:
+        while not running.awaitTermination(1):
+            done = running.lastProgress
+            if done and done["sources"][0]["endOffset"] and not done["numInputRows"]:
+                if done["stateOperators"][0]["numRowsTotal"] == 0:
+                    break
+    finally:
+        running.stop()
+    reported = spark.read.schema(due.schema).parquet(out).groupBy("file_path")
+    return reported.agg(
+        F.min("first_change").alias("first_change"), F.max("last_change").alias("last_change"), F.sum("n_changes").alias("n_changes")
+    )
+
+
 def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """Versions of a transcript per document, streamed into an index.
 
@@ -512,5 +534,6 @@ QUERIES = {
     "change_detect": change_detect,
     "burst_batch": burst_batch,
     "stream_debounce": stream_debounce,
+    "stream_follow": stream_follow,
     "stream_upsert": stream_upsert,
 }

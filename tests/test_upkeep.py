@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -153,6 +154,30 @@ def run(writer, spark):
     query.awaitTermination()
 
 
+def run_until_quiet(writer, spark, rows):
+    """Until so many changes are read and no timer is left."""
+    query = writer.option("checkpointLocation", scratch_path(spark, "checkpoint")).trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(200):
+            done = query.recentProgress
+            if sum(p["numInputRows"] for p in done) >= rows and done[-1]["stateOperators"][0]["numRowsTotal"] == 0:
+                return
+            time.sleep(0.3)
+        raise AssertionError("timers are left")
+    finally:
+        query.stop()
+
+
+def test_an_older_version_in_a_later_batch_is_passed_over(spark, tmp_path):
+    index = StoredIndex.create(talk(spark, []), TRANSCRIPTS, scratch_path(spark, "order"), 2, 1)
+    batches = [
+        [("/t/-p/a.jsonl", "modify", at(50), line("new")), ("/t/-p/b.jsonl", "remove", at(50), None)],
+        [("/t/-p/a.jsonl", "modify", at(10), line("old")), ("/t/-p/b.jsonl", "create", at(10), line("old"))],
+    ]
+    run(follow_versions(index, stream_of(spark, tmp_path, batches, CHANGES + ", content string")), spark)
+    assert state(index) == {("/t/-p/a.jsonl", 0): "new"}
+
+
 def test_bursts_merge_below_the_quiet_time_only(spark):
     rows = [("a.jsonl", "modify", at(t)) for t in (0, 700, 1449, 2199)]
     rows += [("b.jsonl", "create", at(0)), ("b.jsonl", "access", at(100)), ("c.txt", "modify", at(0))]
@@ -187,12 +212,14 @@ def test_quiet_files_are_read_from_storage(spark, tmp_path):
     kept, gone = root / "a.jsonl", root / "gone.jsonl"
     kept.write_text(line("ant"))
     index = StoredIndex.create(talk(spark, ["old"], path=str(gone)), TRANSCRIPTS, scratch_path(spark, "quiet"), 2, 1)
+    late = root / "late.jsonl"
+    late.write_text(line("bee"))
     batches = [
-        [(str(kept), "create", at(0)), (str(kept), "modify", at(300)), (str(gone), "remove", at(100))],
-        [(str(root / "later.jsonl"), "modify", at(60_000))],  # moves the clock on
+        [(str(kept), "create", at(0)), (str(kept), "modify", at(300)), (str(gone), "remove", at(60_000))],
+        [(str(late), "modify", at(-9_000_000))],  # later than any watermark would allow, and the last there is
     ]
     changes = stream_of(spark, tmp_path, batches, CHANGES)
-    run(follow_files(index, changes, str(root), late="1 second"), spark)
-    assert state(index) == {(str(kept), 0): "ant"}
+    run_until_quiet(follow_files(index, changes, str(root), quiet_millis=300), spark, rows=4)
+    assert state(index) == {(str(kept), 0): "ant", (str(late), 0): "bee"}
     assert index.documents().first()["project"] == "Users/u/demo"
     assert index.documents().filter(F.col("timestamp").isNotNull()).isEmpty()
