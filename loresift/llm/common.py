@@ -33,6 +33,13 @@ def settle(rows: DataFrame, label: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def small_batches(rows: DataFrame) -> None:
+    """Let Arrow batches hold few bytes, as single texts may be long; a limit that the application has set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not rows.sparkSession.sparkContext.getConf().contains(name):
+        rows.sparkSession.conf.set(name, str(SLICE_BYTES))
+
+
 def filled(text: Column) -> Column:
     """The text, or the empty text where it is null."""
     return F.coalesce(text.cast("string"), F.lit(""))

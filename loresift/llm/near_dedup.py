@@ -6,11 +6,15 @@
    coordinates, a pair of similarity s shares none with probability
    (1 - s**rows)**bands: 5e-6 at 0.8, 6e-9 at 0.85.
 3. Each class in a bucket is compared with the bucket's smallest one, on the
-   full shingle sets, and linked classes are merged. What a bucket still holds
-   besides its largest component is then compared with all its other
-   components, so no pair of a bucket is left out unless already connected,
-   and no group is expanded into all its pairs.
-4. Components of the verified links.
+   full shingle sets, and linked classes are merged; once more, the classes
+   outside a bucket's largest component with a member of that component drawn
+   by a hash.
+4. What a bucket still holds besides its largest component is compared with
+   all its other components. Such classes are dealt to blocks of bounded size
+   by the component they are near to, and every set that shares a bucket with
+   a block is sent to that block once and streamed past it. So no pair of a
+   bucket is left out unless already connected, and pairs are no rows.
+5. Components of the verified links.
 
 Defined results: a set with fewer words than the shingle width is the whole
 sequence; a text without words (or null) has no shingles and links with
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loresift.llm.common import filled, settle, slices
+from loresift.llm.common import filled, settle, slices, small_batches
 from loresift.llm.graph import components
 from loresift.llm.shingles import mix, shingle_sets, similarity_sketch
 
@@ -37,6 +41,8 @@ BANDS = 40
 ROWS = 6
 #: Members of a comparison that are dealt to one task together with a copy of the set they are compared with.
 SHARE = 512
+#: Sets of a block that others are streamed past; a task holds one block.
+BLOCK = 256
 #: Tasks hash and sketch about this many bytes of text at once.
 _BYTES = 2 << 20
 
@@ -75,14 +81,19 @@ def _set_maker(width: int) -> Callable:
             values, begin = shingle_sets(batch.column("text"), width)
             data = values.tobytes()
             sets = [data[8 * a : 8 * b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("pivot"), batch.column("share"), batch.column("id"), pa.array(sets, pa.binary())],
-                names=["pivot", "share", "id", "set"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
     return run
 
 
+def similar(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity in percent; empty sets have none."""
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = int((a[np.minimum(a.searchsorted(b), len(a) - 1)] == b).sum())
+    return 100 * both >= similarity * (len(a) + len(b) - both)
+
+
 def _comparer(similarity: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted: of each pivot and share the pivot's own sets first
@@ -95,38 +106,84 @@ def _comparer(similarity: int) -> Callable:
                 values = np.frombuffer(data, np.uint64)
                 if node == pivot:
                     own.append(values)
-                    continue
-                for held in own:
-                    if not len(held) or not len(values):
-                        continue
-                    place = np.minimum(held.searchsorted(values), len(held) - 1)
-                    both = int((held[place] == values).sum())
-                    if 100 * both >= similarity * (len(held) + len(values) - both):
-                        a.append(node)
-                        b.append(pivot)
-                        break
+                elif any(similar(held, values, similarity) for held in own):
+                    a.append(node)
+                    b.append(pivot)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full shingle sets are similar; b is the one with many partners."""
+    pairs = settle(pairs, "pairs")
     load = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
     members = pairs.join(load, "b").select(
-        F.col("b").alias("pivot"), F.pmod(F.xxhash64("a"), F.col("shares")).alias("share"), F.col("a").alias("id")
+        F.col("b").alias("pivot"), F.pmod(F.xxhash64("a"), F.col("shares")).alias("share"), F.col("a").alias("node")
     )
     pivots = load.select(
-        F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "b"
+        F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("b").alias("node")
     )
     wanted = settle(members.union(pivots), "comparisons")
-    sets = docs.join(wanted, docs.doc_id == wanted.id).select("pivot", "share", "id", "text")
-    return (
-        sets.mapInArrow(_set_maker(width), "pivot long, share long, id long, set binary")
+    return settle(
+        wanted.hint("merge").join(sets, "node").select("pivot", "share", "node", "set")
         .repartition("pivot", "share")
-        .sortWithinPartitions("pivot", "share", F.col("id") != F.col("pivot"))
-        .mapInArrow(_comparer(similarity), "a long, b long")
+        .sortWithinPartitions("pivot", "share", F.col("node") != F.col("pivot"))
+        .mapInArrow(_comparer(similarity), "a long, b long"),
+        "links",
+    )
+
+
+def _block_comparer(similarity: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come sorted: of each block its own sets first
+        at, own, by_band = None, [], {}
+        for batch in batches:
+            a, b = [], []
+            for row in batch.to_pylist():
+                if at != (row["home"], row["share"]):
+                    at, own, by_band = (row["home"], row["share"]), [], {}
+                values = np.frombuffer(row["set"], np.uint64)
+                near = {i for band in row["shared"] for i in by_band.get(band, ())}
+                for i in near:
+                    node, component, held = own[i]
+                    if component != row["component"] and similar(held, values, similarity):
+                        a.append(max(node, row["node"]))
+                        b.append(min(node, row["node"]))
+                if row["inner"]:
+                    for band in row["shared"]:
+                        by_band.setdefault(band, []).append(len(own))
+                    own.append((row["node"], row["component"], values))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _compared_in_blocks(rest: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links between components of the same bucket of ``rest`` (band, node, component, largest)."""
+    small = rest.where("component <> largest")
+    homes = small.groupBy("node").agg(F.min("largest").alias("home"))
+    load = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("shares"))
+    homes = settle(
+        homes.join(load, "home").select("node", "home", F.pmod(F.xxhash64("node"), F.col("shares")).alias("share")), "homes"
+    )
+    covered = small.select("node", "band").join(homes, "node").select("home", "share", "band").distinct()
+    # a node's buckets, at most one for each band of its sketch
+    placed = rest.groupBy("node", "component").agg(F.collect_set("band").alias("shared"))
+    visits = rest.select("node", "band").join(covered, "band").select("home", "share", "node").distinct()
+    inner = homes.withColumn("inner", F.lit(True))
+    visits = settle(
+        visits.join(inner, ["home", "share", "node"], "left")
+        .withColumn("inner", F.coalesce("inner", F.lit(False)))
+        .join(placed, "node"),
+        "visits",
     )
+    return settle(
+        visits.hint("merge").join(sets, "node").repartition("home", "share")
+        .sortWithinPartitions("home", "share", F.desc("inner"), "node")
+        .mapInArrow(_block_comparer(similarity), "a long, b long"),
+        "links",
+    )
 
 
 def _close(a: str, b: str, similarity: int):
@@ -141,6 +198,7 @@ def near_duplicates(
 
     ``similarity`` is the least Jaccard similarity of a link, in percent.
     """
+    small_batches(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(F.col("text")).alias("text"))
     sketches = settle(texts.mapInArrow(_sketcher(width, bands, rows), _SKETCHED), "sketches")
     classes = settle(
@@ -158,41 +216,35 @@ def near_duplicates(
     )
     buckets = settle(member.join(shared, "band"), "buckets")
 
-    star = (
-        buckets.where("node <> pivot")
-        .where(_close("n", "pivot_n", similarity))
-        .select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        .distinct()
-    )
-    star = settle(star, "pairs")
-    links = settle(_verified(star, texts, width, similarity), "links")
+    # the sets of all that share a bucket; merged at any size, as texts are large and candidates many
+    wanted = buckets.select("node").distinct()
+    sets = settle(
+        texts.select(F.col("doc_id").alias("node"), "text").join(wanted.hint("merge"), "node")
+        .mapInArrow(_set_maker(width), "node long, set binary"),
+        "sets",
+    )
+
+    star = buckets.where("node <> pivot").where(_close("n", "pivot_n", similarity))
+    links = _verified(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets, similarity)
     found = components(links)
 
-    # what the first round has not connected, by bucket
-    named = buckets.join(found, "node", "left").select(
-        "band", "node", "n", F.coalesce("component", "node").alias("component")
-    )
-    sizes = named.groupBy("band", "component").agg(F.count("*").alias("size"))
-    unsettled = (
-        sizes.groupBy("band")
-        .agg(F.max(F.struct("size", "component")).component.alias("largest"), F.count("*").alias("parts"))
-        .where("parts > 1")
-        .drop("parts")
-    )
-    rest = settle(named.join(unsettled, "band"), "unsettled")
-    small = rest.where("component <> largest").select(
-        "band", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component")
-    )
-    pairs = (
-        small.join(rest, "band")
-        .where("component <> x_component AND (component = largest OR x < node)")
-        .where(_close("n", "x_n", similarity))
-        .select(F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    more = settle(_verified(settle(pairs, "pairs"), texts, width, similarity), "links")
-    whole = components(links.union(more)) if more.head(1) else found
+    def unsettled(found: DataFrame) -> DataFrame:
+        """The buckets with more than one component: band, node, n, component, the largest component and a member of it."""
+        named = buckets.drop("pivot", "pivot_n").join(found, "node", "left")
+        named = named.withColumn("component", F.coalesce("component", "node"))
+        drawn = F.min_by(F.struct("node", "n"), F.xxhash64("node"))
+        sizes = named.groupBy("band", "component").agg(F.count("*").alias("size"), drawn.alias("drawn"))
+        best = F.max_by(F.struct("component", "drawn"), F.struct("size", "component"))
+        several = sizes.groupBy("band").agg(best.alias("best"), F.count("*").alias("parts")).where("parts > 1")
+        several = several.select("band", F.col("best.component").alias("largest"), F.col("best.drawn").alias("drawn"))
+        return settle(named.join(several, "band"), "unsettled")
+
+    second = unsettled(found).where("component <> largest").where(_close("n", "drawn.n", similarity))
+    second = second.select(F.col("node").alias("a"), F.col("drawn.node").alias("b")).distinct()
+    links = settle(links.union(_verified(second, sets, similarity)), "links")
+    found = components(links)
+    links = links.union(_compared_in_blocks(unsettled(found), sets, similarity))
+    whole = components(links)
 
     placed = classes.join(whole, "node", "left").select(
         "set_key", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component")
