@@ -1,4 +1,4 @@
-"""Even work: joins against a hot key, and tables too small to have many splits."""
+"""Even work: joins against a hot key."""
 
 from __future__ import annotations
 
@@ -20,20 +20,3 @@ def salted_join(
     left = large.withColumn(_SALT, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     right = small.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, _SALT], how).drop(_SALT)
-
-
-#: A scan gives a task about this much; smaller tables give fewer tasks than cores.
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
-def spread_small(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Spread a table over all cores if its scan would occupy only some of them.
-
-    By the planner's own size estimate; tables that are large, or of unknown
-    size, are left as they are and pay no shuffle.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= cores * SPLIT_BYTES:
-        return rows
-    return rows.repartition(2 * cores, *by)

@@ -17,8 +17,13 @@ PATH_TAILS = ["rs", "py", "tsx", "PNG", "lock", "md", "jsonc", "tar.gz", "weird"
 PATH_NAMES = ["Makefile", "Dockerfile", "README", ".bashrc", "justfile"]
 
 
+TEXTS = ("documents", "conversations")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One of the tables. Those of texts are single files of one row group here, so they are dealt to all cores."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return rows.repartition(2 * spark.sparkContext.defaultParallelism) if name in TEXTS else rows
 
 
 def session_path(conv_id: Column) -> Column:
