@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loresift.llm.common import filled, settle, slices
+from loresift.llm.common import filled, settle, slices, small_batches
 from loresift.llm.shingles import mix, word_hashes
 
 TARGET_ROWS = 500_000
@@ -96,7 +96,7 @@ def _scorer(models) -> Callable:
             sizes = np.diff(begin)
             means = []
             for model in (target, background):
-                sums = np.concatenate([[0.0], np.cumsum(model.losses(own, previous, pair))])
+                sums = np.concatenate([[0.0], np.cumsum(model.losses(own, previous, pair), dtype=np.float64)])
                 means.append((sums[begin[1:]] - sums[begin[:-1]]) / np.maximum(sizes, 1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes), *map(pa.array, means), pa.array(means[0] - means[1])],
@@ -129,6 +129,7 @@ def count_cells(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: n_words, mean loss under both models, and their difference."""
+    small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(F.col("text")).alias("text"))
     counts = count_cells(rows, labels)
     words = counts[:, : 1 << WORD_BITS].sum(axis=1)
