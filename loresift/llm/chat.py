@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loresift.llm.common import filled
+from loresift.llm.common import filled, small_batches
 
 
 @dataclass(frozen=True)
@@ -149,6 +149,7 @@ def _formatter(template: Template) -> Callable:
 
 def format_conversations(rows: DataFrame, template: Template | None = None) -> DataFrame:
     """Text segments of each conversation in order: conv_id, position of the turn, segment, text, loss, in_order."""
+    small_batches(rows)
     turns = rows.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),

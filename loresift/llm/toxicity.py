@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loresift.llm.common import filled, settle, slices
+from loresift.llm.common import filled, settle, slices, small_batches
 from loresift.llm.shingles import shingle_sets
 
 TRAIN_ROWS = 200_000
@@ -267,6 +267,7 @@ def _logistic(rows: list) -> tuple[float, float]:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, n_words, and the significant passages as spans of words."""
+    small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(F.col("text")).alias("text"))
     fitted = fit_words(rows, labels)
     base = [F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out")]
