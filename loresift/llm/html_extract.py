@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loresift.llm.bilstm import BiLstm
-from loresift.llm.common import filled, slices
+from loresift.llm.common import filled, slices, small_batches
 from loresift.llm.html_blocks import FEATURES, Block, blocks, features
 
 TRAIN_PAGES = 200
@@ -178,12 +178,18 @@ def _extractor(labeller: BiLstm) -> Callable:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
+    small_batches(pages)
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), filled(F.col("html")).alias("html")
     )
+    # a bound on the hash leaves about ten times as many pages as are wanted, so
+    # that no more reach the driver, however many tasks there are
+    number = F.xxhash64("page_id")
+    share = min(1.0, 10 * TRAIN_PAGES / max(1, rows.count()))
+    few = rows.where(number <= F.lit(int((share - 0.5) * 2.0**64) if share < 1 else 2**63 - 1))
     examples = (
-        rows.where(F.length("html").between(1, TRAIN_CHARS))
-        .orderBy(F.xxhash64("page_id"), "page_id")
+        few.where(F.length("html").between(1, TRAIN_CHARS))
+        .orderBy(number, "page_id")
         .limit(TRAIN_PAGES)
         .select("html")
         .collect()
