@@ -1,16 +1,22 @@
-"""Encoding with a public tokenizer file, one distinct chunk of text at a time.
+"""Encoding with a public tokenizer file, one distinct piece of text at a time.
 
 Texts repeat their words, and a tokenizer never merges across certain places.
-So a text is cut there, and each distinct chunk is encoded once per worker.
-The ids are those of encoding the whole text.
+So a text is cut at white space into chunks, chunks into the pieces that the
+tokenizer itself would cut, and each distinct chunk and piece is encoded once
+per worker while it is in use. The ids are those of encoding the whole text.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import unicodedata
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
-import numpy as np
+import regex
 
 #: The Unicode characters with the property White_Space (fixed values).
 _SPACE = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -22,40 +28,107 @@ CHUNKS = {
     "spaced": re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+"),
 }
 
-_encoders: dict[tuple, CachedEncoder] = {}
+#: The pieces into which the two kinds of tokenizer cut a text (fixed values).
+PIECES = {
+    "words": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"),
+    "spaced": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
+}
+
+#: Characters whose kind no version of Unicode has changed: ASCII, Latin, Cyrillic, kana, common ideographs.
+_SETTLED = re.compile(r"[\t-\r\x20-\x7e\u00a1-\u017f\u0400-\u045f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]*")
+
+
+def _is_latin(text: str) -> bool:
+    """Whether all characters are ASCII or Latin-1, none of which is composed of others."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+@contextmanager
+def without_collector() -> Iterator[None]:
+    """Hold the collector of cycles off where many lists without cycles are made."""
+    running = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if running:
+            gc.enable()
+
+
+class Recent:
+    """Remembers what was learnt for a key: at most ``limit`` keys, those in recent use."""
+
+    def __init__(self, learn: Callable[[list[str]], Iterable[bytes]], limit: int):
+        self.learn = learn
+        self.limit = limit
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def of(self, keys: set[str]) -> dict[str, bytes]:
+        """A dictionary that has all ``keys``."""
+        missing = keys.difference(self.now)
+        if len(self.now) + len(missing) > self.limit // 2:
+            self.now, self.before = {}, self.now
+            missing = keys
+        held = {k: self.before[k] for k in missing if k in self.before}
+        self.now.update(held)
+        new = list(missing.difference(held)) if held else list(missing)
+        self.now.update(zip(new, self.learn(new), strict=True))
+        return self.now
 
 
 class CachedEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    ``chunks`` names a rule of ``CHUNKS``, or is None to encode texts whole.
-    The cache holds at most ``limit`` chunks; it is emptied when full.
+    ``chunks`` names a rule of ``CHUNKS``, or is None to encode texts whole. At most
+    ``pieces`` pieces and ``words`` chunks are remembered.
     """
 
-    def __init__(self, path: str, chunks: str | None, limit: int = 300_000):
+    def __init__(self, path: str, chunks: str | None, pieces: int = 1_000_000, words: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         # special tokens spelled out in a text are ordinary text
         self.tokenizer.encode_special_tokens = True
-        self.split = CHUNKS[chunks].findall if chunks else lambda text: [text]
-        self.limit = limit
-        self.cache: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return {c: np.asarray(e.ids, "<u4").tobytes() for c, e in zip(chunks, encoded, strict=True)}
+        self.kind = chunks
+        self.pieces = Recent(self._encode_each, pieces)
+        self.chunks = Recent(self._join_pieces, words)
+
+    def _encode_each(self, texts: list[str]) -> Iterator[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return (array("I", e.ids).tobytes() for e in encoded)
+
+    def _cut(self, chunk: str) -> list[str]:
+        if not chunk.isascii():
+            if not _SETTLED.fullmatch(chunk):
+                return [chunk]  # left whole to the tokenizer
+            chunk = unicodedata.normalize("NFC", chunk) if self.kind == "words" else chunk
+        if self.kind == "words":  # this tokenizer composes characters and lowers case before it cuts
+            chunk = chunk.lower()
+        return PIECES[self.kind].findall(chunk)
+
+    def _join_pieces(self, chunks: list[str]) -> Iterator[bytes]:
+        cut = list(map(self._cut, chunks))
+        find = self.pieces.of(set().union(*cut)).__getitem__
+        return (b"".join(map(find, pieces)) for pieces in cut)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.split(text) for text in texts]
-        new = set().union(*cut).difference(self.cache)
-        if len(self.cache) + len(new) > self.limit:
-            self.cache = {}
-            new = set().union(*cut)
-        self.cache.update(self._learn(list(new)))
-        find = self.cache.__getitem__
-        return [b"".join(map(find, chunks)) for chunks in cut]
+        if self.kind is None:
+            return list(self._encode_each(texts))
+        if self.kind == "words":  # fewer chunks differ, and the tokenizer would do the same
+            texts = [t.lower() if _is_latin(t) else t for t in texts]
+        with without_collector():
+            cut = list(map(CHUNKS[self.kind].findall, texts))
+            find = self.chunks.of(set().union(*cut)).__getitem__
+            return [b"".join(map(find, chunks)) for chunks in cut]
+
+
+_encoders: dict[tuple, CachedEncoder] = {}
 
 
 def encoder(path: str, chunks: str | None) -> CachedEncoder:

@@ -23,13 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loresift.llm.common import filled, slices
+from loresift.llm.common import filled, slices, small_batches
 from loresift.llm.encoding import encoder
 
 #: Documents of a group on average; a group holds at most one sequence of ids for each.
 GROUP_DOCS = 1024
 #: Bins less full than this are taken apart.
 MIN_FILL = 0.98
+#: Tasks encode about this many bytes of text at once.
+_BYTES = 2 << 20
 
 _CUT = pa.schema(
     [("group", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
@@ -75,7 +77,7 @@ def _cutter(path: str, chunks: str | None, size: int, end_id: int, groups: int,
         # the same draws again if the task is run again
         draw = np.random.default_rng([seed, TaskContext.get().partitionId()])
         encode, end = encoder(path, chunks).encode, np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_BYTES):
             rows = []
             for doc_id, ids in zip(
                 batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True
@@ -157,6 +159,7 @@ def pack(
     ``ids`` are little-endian unsigned 32-bit numbers, null unless ``keep_ids``.
     ``chunks`` says where the tokenizer allows a text to be cut (see ``encoding``).
     """
+    small_batches(docs)
     groups = max(1, math.ceil(docs.count() / group_docs))
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(F.col("text")).alias("text")).mapInArrow(
         _cutter(tokenizer_path, chunks, size, end_id, groups, seed, keep_ids), _CUT_SQL

@@ -84,11 +84,12 @@ def test_chunked_encoding_equals_whole(name, chunks):
     alphabet = "ab eT's\t\n\r  .,!1Éß́ \x1c\x85<|>ﬁΣς中"
     texts = ["", " ", "<|endoftext|> a", " a  b \n\n c ", "it's  we'll"]
     texts += ["".join(draw.choice(alphabet) for _ in range(draw.randrange(40))) for _ in range(3000)]
+    texts += ["".join(chr(draw.randrange(1, 0x2FFF)) for _ in range(20)) for _ in range(600)]
     path = public_tokenizers.path(name)
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     whole = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    mine = encoding.CachedEncoder(path, chunks, limit=50)
+    mine = encoding.CachedEncoder(path, chunks, pieces=50, words=50)
     for at in range(0, len(texts), 100):
         got = [np.frombuffer(b, "<u4").tolist() for b in mine.encode(texts[at : at + 100])]
         assert got == whole[at : at + 100]
