@@ -21,11 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loresift.llm.common import filled, slices
+from loresift.llm.common import filled, slices, small_batches
 from loresift.llm.encoding import encoder
 
 #: block and row give a document's place: block by block, row by row.
-SCHEMA = "doc_id long, block int, row long, ids array<int>"
+SCHEMA = "doc_id long, block int, row long, ids array<int>"#: Tasks encode about this many bytes of text at once.
+_BYTES = 2 << 20
 _FILE = pa.schema(
     [("doc_id", pa.int64()), ("block", pa.int32()), ("row", pa.int64()), ("ids", pa.list_(pa.int32()))]
 )
@@ -43,7 +44,7 @@ def _encode(path: str, chunks: str | None, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path, chunks).encode, np.array([end_id], "<u4").tobytes()
         block, row = TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_BYTES):
             ids = [x + end for x in encode(batch.column("text").to_pylist())]
             offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
@@ -63,6 +64,7 @@ def _encode(path: str, chunks: str | None, end_id: int) -> Callable:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, chunks: str | None, end_id: int = 0) -> None:
     """Encode all texts, each followed by ``end_id``, into ORC files below ``path``."""
+    small_batches(docs)
     text = filled(F.col("text"))
     order = ["doc_id", "tie"]
     (
