@@ -30,13 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loresift.llm.common import filled, slices
+from loresift.llm.common import filled, slices, small_batches
+from loresift.llm.encoding import Recent, without_collector
 
 SPACE = "▁"
-#: A worker remembers the ids of this many words.
-_REMEMBERED = 300_000
+#: A worker remembers the ids of this many words, and of this many parts of words.
+_WORDS, _PARTS = 300_000, 600_000
+#: Between letters and ASCII marks.
+_LETTER, _MARK = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]", r"[!-/:-@\[-`{-~]"
+_BETWEEN = re.compile(f"(?<={_LETTER})(?={_MARK})|(?<={_MARK})(?={_LETTER})")
 #: Words are advanced together in groups of at most this many characters.
-_GROUP = 1 << 18
+_GROUP = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.int64(-1)
 
@@ -122,19 +126,25 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ids.get(p) for p in parts]
 
-    def find(self, codes: np.ndarray) -> np.ndarray:
-        """Piece ids of rows of code points, -1 where there is none."""
-        keys = _hashes(codes)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        found = np.where(self.keys[at] == keys, self.key_ids[at], _NONE)
-        # the text itself decides
-        width = codes.shape[1]
-        hit = np.flatnonzero(found >= 0)
-        same = (self.texts[found[hit], :width] == codes[hit]).all(axis=1)
-        if width < self.longest:
-            same &= self.texts[found[hit], width] == 0
-        found[hit[~same]] = _NONE
-        return found
+    def spans(self, codes: np.ndarray) -> Iterator[np.ndarray]:
+        """For 1, 2, ... characters: ids of the pieces that begin at each place of each word, -1 where there is none."""
+        count, length = codes.shape
+        hashes = np.zeros((count, length), np.uint64)
+        for k in range(1, min(length, self.longest) + 1):
+            places = length - k + 1
+            hashes = (hashes[:, :places] + codes[:, k - 1 :].astype(np.uint64)) * _BASE
+            hashes ^= hashes >> np.uint64(29)
+            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            row, column = np.nonzero(self.keys[at] == hashes)
+            ids = self.key_ids[at[row, column]]
+            # the text itself decides
+            text = np.lib.stride_tricks.sliding_window_view(codes, k, axis=1)[row, column]
+            same = (self.texts[ids, :k] == text).all(axis=1)
+            if k < self.longest:
+                same &= self.texts[ids, k] == 0
+            found = np.full((count, places), _NONE)
+            found[row[same], column[same]] = ids[same]
+            yield found
 
     def compatible(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether merges leave each pair of pieces as it is.
@@ -177,11 +187,7 @@ class Pieces:
         Returns the piece ids in reading order, row after row, and each row's number of pieces.
         """
         count, length = codes.shape
-        # ids of the substrings by length and first character
-        spans = {k: np.full((count, length - k + 1), _NONE) for k in range(1, min(length, self.longest) + 1)}
-        for k, ids in spans.items():
-            windows = np.lib.stride_tricks.sliding_window_view(codes, k, axis=1)
-            ids[:] = self.find(windows.reshape(-1, k)).reshape(ids.shape)
+        spans = dict(enumerate(self.spans(codes), 1))
         last = np.full((count, length + 1), _NONE)  # the piece that ends here
         back = np.zeros((count, length + 1), np.int64)  # its length
         for end in range(1, length + 1):
@@ -222,36 +228,42 @@ class Encoder:
         # a word is a run of space marks and what follows; characters without a piece stand alone
         self.split = re.compile(f"{SPACE}*(?:(?!{SPACE}|{foreign})(?s:.))+|{SPACE}+|(?s:.)").findall
         self.characters = characters
-        self.cache: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
+        # no merge crosses from letters to marks or back if no piece holds both
+        written = [p for i, p in enumerate(self.pieces.pieces) if i not in self.pieces.byte_of and i not in self.pieces.silent]
+        mixed = any(_BETWEEN.search(p) for p in written if p != self.pieces.pieces[self.pieces.unknown])
+        self.between = None if mixed else _BETWEEN
+        self.parts = Recent(self._encode_parts, _PARTS)
+        self.words = Recent(self._join_parts, _WORDS)
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {}
         by_length: dict[int, list[str]] = {}
-        for word in new:
-            if len(word) == 1 and word not in self.characters:
-                byte_ids = [self.pieces.bytes.get(b) for b in word.encode()]
-                ids = [self.pieces.unknown] if None in byte_ids else byte_ids
-                self.cache[word] = np.array(ids, "<u4").tobytes()
+        for part in parts:
+            if len(part) == 1 and part not in self.characters:
+                byte_ids = [self.pieces.bytes.get(b) for b in part.encode()]
+                out[part] = np.array([self.pieces.unknown] if None in byte_ids else byte_ids, "<u4").tobytes()
             else:
-                by_length.setdefault(len(word), []).append(word)
-        for length, words in by_length.items():
+                by_length.setdefault(len(part), []).append(part)
+        for length, same in by_length.items():
             step = max(1, _GROUP // length)
-            for at in range(0, len(words), step):
-                part = words[at : at + step]
-                ids, sizes = self.pieces.viterbi(_codes(part, length).astype(np.int64))
-                data, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes).tolist()
-                for word, a, b in zip(part, [0, *ends], ends, strict=False):
-                    self.cache[word] = data[4 * a : 4 * b]
+            for at in range(0, len(same), step):
+                group = same[at : at + step]
+                ids, sizes = self.pieces.viterbi(_codes(group, length).astype(np.int64))
+                data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+                out.update((part, data[a:b]) for part, a, b in zip(group, [0, *ends], ends, strict=False))
+        return [out[part] for part in parts]
+
+    def _join_parts(self, words: list[str]) -> Iterator[bytes]:
+        cut = [self.between.split(w) for w in words] if self.between else [[w] for w in words]
+        find = self.parts.of(set().union(*cut)).__getitem__
+        return (b"".join(map(find, parts)) for parts in cut)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
-        cut = [self.split(self.normalize(text)) for text in texts]
-        new = set().union(*cut).difference(self.cache)
-        if len(self.cache) + len(new) > _REMEMBERED:
-            self.cache = {}
-            new = set().union(*cut)
-        self._learn(sorted(new))
-        find = self.cache.__getitem__
-        return [b"".join(map(find, words)) for words in cut]
+        with without_collector():
+            cut = [self.split(self.normalize(text)) for text in texts]
+            find = self.words.of(set().union(*cut)).__getitem__
+            return [b"".join(map(find, words)) for words in cut]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; byte pieces in a row are read as UTF-8."""
@@ -304,6 +316,7 @@ def _decode(path: str) -> Callable:
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id and the ids of its text."""
+    small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(F.col("text")).alias("text"))
     return rows.mapInArrow(_encode(model_path), "doc_id long, ids array<int>")
 
