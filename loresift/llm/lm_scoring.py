@@ -1,15 +1,25 @@
 """Cross-entropy difference of two matched n-gram models.
 
 The target model counts the documents labelled good, the background model all
-documents. Both share one vocabulary: words and word pairs fall by a hash into
-fixed numbers of cells, so the tables stay at one size however many words the
-corpus has, and every word is counted. Background counts are scaled to the
+documents. Both share one vocabulary, and every word and word pair has counts
+of its own, held under its 64-bit hash. Background counts are scaled to the
 target's size, so that both models are smoothed alike. A document's score is
 the mean over its words of the loss under the target model minus the loss
 under the background model: the lower, the more it reads like the target.
 
-P(w | v) = (n(v, w) + MU * P(w)) / (n(v) + MU), and P(w) is smoothed by one
-count spread over all words' cells. A text's first word follows a start mark.
+P(w | v) = (n(v, w) + MU * P(w)) / (n(v) + MU), and P(w) is smoothed by
+2**-WORD_BITS of a count for each word. A text's first word follows a start mark.
+
+1. Documents are dealt to blocks by a hash. A block counts its distinct words,
+   pairs, and all its words, for both models.
+2. Counts are dealt by ranges of the hash to parts, a row for each block and
+   part, and summed there. As a block names a key once, however common it is,
+   no key is hot. Each block is sent the sums of the keys it named.
+3. A block scores its documents from those sums.
+
+Blocks and parts grow in number with the input, not in size; nothing but the
+input's size in bytes comes to the driver. Numbers travel as compressed planes
+of their bytes, as they would be several times the texts.
 
 Bound: ``TARGET_ROWS`` good labels (the first by a hash of the id) make the
 target model. The background covers every document.
@@ -23,122 +33,194 @@ table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loresift.llm.common import filled, settle, slices, small_batches
+from loresift.llm.common import filled, small_batches
 from loresift.llm.shingles import mix, word_hashes
 
 TARGET_ROWS = 500_000
+#: A word's share in the smoothing of P(w), as a power of two.
 WORD_BITS = 16
-PAIR_BITS = 20
 #: The weight of the one-word distribution in that of pairs, in words.
 MU = 50.0
-_BYTES = 2 << 20
+#: Bytes of text of a block, and bytes of text whose counts make a part.
+BLOCK_BYTES = 8 << 20
+PART_BYTES = 16 << 20
+#: Blocks and parts of small inputs, so that many tasks share them.
+LEAST_BLOCKS, LEAST_PARTS = 64, 256
 _START = np.uint64(0x5DEECE66D)
+_TOTAL = np.uint64(0x2545F4914F6CDD1D)
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
+_COUNTS = "part int, block int, n int, keys binary, counts binary"
+_SUMS = "block int, part int, n int, others binary"
 _SCORES = "doc_id long, n_words long, target_loss double, background_loss double, score double"
 
 
-def cells(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of each word, of the word before it and of the pair; and where each text's words begin."""
-    hashes, begin = word_hashes(texts)
-    before = np.concatenate([[_START], hashes[:-1]]) if len(hashes) else hashes
-    first = begin[:-1][np.diff(begin) > 0]
-    before[first] = _START
-    own, previous = (mix(h, 11) >> np.uint64(64 - WORD_BITS) for h in (hashes, before))
-    pair = mix(before * _MULTIPLY + hashes, 12) >> np.uint64(64 - PAIR_BITS)
-    return own.astype(np.int64), previous.astype(np.int64), pair.astype(np.int64), begin
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's texts: counts by cell. Words have cells from 0, words as the one before from
-    2**WORD_BITS, pairs from 2**(WORD_BITS + 1)."""
-    size = (2 << WORD_BITS) + (1 << PAIR_BITS)
-    counts = np.zeros((2, size), np.int64)
-    for batch in slices(batches, limit=_BYTES):
-        own, previous, pair, begin = cells(batch.column("text"))
-        good = np.repeat(batch.column("good").to_numpy(zero_copy_only=False).astype(bool), np.diff(begin))
-        for part, shift in ((own, 0), (previous, 1 << WORD_BITS), (pair, 2 << WORD_BITS)):
-            np.add.at(counts[1], part + shift, 1)
-            np.add.at(counts[0], part[good] + shift, 1)
-    held = np.flatnonzero(counts[1])
-    for at in range(0, len(held), 100_000):
-        run = held[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(run), pa.array(counts[0, run]), pa.array(counts[1, run])], names=["cell", "target", "background"]
-        )
-
-
-class Model:
-    """Losses of words after words, from counts by cell."""
-
-    def __init__(self, counts: np.ndarray):
-        split = (1 << WORD_BITS, 2 << WORD_BITS)
-        words, self.previous, self.pairs = (counts[a:b] for a, b in zip((0, *split), (*split, None), strict=True))
-        self.words = (words + 1 / len(words)) / (words.sum() + 1)
-
-    def losses(self, own: np.ndarray, previous: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        seen = np.minimum(self.pairs[pair], self.previous[previous])  # other pairs may share the cell
-        return -np.log((seen + MU * self.words[own]) / (self.previous[previous] + MU))
-
-
-def _scorer(models) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = (Model(c) for c in models.value)
-        for batch in slices(batches, limit=_BYTES):
-            own, previous, pair, begin = cells(batch.column("text"))
-            sizes = np.diff(begin)
-            means = []
-            for model in (target, background):
-                sums = np.concatenate([[0.0], np.cumsum(model.losses(own, previous, pair), dtype=np.float64)])
-                means.append((sums[begin[1:]] - sums[begin[:-1]]) / np.maximum(sizes, 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), *map(pa.array, means), pa.array(means[0] - means[1])],
-                names=["doc_id", "n_words", "target_loss", "background_loss", "score"],
-            )
-
-    return run
-
-
-def count_cells(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Counts by cell of the good documents and of all, as two rows. Their size is fixed by WORD_BITS and PAIR_BITS."""
-    good = (
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed planes: all first bytes, all second bytes and so on."""
+    planes = numbers.reshape(-1, 1).view(np.uint8).T
+    return pa.Codec("zstd", compression_level=1).compress(np.ascontiguousarray(planes), asbytes=True)
+
+
+def unpacked(data: bytes, kind: type, rows: int, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = pa.Codec("zstd").decompress(data, width * rows * n)
+    planes = np.frombuffer(planes, np.uint8).reshape(width, rows * n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(rows, n)
+
+
+@dataclass
+class Tokens:
+    """A block's texts: distinct words (and the start mark) and pairs, and each word's place among them."""
+
+    ids: pa.Array
+    good: np.ndarray
+    begin: np.ndarray
+    words: np.ndarray
+    own: np.ndarray
+    before: np.ndarray
+    pairs: np.ndarray
+    first: np.ndarray
+    pair: np.ndarray
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the words, the pairs and the number of words, in ascending order; and that order."""
+        keys = np.concatenate([mix(self.words, 11), self.pairs, [_TOTAL]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+
+    def counts(self) -> np.ndarray:
+        """Rows by key: how often in the target and in the background, and how often as a text's last word in each.
+
+        The start mark counts as often as it has a word after it.
+        """
+        sizes = np.diff(self.begin)
+        last = self.own[self.begin[1:][sizes > 0] - 1]
+        out = np.zeros((4, len(self.words) + len(self.pairs) + 1), np.int32)
+        for row, texts in ((0, self.good), (1, np.ones_like(self.good))):
+            among = np.repeat(texts, sizes)
+            out[row, : len(self.words)] = np.bincount(self.own[among], minlength=len(self.words))
+            out[row, self.start] = (texts & (sizes > 0)).sum()
+            out[row, len(self.words) : -1] = np.bincount(self.pair[among], minlength=len(self.pairs))
+            out[row, -1] = among.sum()
+            out[row + 2, : len(self.words)] = np.bincount(last[texts[sizes > 0]], minlength=len(self.words))
+        return out
+
+    @property
+    def start(self) -> int:
+        return int(np.searchsorted(self.words, _START))
+
+
+def tokens(block: pa.Table) -> Tokens:
+    """Of a block's documents. Its rows without text name the good ones."""
+    docs = block.filter(pc.is_valid(block.column("text")))
+    named = block.filter(pc.is_null(block.column("text"))).column("doc_id")
+    good = pc.is_in(docs.column("doc_id"), value_set=named.combine_chunks()).to_numpy()
+    hashes, begin = word_hashes(docs.column("text").combine_chunks())
+    words, own = np.unique(np.append(hashes, _START), return_inverse=True)
+    start, own = own[-1], own[:-1]
+    before = np.append(start, own)[:-1]
+    before[begin[:-1][np.diff(begin) > 0]] = start
+    both = mix(words[before] * _MULTIPLY + words[own], 12)
+    pairs = np.unique(both, return_index=True, return_inverse=True)
+    return Tokens(docs.column("doc_id").combine_chunks(), good, begin, words, own, before, *pairs)
+
+
+def _cuts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Parts of keys in ascending order, and where the keys of each begin and end."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+    begin = np.flatnonzero(np.diff(part, prepend=-1))
+    return part[begin], list(zip(begin.tolist(), [*begin[1:].tolist(), len(part)], strict=True))
+
+
+def _counter(parts: int) -> Callable:
+    def count(block: pa.Table) -> pa.Table:
+        found = tokens(block)
+        keys, order = found.keys()
+        counts = found.counts()[:, order]
+        part, cuts = _cuts(keys, parts)
+        columns = [
+            pa.array(part),
+            pa.array(np.full(len(part), block.column("block")[0].as_py(), np.int32)),
+            pa.array([b - a for a, b in cuts], pa.int32()),
+            pa.array([packed(keys[a:b]) for a, b in cuts], pa.binary()),
+            pa.array([packed(np.ascontiguousarray(counts[:, a:b])) for a, b in cuts], pa.binary()),
+        ]
+        return pa.table(columns, names=["part", "block", "n", "keys", "counts"])
+
+    return count
+
+
+def _add(part: pa.Table) -> pa.Table:
+    """Of a part: for each block what the other blocks counted of the keys it named, in its order."""
+    sizes = part.column("n").to_pylist()
+    keys = [unpacked(k, np.uint64, 1, n)[0] for k, n in zip(part.column("keys").to_pylist(), sizes, strict=True)]
+    counts = [unpacked(c, np.int32, 4, n) for c, n in zip(part.column("counts").to_pylist(), sizes, strict=True)]
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.zeros((4, len(distinct)), np.int64)
+    for row in range(4):
+        sums[row] = np.bincount(place, np.concatenate([c[row] for c in counts]), len(distinct))
+    ends = np.cumsum(sizes)
+    others = [packed(sums[:, place[e - n : e]] - own) for own, e, n in zip(counts, ends, sizes, strict=True)]
+    columns = [part.column("block"), part.column("part"), part.column("n"), pa.array(others, pa.binary())]
+    return pa.table(columns, names=["block", "part", "n", "others"])
+
+
+def _score(block: pa.Table, sums: pa.Table) -> pa.Table:
+    found = tokens(block)
+    _, order = found.keys()
+    counts = found.counts().astype(np.float64)
+    sums = sums.sort_by("part")
+    others = zip(sums.column("others").to_pylist(), sums.column("n").to_pylist(), strict=True)
+    counts[:, order] += np.concatenate([unpacked(o, np.int64, 4, n) for o, n in others], axis=1)
+    sizes = np.diff(found.begin)
+    if counts[0, -1]:
+        counts[[1, 3]] *= counts[0, -1] / counts[1, -1]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        own, before = found.own[found.first], found.before[found.first]
+        means = []
+        for n, last in zip(counts[:2], counts[2:], strict=True):
+            chance = (n[own] + 2.0**-WORD_BITS) / (n[-1] + 1)
+            losses = -np.log((n[len(found.words) : -1] + MU * chance) / (n[before] - last[before] + MU))
+            means.append(np.bincount(owner, losses[found.pair], len(sizes)) / np.maximum(sizes, 1))
+    else:
+        sizes, means = np.zeros_like(sizes), [np.zeros(len(sizes))] * 2
+    return pa.table(
+        [found.ids, pa.array(sizes), *map(pa.array, means), pa.array(means[0] - means[1])],
+        names=["doc_id", "n_words", "target_loss", "background_loss", "score"],
+    )
+
+
+def good_documents(labels: DataFrame) -> DataFrame:
+    """Ids of the documents that make the target model."""
+    return (
         labels.where("quality = 1 AND doc_id IS NOT NULL")
         .select(F.col("doc_id").cast("long").alias("label_id"))
         .distinct()
         .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(TARGET_ROWS)
     )
-    # at most TARGET_ROWS ids
-    marked = docs.join(F.broadcast(good), docs.doc_id == F.col("label_id"), "left")
-    marked = marked.select("text", F.col("label_id").isNotNull().alias("good"))
-    counted = marked.mapInArrow(_count, "cell long, target long, background long").groupBy("cell")
-    sums = settle(counted.agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "cell-counts")
-    table = sums.toArrow()
-    out = np.zeros((2, (2 << WORD_BITS) + (1 << PAIR_BITS)))
-    for row, name in enumerate(("target", "background")):
-        out[row, table.column("cell").to_numpy()] = table.column(name).to_numpy()
-    return out
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: n_words, mean loss under both models, and their difference."""
     small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(F.col("text")).alias("text"))
-    counts = count_cells(rows, labels)
-    words = counts[:, : 1 << WORD_BITS].sum(axis=1)
-    if not words[0]:
-        nothing = F.lit(0.0)
-        return rows.select(
-            "doc_id", F.lit(0).cast("long").alias("n_words"),
-            *[nothing.alias(c) for c in ("target_loss", "background_loss", "score")],
-        )
-    counts[1] *= words[0] / words[1]
-    models = rows.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
-    return rows.mapInArrow(_scorer(models), _SCORES)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, parts = max(LEAST_BLOCKS, size // BLOCK_BYTES), max(LEAST_PARTS, size // PART_BYTES)
+    # by what a row holds, so that a task that runs anew deals alike
+    keyed = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
+    good = keyed.select("block", "doc_id").join(good_documents(labels), F.col("doc_id") == F.col("label_id"))
+    named = good.select("block", "doc_id", F.lit(None).cast("string").alias("text")).distinct()
+    dealt = keyed.union(named)
+    counts = dealt.groupBy("block").applyInArrow(_counter(parts), _COUNTS)
+    sums = counts.groupBy("part").applyInArrow(_add, _SUMS)
+    return dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_score, _SCORES)

@@ -67,3 +67,17 @@ def test_no_target_and_empty_tables(spark, docs, odd):
     none = spark.createDataFrame([(1, 0, 0, "")], LABELS)
     assert {r.score for r in lm_scoring.score_documents(odd, none).collect()} == {0.0}
     assert lm_scoring.score_documents(odd.where("false"), none).collect() == []
+
+
+def test_large_vocabulary_is_counted_exactly(spark, docs):
+    """More words than 2**16 and more pairs than any task's share: nothing is mixed up with anything else."""
+    draw = random.Random(3)
+    many = [(i, " ".join(f"w{draw.randrange(300_000)}" for _ in range(1000))) for i in range(150)]
+    many += [(1000 + i, " ".join(draw.choices(many[i][1].split(), k=40))) for i in range(150)]
+    assert len({x for _, t in many for x in t.split()}) > 100_000
+    good = set(range(0, 150, 3))
+    labels = spark.createDataFrame([(i, int(i in good), 0, "") for i, _ in many], LABELS)
+    got = sorted((r.doc_id, r.n_words, r.score) for r in lm_scoring.score_documents(docs(*many), labels).collect())
+    expected = sorted(brute(many, good))
+    assert [g[:2] for g in got] == [e[:2] for e in expected]
+    assert [g[2] for g in got] == pytest.approx([e[2] for e in expected], abs=1e-9)
