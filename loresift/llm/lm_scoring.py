@@ -21,9 +21,6 @@ Blocks and parts grow in number with the input, not in size; nothing but the
 input's size in bytes comes to the driver. Numbers travel as compressed planes
 of their bytes, as they would be several times the texts.
 
-Bound: ``TARGET_ROWS`` good labels (the first by a hash of the id) make the
-target model. The background covers every document.
-
 Defined results: words are runs of other characters than blank, tab to
 carriage return, with A to Z as a to z. A null or empty text has no words and
 scores 0, as do all texts if there is no target document. A document is good
@@ -45,7 +42,6 @@ from pyspark.sql import functions as F
 from loresift.llm.common import filled, small_batches
 from loresift.llm.shingles import mix, word_hashes
 
-TARGET_ROWS = 500_000
 #: A word's share in the smoothing of P(w), as a power of two.
 WORD_BITS = 16
 #: The weight of the one-word distribution in that of pairs, in words.
@@ -201,13 +197,8 @@ def _score(block: pa.Table, sums: pa.Table) -> pa.Table:
 
 def good_documents(labels: DataFrame) -> DataFrame:
     """Ids of the documents that make the target model."""
-    return (
-        labels.where("quality = 1 AND doc_id IS NOT NULL")
-        .select(F.col("doc_id").cast("long").alias("label_id"))
-        .distinct()
-        .orderBy(F.xxhash64("label_id"), "label_id")
-        .limit(TARGET_ROWS)
-    )
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL")
+    return good.select(F.col("doc_id").cast("long").alias("label_id")).distinct()
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
