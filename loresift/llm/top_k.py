@@ -5,12 +5,14 @@ vectors, an approximation of one byte per component: the number of the cell,
 of even width, that the component lies in. A block of queries scans the
 approximations first. They bound every inner product from both sides. Exact
 vectors are then read in the order of their upper bounds, until the k-th best
-exact score is above every bound left. The k best of each pair of blocks are
-merged by a window.
+exact score is above every bound left. Vectors so large that bounds would not
+be exact as doubles are scored one by one in integers. The k best of each pair
+of blocks are merged by a window.
 
 Defined results: a component x counts as floor(scale * x), x as double.
-Vectors that are null, or hold null or non-finite components, or components
-beyond +-2**31 after scaling, take no part. Vectors of another length than the
+Vectors that are null, or hold null or non-finite components, take no part.
+A component beyond 64 bits after scaling, or a best score beyond 64 bits, is an
+error. Vectors of another length than the
 query's are no candidates. Rows that repeat an id are candidates each; as
 queries they count once, with the row that sorts first. Ties go to the smaller
 id. A query has fewer than k results if there are fewer candidates. Empty
@@ -19,6 +21,7 @@ tables give an empty result.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterator
 
@@ -40,12 +43,16 @@ _HITS = "query_id long, vec_id long, score long"
 
 def scaled(embedding: Column, scale: int) -> Column:
     """Integer components, or null if the vector takes no part."""
-    values = F.transform(embedding, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    good = F.forall(
-        embedding,
-        lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float(2**31 / scale))),
-    )
-    return F.when(good, values)
+
+    def finite(x: Column) -> Column:
+        return x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(math.inf))
+
+    def floor(x: Column) -> Column:
+        y = F.lit(float(scale)) * x.cast("double")
+        wrong = F.raise_error(F.lit("embedding component beyond 64 bits")).cast("long")
+        return F.when(F.abs(y) < F.lit(float(2**63)), F.floor(y)).when(finite(x), wrong)
+
+    return F.when(F.forall(embedding, finite), F.transform(embedding, floor))
 
 
 class Approximation:
@@ -60,7 +67,7 @@ class Approximation:
         """Upper bounds (queries by vectors), and how far each query's lower bounds lie below them.
 
         A component in cell c lies between its corner low + width * c and
-        width - 1 above. Integers this small are exact as doubles.
+        width - 1 above. Exact as doubles for components up to ``safe_size``.
         """
         q = queries.astype(np.float64)
         corner = (q @ self.cells.T.astype(np.float64)) * self.width + self.low * q.sum(axis=1, keepdims=True)
@@ -68,6 +75,23 @@ class Approximation:
         return corner + most, (self.width - 1) * np.abs(q).sum(axis=1)
 
 
+def safe_size(dims: int) -> int:
+    """Largest size of components with which bounds of so many dimensions stay below 2**53."""
+    return math.isqrt(2**50 // max(1, dims)) - CELLS
+
+
+def exact_top_k(
+    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same as ``block_top_k``, in integers of any size."""
+    wide, names = vectors.astype(object), ids.tolist()
+    for name, query in zip(query_ids, queries.astype(object), strict=True):
+        scores = (wide @ query).tolist() if len(query) else [0] * len(names)
+        best = heapq.nsmallest(k, ((-score, i) for score, i in zip(scores, names, strict=True) if i != name))
+        found = np.array([i for _, i in best], np.int64), np.array([-score for score, _ in best], np.int64)
+        yield np.full(len(best), name), *found
+
+
 def block_top_k(
     query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -97,6 +121,17 @@ def block_top_k(
             yield np.full(len(best), name), best_ids, best
 
 
+def pairs_top_k(
+    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query its best rows of the block: k of those that bounds serve and k of the others."""
+    most = safe_size(vectors.shape[1])
+    asked, held = (((rows >= -most) & (rows <= most)).all(axis=1) for rows in (queries, vectors))
+    for search, q, v in ((block_top_k, asked, held), (exact_top_k, asked, ~held), (exact_top_k, ~asked, np.ones_like(held))):
+        if q.any() and v.any():
+            yield from search(query_ids[q], queries[q], ids[v], vectors[v], k)
+
+
 def _searcher(k: int) -> Callable:
     def vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids = table.column("vec_id").to_numpy().astype(np.int64)
@@ -107,7 +142,7 @@ def _searcher(k: int) -> Callable:
         if not queries.num_rows or not data.num_rows:
             found = []
         else:
-            found = list(block_top_k(*vectors(queries), *vectors(data), k))
+            found = list(pairs_top_k(*vectors(queries), *vectors(data), k))
         columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 

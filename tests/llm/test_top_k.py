@@ -61,3 +61,13 @@ def test_bounds_enclose_scores():
     upper, gap = top_k.Approximation(vectors).upper_and_gap(queries)
     exact = queries @ vectors.T
     assert (exact <= upper).all() and (exact >= upper - gap[:, None]).all() and (gap > 0).all()
+
+
+def test_large_components(spark):
+    draw = random.Random(5)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(4)]) for i in range(100)]
+    rows += [(101 + i, [draw.gauss(0, 1) * 2**28, draw.gauss(0, 1) * 2**25, 1.0, -1.0]) for i in range(19)]
+    rows += [(140, [0.0, 0.0, 2.0**30, 0.25]), (141, [2.0**9, 1.0, 0.5, 0.0]), (142, [2.0**9, 1.0, 0.5, 0.25])]
+    assert search(make(spark, rows), data_block=40, query_block=3) == brute(rows, 20)
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        search(make(spark, [(0, [1.0]), (1, [2.0**60])]))
