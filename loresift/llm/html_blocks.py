@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +26,8 @@ BLOCK_TAGS = frozenset(
 )
 #: Elements without content (fixed values).
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page (fixed values).
-RAW_TAGS = frozenset("script style noscript template textarea svg math object canvas audio video noframes".split())
+#: Elements whose content is no text of the page: scripts, styles, inert markup and form input (fixed values).
+RAW_TAGS = frozenset("script style template textarea".split())
 #: A start tag that closes an open element of the same kind, up to the container named (fixed values).
 CLOSES = {
     "p": ("p",),
@@ -67,10 +69,19 @@ def blocks(page: str) -> list[Block]:
     """
     root = ("", frozenset(), np.zeros(PATH_SIZE, np.float32))
     stack = [root]
+    places: dict[str, list[int]] = defaultdict(list)  # where on the stack each tag is
     out: list[Block] = []
     held: list[str] = []
     size = linked = anchors = 0
 
+    def close(depth: int) -> None:
+        for tag, _, _ in stack[depth:]:
+            places[tag].pop()
+        del stack[depth:]
+
+    def innermost(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def flush() -> None:
         nonlocal size, linked
         text = " ".join(html.unescape("".join(held)).split())
@@ -104,21 +115,21 @@ def blocks(page: str) -> list[Block]:
         if tag == "br":
             held.append(" ")
             continue
-        if tag in BLOCK_TAGS:
+        # the title of a drawing is part of the line it stands in
+        block = tag in BLOCK_TAGS and not (tag == "title" and places.get("svg"))
+        if block:
             flush()
         if found[1]:
-            depth = next((i for i in range(len(stack) - 1, max(0, len(stack) - 200), -1) if stack[i][0] == tag), 0)
+            depth = innermost([tag])
             if depth:
-                del stack[depth:]
+                close(depth)
         elif tag not in VOID_TAGS:
             if tag in CLOSES:
-                for i in range(len(stack) - 1, max(0, len(stack) - 200), -1):
-                    if stack[i][0] in CLOSES[tag]:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in _CONTAINERS:
-                        break
-            if tag == "a" or tag not in BLOCK_TAGS:
+                depth = innermost(CLOSES[tag])
+                if depth > innermost(_CONTAINERS):
+                    close(depth)
+            places[tag].append(len(stack))
+            if not block:
                 stack.append((tag, stack[-1][1], stack[-1][2]))
             else:
                 names = {tag}

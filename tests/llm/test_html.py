@@ -30,6 +30,22 @@ def test_blocks_of_broken_and_nested_markup():
     assert texts("a <b") == ["a"] and texts("1 < 2 <p>x") == ["1 < 2", "x"]
 
 
+def test_formulas_and_fallback_texts_are_kept():
+    page = (
+        "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be<svg><title> drawn</title><path d='M0'/></svg>.</p>"
+        "<noscript>Whole text</noscript><p><object>a</object> <canvas>b</canvas> <audio>c</audio> <video>d</video></article>"
+    )
+    assert texts(page) == ["Let x=2 be drawn.", "Whole text", "a b c d"]
+
+
+def test_end_tags_reach_elements_at_any_depth():
+    found = html_blocks.blocks("<nav>" + "<span>" * 500 + "menu</nav><article><p>body" + "<i>" * 500 + "<p>more")
+    assert [(b.text, b.path) for b in found] == [
+        ("menu", {"nav"}), ("body", {"article", "p"}), ("more", {"article", "p"})
+    ]
+    assert abs(found[1].vector - found[2].vector).max() == 0
+
+
 def test_gradient_matches_differences():
     draw = np.random.default_rng(0)
     net = bilstm.BiLstm(3, hidden=2)
