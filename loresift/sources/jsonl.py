@@ -16,7 +16,7 @@ BLOCK_BYTES = 64 * 1024 * 1024
 SUFFIX = ".jsonl"
 #: Bytes read at a time, and lines handed on at a time.
 _READ_BYTES = 4 * 1024 * 1024
-_LINES = "file_path string, block bigint, nth bigint, line string"
+_LINES = "file_path string, event_index bigint, line string"
 
 
 def _block_lines(stream, start: int, end: int) -> Iterator[bytes]:
@@ -49,16 +49,28 @@ def _usable(line: bytes) -> str | None:
     return None if not text or text.isspace() else text
 
 
-def _read_blocks(blocks: DataFrame, root: str, block_bytes: int) -> DataFrame:
-    """``(file_path, block, nth, line)``: usable lines, numbered within their block by physical line."""
+def _opened(filesystem, path: str):
+    """The file, or None if it is gone or may not be read. Any other error fails the task, so that it runs again."""
+    try:
+        return filesystem.open_input_file(path)
+    except (FileNotFoundError, PermissionError):
+        return None
+
+
+def _read_blocks(blocks: DataFrame, root: str, block_bytes: int, counted: bool) -> DataFrame:
+    """``(file_path, event_index, line)``: usable lines of ``blocks`` (path, file_path, block, lines_before).
+
+    A file that was ``counted`` and is gone since is an error, as others of its blocks may have been read.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, _ = _open(root)
         for batch in batches:
-            for path, file_path, block in zip(*(batch.column(c).to_pylist() for c in ("path", "file_path", "block"))):
-                try:
-                    stream = filesystem.open_input_file(path)
-                except OSError:  # gone or unreadable
+            for path, file_path, block, before in zip(*(batch.column(c).to_pylist() for c in names)):
+                stream = _opened(filesystem, path)
+                if stream is None:
+                    if counted:
+                        raise FileNotFoundError(f"{path} went away while it was read")
                     continue
                 nth, texts, held = [], [], 0
                 with stream:
@@ -66,73 +78,76 @@ def _read_blocks(blocks: DataFrame, root: str, block_bytes: int) -> DataFrame:
                         text = _usable(line)
                         if text is None:
                             continue
-                        nth.append(number)
+                        nth.append(before + number)
                         texts.append(text)
                         held += len(line)
                         if held >= _READ_BYTES:
-                            yield _line_batch(file_path, block, nth, texts)
+                            yield _line_batch(file_path, nth, texts)
                             nth, texts, held = [], [], 0
                 if nth:
-                    yield _line_batch(file_path, block, nth, texts)
+                    yield _line_batch(file_path, nth, texts)
 
-    return blocks.select("path", "file_path", "block").mapInArrow(read, _LINES)
+    names = ["path", "file_path", "block", "lines_before"]
+    return blocks.select(*names).mapInArrow(read, _LINES)
 
 
-def _line_batch(file_path: str, block: int, nth: list[int], texts: list[str]) -> pa.RecordBatch:
-    columns = [
-        pa.array([file_path] * len(nth), pa.string()), pa.array([block] * len(nth), pa.int64()),
-        pa.array(nth, pa.int64()), pa.array(texts, pa.string()),
-    ]
-    return pa.record_batch(columns, names=["file_path", "block", "nth", "line"])
+def _line_batch(file_path: str, nth: list[int], texts: list[str]) -> pa.RecordBatch:
+    columns = [pa.array([file_path] * len(nth), pa.string()), pa.array(nth, pa.int64()), pa.array(texts, pa.string())]
+    return pa.record_batch(columns, names=["file_path", "event_index", "line"])
+
+
+def _lines_begun(filesystem, path: str, block: int, block_bytes: int) -> int | None:
+    """How many lines begin in a block, or None if its file is gone or may not be read."""
+    stream = _opened(filesystem, path)
+    if stream is None:
+        return None
+    at, end = max(0, block * block_bytes - 1), (block + 1) * block_bytes - 1
+    n = int(block == 0)
+    with stream:
+        stream.seek(at)
+        while at < end and (data := stream.read(min(_READ_BYTES, end - at))):
+            n += data.count(b"\n")
+            at += len(data)
+    return n
 
 
 def _count_lines(blocks: DataFrame, root: str, block_bytes: int) -> DataFrame:
-    """``(file_path, block, n_lines)``: how many lines begin in each block."""
+    """``(path, file_path, block, n_lines)``: how many lines begin in each block, null if the file is gone."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, _ = _open(root)
         for batch in batches:
-            counts = []
-            for path, block in zip(batch.column("path").to_pylist(), batch.column("block").to_pylist()):
-                at, end = max(0, block * block_bytes - 1), (block + 1) * block_bytes - 1
-                n = int(block == 0)
-                try:
-                    with filesystem.open_input_file(path) as stream:
-                        stream.seek(at)
-                        while at < end and (data := stream.read(min(_READ_BYTES, end - at))):
-                            n += data.count(b"\n")
-                            at += len(data)
-                except OSError:
-                    pass
-                counts.append(n)
-            yield pa.record_batch(
-                [batch.column("file_path"), batch.column("block"), pa.array(counts, pa.int64())],
-                names=["file_path", "block", "n_lines"],
-            )
-
-    return blocks.select("path", "file_path", "block").mapInArrow(count, "file_path string, block bigint, n_lines bigint")
+            rows = zip(batch.column("path").to_pylist(), batch.column("block").to_pylist())
+            counts = [_lines_begun(filesystem, path, block, block_bytes) for path, block in rows]
+            columns = [batch.column(c) for c in ("path", "file_path", "block")]
+            yield pa.record_batch([*columns, pa.array(counts, pa.int64())], names=["path", "file_path", "block", "n_lines"])
+
+    schema = "path string, file_path string, block bigint, n_lines bigint"
+    return blocks.select("path", "file_path", "block").mapInArrow(count, schema)
 
 
 def _numbered(files: DataFrame, root: str, block_bytes: int) -> DataFrame:
     """Lines of ``(path, file_path, size_bytes)``. Every file is read the same way, in blocks.
 
     A file of one block needs no more; the blocks of longer ones are placed by
-    the line counts of the blocks before.
+    the line counts of the blocks before. A file of which a block could not be
+    opened is left out whole.
     """
     last = F.greatest(F.ceil(F.col("size_bytes") / block_bytes) - 1, F.lit(0))
     several = F.col("size_bytes") > block_bytes
     blocks = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))))
-    spread = blocks.repartition(reading_tasks(files.sparkSession), "path", "block")
-    single = _read_blocks(spread.filter(~several), root, block_bytes).select(
-        "file_path", F.col("nth").alias("event_index"), "line"
-    )
-    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = reading_tasks(files.sparkSession)
+    spread = blocks.repartition(tasks, "path", "block")
+    single = spread.filter(~several).withColumn("lines_before", F.lit(0).cast("bigint"))
+    file = Window.partitionBy("file_path")
+    before = file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = _count_lines(spread.filter(several), root, block_bytes).select(
-        "file_path", "block", F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("lines_before")
-    )
-    parts = _read_blocks(spread.filter(several), root, block_bytes).join(placed, ["file_path", "block"])
-    return single.unionByName(
-        parts.select("file_path", (F.col("lines_before") + F.col("nth")).alias("event_index"), "line")
+        "path", "file_path", "block", F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("lines_before"),
+        (F.count("*").over(file) == F.count("n_lines").over(file)).alias("whole"),
+    )
+    parts = placed.filter("whole").repartition(tasks, "path", "block")
+    return _read_blocks(single, root, block_bytes, counted=False).unionByName(
+        _read_blocks(parts, root, block_bytes, counted=True)
     )
 
 

@@ -162,3 +162,46 @@ def test_listing_has_sizes_and_times(spark, tmp_path):
 def test_split_lines_of_a_column(spark):
     frame = spark.createDataFrame([("f", "a\n\nb")], "file_path string, value string")
     assert [(r["event_index"], r["line"]) for r in split_lines(frame).collect()] == [(0, "a"), (2, "b")]
+
+
+class Faulty:
+    """A store whose files fail on opening, or after the first read."""
+
+    def __init__(self, error, on_open=False):
+        self.error, self.on_open, self.reads = error, on_open, 0
+
+    def open_input_file(self, path):
+        if self.on_open:
+            raise self.error
+        return self
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return None
+
+    def seek(self, at):
+        return at
+
+    def read(self, size):
+        self.reads += 1
+        if self.reads > 1:
+            raise self.error
+        return b"x\n" * 10
+
+
+def test_only_files_that_are_gone_are_passed_over(spark, tmp_path):
+    from loresift.sources import jsonl
+
+    for error in (FileNotFoundError(2, "x"), PermissionError(13, "x")):
+        assert jsonl._lines_begun(Faulty(error, on_open=True), "x", 0, 100) is None
+    for on_open in (True, False):
+        with pytest.raises(OSError, match="storage"):
+            jsonl._lines_begun(Faulty(OSError(5, "storage"), on_open), "x", 0, 100)
+    (tmp_path / "a.jsonl").write_text("".join(f"line {i}\n" for i in range(50)))
+    files = [(str(tmp_path / n), str(tmp_path / n), 400) for n in ("a.jsonl", "gone.jsonl")]
+    listed = spark.createDataFrame(files, "path string, file_path string, size_bytes bigint")
+    for size in (64, 1000):
+        got = sorted((r.event_index, r.line) for r in jsonl._numbered(listed, str(tmp_path), size).collect())
+        assert got == [(i, f"line {i}") for i in range(50)]
