@@ -1,10 +1,11 @@
 """Packing token sequences: first-fit decreasing in randomised groups of documents.
 
 Documents are encoded, cut into full sequences and one remainder, and the
-pieces are dealt at random to groups of bounded size. Each group packs its
-remainders by itself: first-fit decreasing, with a tournament tree over the
-room left in the bins. Bins that stay too empty are taken apart and their
-pieces cut anew, so padding stays small whatever the lengths are.
+pieces are dealt at random to groups of bounded size. The draw is a hash of the
+piece and its task, so that a task that runs again draws the same. Each group
+packs its remainders by itself: first-fit decreasing, with a tournament tree
+over the room left in the bins. Bins that stay too empty are taken apart and
+their pieces cut anew, so padding stays small whatever the lengths are.
 
 Defined results: a null text counts as empty and gives the end id alone.
 Repeated rows are packed once each. Every id of every document lies in exactly
@@ -19,19 +20,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loresift.llm.common import filled, slices, small_batches
 from loresift.llm.encoding import encoder
+from loresift.llm.shingles import mix
 
-#: Documents of a group on average; a group holds at most one sequence of ids for each.
+#: Documents of a group on average, and bytes of their texts if that makes more groups.
 GROUP_DOCS = 1024
+GROUP_BYTES = 4 << 20
 #: Bins less full than this are taken apart.
 MIN_FILL = 0.98
 #: Tasks encode about this many bytes of text at once.
-_BYTES = 2 << 20
+_BYTES = 4 << 20
 
 _CUT = pa.schema(
     [("group", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
@@ -74,24 +78,29 @@ def first_fit_decreasing(lengths: list[int], size: int) -> list[list[int]]:
 
 def _cutter(path: str, chunks: str | None, size: int, end_id: int, groups: int, seed: int, keep_ids: bool) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the same draws again if the task is run again
-        draw = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        encode, end = encoder(path, chunks).encode, np.array([end_id], "<u4").tobytes()
+        encode, task = encoder(path, chunks).encode, TaskContext.get().partitionId()
         for batch in slices(batches, limit=_BYTES):
-            rows = []
-            for doc_id, ids in zip(
-                batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True
-            ):
-                ids += end
-                total = len(ids) // 4
-                for start in range(0, total, size):
-                    piece = ids[4 * start : 4 * (start + size)]
-                    length = len(piece) // 4
-                    kept = piece if keep_ids or length < size else None
-                    rows.append((0, doc_id, start, length, zlib.crc32(piece), total, kept))
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CUT, strict=True)]
-            columns[0] = pa.array(draw.integers(groups, size=len(rows)), pa.int64())
-            yield pa.RecordBatch.from_arrays(columns, schema=_CUT)
+            ids, ends = encode(batch.column("text"))
+            ids = np.insert(ids, ends[1:], end_id).astype("<u4", copy=False)
+            ends = ends + np.arange(len(ends))
+            totals = np.diff(ends)
+            pieces = -(-totals // size)
+            row = np.repeat(np.arange(len(totals)), pieces)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * size
+            begin = ends[row] + start
+            length = np.minimum(totals[row] - start, size)
+            crc = np.fromiter((zlib.crc32(ids[a : a + n]) for a, n in zip(begin, length, strict=True)), np.int64, len(row))
+            doc_id = batch.column("doc_id").take(pa.array(row))
+            drawn = mix(pc.fill_null(doc_id, -1).to_numpy().view(np.uint64), seed)
+            drawn = mix(drawn + start.view(np.uint64)) + mix(crc.view(np.uint64), task)
+            kept = np.full(len(row), True) if keep_ids else length < size
+            data = ids.view(np.uint8)
+            held = [data[4 * a : 4 * (a + n)].tobytes() if k else None for a, n, k in zip(begin, length, kept, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((mix(drawn) % np.uint64(groups)).astype(np.int64)), doc_id, pa.array(start), pa.array(length),
+                 pa.array(crc), pa.array(totals[row]), pa.array(held, pa.binary())],
+                schema=_CUT,
+            )
 
     return cut
 
@@ -99,46 +108,49 @@ def _cutter(path: str, chunks: str | None, size: int, end_id: int, groups: int,
 def _packer(size: int, min_fill: float, keep_ids: bool) -> Callable:
     def pack(table: pa.Table) -> pa.Table:
         # a fixed order, whatever order the shuffle delivers
-        rows = sorted(
-            table.to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["start"], r["ids_crc32"])
-        )
-        base = rows[0]["group"] << 32
-        out = []
-
-        def emit(sequence: int, offset: int, row: dict) -> None:
-            out.append((row["doc_id"], row["start"], row["length"], row["ids_crc32"], row["doc_tokens"],
-                        base + sequence, offset, row["ids"] if keep_ids else None))
-
-        short = [r for r in rows if r["length"] < size]
-        sequences = 0
-        for row in rows:
-            if row["length"] == size:
-                emit(sequences, 0, row)
-                sequences += 1
-        loose = []
-        for items in first_fit_decreasing([r["length"] for r in short], size):
-            if sum(short[i]["length"] for i in items) < min_fill * size:
+        order = pc.sort_indices(table, [(c, "ascending") for c in ("doc_id", "start", "ids_crc32")])
+        table = table.take(order).combine_chunks()
+        start, length, crc = (table.column(c).to_numpy() for c in ("start", "length", "ids_crc32"))
+        base = table.column("group")[0].as_py() << 32
+        full, short = np.flatnonzero(length == size), np.flatnonzero(length < size)
+        # of whole pieces: row, sequence, offset
+        row, sequence, offset = full.tolist(), list(range(len(full))), [0] * len(full)
+        sequences, loose = len(full), []
+        for items in first_fit_decreasing(length[short].tolist(), size):
+            lengths = length[short[items]]
+            if lengths.sum() < min_fill * size:
                 loose += items
                 continue
-            offset = 0
-            for i in items:
-                emit(sequences, offset, short[i])
-                offset += short[i]["length"]
+            row += short[items].tolist()
+            sequence += [sequences] * len(items)
+            offset += [0, *np.cumsum(lengths)[:-1].tolist()]
             sequences += 1
-        offset = 0
-        for row in (short[i] for i in loose):
-            done = 0
-            while done < row["length"]:
-                take = min(size - offset, row["length"] - done)
-                ids = row["ids"][4 * done : 4 * (done + take)]
-                emit(sequences, offset,
-                     row | {"start": row["start"] + done, "length": take, "ids": ids, "ids_crc32": zlib.crc32(ids)})
-                done, offset = done + take, offset + take
-                if offset == size:
-                    sequences, offset = sequences + 1, 0
+        # of pieces cut anew also their place in the piece, length and ids
+        cut, at = [], 0
+        for item in short[loose].tolist():
+            done, data = 0, table.column("ids")[item].as_py()
+            while done < length[item]:
+                take = int(min(size - at, length[item] - done))
+                cut.append((item, sequences, at, done, take, data[4 * done : 4 * (done + take)]))
+                done, at = done + take, at + take
+                if at == size:
+                    sequences, at = sequences + 1, 0
+        again = [list(c) for c in zip(*cut, strict=True)] or [[]] * 6
+        row = np.array(row, np.int64)
+        every = np.concatenate([row, np.array(again[0], np.int64)])
+        first, new_ids = np.array(again[3], np.int64), again[5]
+        ids = pa.chunked_array([*table.column("ids").take(pa.array(row)).chunks, pa.array(new_ids, pa.binary())], pa.binary())
         return pa.Table.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PACKED, strict=True)], schema=_PACKED
-        )
+            [table.column("doc_id").take(pa.array(every)),
+             pa.array(np.concatenate([start[row], start[every[len(row):]] + first])),
+             pa.array(np.concatenate([length[row], np.array(again[4], np.int64)])),
+             pa.array(np.concatenate([crc[row], np.array([zlib.crc32(x) for x in new_ids], np.int64)])),
+             table.column("doc_tokens").take(pa.array(every)),
+             pa.array(base + np.array(sequence + again[1], np.int64)),
+             pa.array(np.array(offset + again[2], np.int64)),
+             ids if keep_ids else pa.nulls(len(every), pa.binary())],
+            schema=_PACKED,
+        )
 
     return pack
 
@@ -160,7 +172,8 @@ def pack(
     ``chunks`` says where the tokenizer allows a text to be cut (see ``encoding``).
     """
     small_batches(docs)
-    groups = max(1, math.ceil(docs.count() / group_docs))
+    size_of = docs.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).head()
+    groups = max(1, math.ceil(size_of.docs / group_docs), math.ceil(size_of.bytes / GROUP_BYTES))
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(F.col("text")).alias("text")).mapInArrow(
         _cutter(tokenizer_path, chunks, size, end_id, groups, seed, keep_ids), _CUT_SQL
     )

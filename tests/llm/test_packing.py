@@ -5,7 +5,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import sentencepiece
 from tokenizers import Tokenizer
 
 from loresift.llm import encoding, packing
@@ -36,7 +38,6 @@ def test_tournament_tree_finds_the_first_bin_that_fits():
 
 def check(rows, pairs, size, end_id):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, end_id] for i, t in pairs}
     by_doc, by_sequence = {}, {}
     for r in rows:
@@ -78,18 +79,38 @@ def test_odd_rows(spark, docs, odd):
     assert packing.pack(odd.where("false"), PATH, "words").collect() == []
 
 
-@pytest.mark.parametrize(("name", "chunks"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaced")])
-def test_chunked_encoding_equals_whole(name, chunks):
+def random_texts():
     draw = random.Random(5)
-    alphabet = "ab eT's\t\n\r  .,!1Éß́ \x1c\x85<|>ﬁΣς中"
-    texts = ["", " ", "<|endoftext|> a", " a  b \n\n c ", "it's  we'll"]
+    alphabet = "ab eT's\t\n\r  .,!1Éß́ \x1c\x85<|>ﬁΣς中▁éà\xa0\u3000=-x"
+    texts = ["", " ", "<|endoftext|> a", " a  b \n\n c ", "it's  we'll", "x <|ENDOFTEXT|> y", "a<|startoftext|>b", "x▁ y ▁"]
     texts += ["".join(draw.choice(alphabet) for _ in range(draw.randrange(40))) for _ in range(3000)]
     texts += ["".join(chr(draw.randrange(1, 0x2FFF)) for _ in range(20)) for _ in range(600)]
-    path = public_tokenizers.path(name)
+    words = ["the", "house", "it's", "été", "naïve,", "(x)", "a.b", "--", 'end."', "'quoted'", "10,000", "\n", "\n\n", "  ", "tré,", "A-B"]
+    return texts + ["".join(draw.choice([*words, *" " * 8]) for _ in range(30)) for _ in range(1000)]
+
+
+def in_batches(encode, texts):
+    for at in range(0, len(texts), 100):
+        ids, ends = encode(pa.array(texts[at : at + 100], pa.string()))
+        yield from (ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True))
+
+
+@pytest.mark.parametrize("plain", [False, True])
+@pytest.mark.parametrize(("name", "chunks"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaced")])
+def test_chunked_encoding_equals_whole(name, chunks, plain):
+    path, texts = public_tokenizers.path(name), random_texts()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = plain
     whole = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    mine = encoding.CachedEncoder(path, chunks, pieces=50, words=50)
-    for at in range(0, len(texts), 100):
-        got = [np.frombuffer(b, "<u4").tolist() for b in mine.encode(texts[at : at + 100])]
-        assert got == whole[at : at + 100]
+    mine = encoding.encoder(path, chunks, plain)
+    assert list(in_batches(mine.encode, texts)) == whole
+    mine.memory.remembered = 20_000  # forgets all the time
+    assert list(in_batches(mine.encode, texts)) == whole
+    mine.memory.remembered = encoding.REMEMBERED
+
+
+def test_chunked_pieces_equal_whole():
+    path, texts = public_tokenizers.path("piece_bpe_32k.model"), random_texts()
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    mine = encoding.encoder(path, "pieces")
+    assert list(in_batches(mine.encode, [f" {t}" if t else "" for t in texts])) == [model.encode(t) for t in texts]
