@@ -25,8 +25,9 @@ from loresift.llm.common import filled, slices, small_batches
 from loresift.llm.encoding import encoder
 
 #: block and row give a document's place: block by block, row by row.
-SCHEMA = "doc_id long, block int, row long, ids array<int>"#: Tasks encode about this many bytes of text at once.
-_BYTES = 2 << 20
+SCHEMA = "doc_id long, block int, row long, ids array<int>"
+#: Tasks encode about this many bytes of text at once.
+_BYTES = 4 << 20
 _FILE = pa.schema(
     [("doc_id", pa.int64()), ("block", pa.int32()), ("row", pa.int64()), ("ids", pa.list_(pa.int32()))]
 )
@@ -42,22 +43,22 @@ ORC = {
 
 def _encode(path: str, chunks: str | None, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path, chunks).encode, np.array([end_id], "<u4").tobytes()
+        encode = encoder(path, chunks).encode
         block, row = TaskContext.get().partitionId(), 0
         for batch in slices(batches, limit=_BYTES):
-            ids = [x + end for x in encode(batch.column("text").to_pylist())]
-            offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            ids, ends = encode(batch.column("text"))
+            ids = np.insert(ids, ends[1:], end_id).view(np.int32)
+            offsets = (ends + np.arange(len(ends))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array(np.full(len(ids), block, np.int32)),
-                    pa.array(np.arange(row, row + len(ids))),
-                    pa.ListArray.from_arrays(offsets, values),
+                    pa.array(np.full(batch.num_rows, block, np.int32)),
+                    pa.array(np.arange(row, row + batch.num_rows)),
+                    pa.ListArray.from_arrays(offsets, pa.array(ids)),
                 ],
                 schema=_FILE,
             )
-            row += len(ids)
+            row += batch.num_rows
 
     return run
 
