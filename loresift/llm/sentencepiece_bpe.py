@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding: a batched numpy Viterbi over pieces.
 
-Texts are cut into words, and each distinct word of a batch is encoded once.
-Words of equal length advance together, one character at a time: the hash of
+Texts are cut into words where no piece can cross, and each distinct word of a
+slice of texts is encoded once. Words of equal length advance together, one character at a time: the hash of
 every substring that ends there probes the sorted keys of all pieces, and the
 best candidate of each word is stored as its backpointer.
 
@@ -21,9 +21,9 @@ itself doesn't keep.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loresift.llm.common import filled, slices, small_batches
-from loresift.llm.encoding import Recent, without_collector
+from loresift.llm.encoding import ChunkEncoder, piece_cuts
 
 SPACE = "▁"
-#: A worker remembers the ids of this many words, and of this many parts of words.
-_WORDS, _PARTS = 300_000, 600_000
-#: Between letters and ASCII marks.
-_LETTER, _MARK = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]", r"[!-/:-@\[-`{-~]"
-_BETWEEN = re.compile(f"(?<={_LETTER})(?={_MARK})|(?<={_MARK})(?={_LETTER})")
+#: Tasks encode about this many bytes of text at once.
+_BYTES = 8 << 20
 #: Words are advanced together in groups of at most this many characters.
 _GROUP = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -223,25 +220,28 @@ class Encoder:
         # the library only normalises and marks spaces here
         self.normalize = sentencepiece.SentencePieceProcessor(model_file=path).normalize
         self.pieces = Pieces(path)
-        characters = {p for i, p in enumerate(self.pieces.pieces) if len(p) == 1 and i not in self.pieces.silent}
-        foreign = "[^" + re.escape("".join(sorted(characters))) + "]"
-        # a word is a run of space marks and what follows; characters without a piece stand alone
-        self.split = re.compile(f"{SPACE}*(?:(?!{SPACE}|{foreign})(?s:.))+|{SPACE}+|(?s:.)").findall
-        self.characters = characters
-        # no merge crosses from letters to marks or back if no piece holds both
-        written = [p for i, p in enumerate(self.pieces.pieces) if i not in self.pieces.byte_of and i not in self.pieces.silent]
-        mixed = any(_BETWEEN.search(p) for p in written if p != self.pieces.pieces[self.pieces.unknown])
-        self.between = None if mixed else _BETWEEN
-        self.parts = Recent(self._encode_parts, _PARTS)
-        self.words = Recent(self._join_parts, _WORDS)
-
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        out: dict[str, bytes] = {}
+        held = self.pieces
+        self.characters = {p for i, p in enumerate(held.pieces) if len(p) == 1 and i not in held.silent}
+        spoken = [i for i in range(len(held.pieces)) if i not in held.silent and i not in held.byte_of]
+        self.chunks = ChunkEncoder(self._encode_words, piece_cuts([held.pieces[i] for i in spoken if i != held.unknown]))
+        # what each id says, as bytes
+        said = [p.replace(SPACE, " ").encode() for p in held.pieces]
+        for i, b in held.byte_of.items():
+            said[i] = bytes([b])
+        for i in held.silent:
+            said[i] = b""
+        said[held.unknown] = " \u2047 ".encode()
+        self.said = pa.array(said, pa.binary())
+
+    def _encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words that have blanks in place of space marks."""
+        out: dict[str, list[int]] = {}
         by_length: dict[int, list[str]] = {}
-        for part in parts:
+        cut = [self._known_parts(w.replace(" ", SPACE)) for w in words]
+        for part in set().union(*cut):
             if len(part) == 1 and part not in self.characters:
                 byte_ids = [self.pieces.bytes.get(b) for b in part.encode()]
-                out[part] = np.array([self.pieces.unknown] if None in byte_ids else byte_ids, "<u4").tobytes()
+                out[part] = [self.pieces.unknown] if None in byte_ids else byte_ids
             else:
                 by_length.setdefault(len(part), []).append(part)
         for length, same in by_length.items():
@@ -249,39 +249,36 @@ class Encoder:
             for at in range(0, len(same), step):
                 group = same[at : at + step]
                 ids, sizes = self.pieces.viterbi(_codes(group, length).astype(np.int64))
-                data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+                data, ends = ids.tolist(), np.cumsum(sizes).tolist()
                 out.update((part, data[a:b]) for part, a, b in zip(group, [0, *ends], ends, strict=False))
-        return [out[part] for part in parts]
-
-    def _join_parts(self, words: list[str]) -> Iterator[bytes]:
-        cut = [self.between.split(w) for w in words] if self.between else [[w] for w in words]
-        find = self.parts.of(set().union(*cut)).__getitem__
-        return (b"".join(map(find, parts)) for parts in cut)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit bytes."""
-        with without_collector():
-            cut = [self.split(self.normalize(text)) for text in texts]
-            find = self.words.of(set().union(*cut)).__getitem__
-            return [b"".join(map(find, words)) for words in cut]
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; byte pieces in a row are read as UTF-8."""
-        out, held = [], bytearray()
-        for i in ids:
-            if i in self.pieces.byte_of:
-                held.append(self.pieces.byte_of[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            if i == self.pieces.unknown:
-                out.append(" ⁇ ")
-            elif i not in self.pieces.silent:
-                out.append(self.pieces.pieces[i].replace(SPACE, " "))
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        return "".join(out).removeprefix(" ")
+        return [out[parts[0]] if len(parts) == 1 else list(chain.from_iterable(out[p] for p in parts)) for parts in cut]
+
+    def _known_parts(self, word: str) -> list[str]:
+        """A word's runs of characters that are pieces; other characters stand alone."""
+        if self.characters.issuperset(word):
+            return [word]
+        parts = [""]
+        for character in word:
+            if character not in self.characters:
+                parts += [character, ""]
+            else:
+                parts[-1] += character
+        return [p for p in parts if p]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts in order, and where each text's begin (one more than texts)."""
+        marked = [self.normalize(t).replace(SPACE, " ") for t in texts.to_pylist()]
+        return self.chunks.encode(pa.array(marked, pa.string()))
+
+    def decode(self, ids: pa.Array) -> list[str]:
+        """The texts of a list array of ids; byte pieces are read as UTF-8."""
+        ends = ids.offsets.to_numpy()
+        said = self.said.take(ids.values[ends[0] : ends[-1]])
+        if not len(said):
+            return [""] * len(ids)
+        at = np.frombuffer(said.buffers()[1], np.int32)[said.offset :][ends - ends[0]]
+        data = memoryview(said.buffers()[2])
+        return [str(data[a:b], "utf-8", "replace").removeprefix(" ") for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -296,10 +293,9 @@ def encoder(path: str) -> Encoder:
 
 def _encode(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=2 << 20):
-            ids = encoder(path).encode(batch.column("text").to_pylist())
-            offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            values = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        for batch in slices(batches, limit=_BYTES):
+            ids, ends = encoder(path).encode(batch.column("text"))
+            values = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), values], names=["doc_id", "ids"])
 
     return run
@@ -308,7 +304,7 @@ def _encode(path: str) -> Callable:
 def _decode(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [encoder(path).decode(ids or []) for ids in batch.column("ids").to_pylist()]
+            texts = encoder(path).decode(batch.column("ids"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return run
@@ -332,14 +328,19 @@ _TRIP = "doc_id long, n_ids long, ids_crc32 long, n_chars long, text_crc32 long"
 def _trip(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for ids in batch.column("ids").to_pylist():
-                text = encoder(path).decode(ids)
-                rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(text), zlib.crc32(text.encode())))
-            if not rows:
-                continue
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=[c.split()[0] for c in _TRIP.split(", ")])
+            ids = batch.column("ids")
+            ends, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4", copy=False)
+            texts = [t.encode() for t in encoder(path).decode(ids)]
+            columns = [
+                np.diff(ends),
+                [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)],
+                [len(t.decode()) for t in texts],
+                [zlib.crc32(t) for t in texts],
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)],
+                names=[c.split()[0] for c in _TRIP.split(", ")],
+            )
 
     return run
 
