@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +32,15 @@ class Clause:
 
 @dataclass(frozen=True)
 class Group:
-    clauses: tuple[Clause, ...]
+    """Clauses, and groups inside, any or all of which must hold."""
+
+    parts: tuple[Clause | Group, ...]
     match: str = ANY
 
+    @property
+    def clauses(self) -> list[Clause]:
+        return [c for part in self.parts for c in (part.clauses if isinstance(part, Group) else [part])]
+
 
 @dataclass(frozen=True)
 class TextQuery:
@@ -47,7 +52,7 @@ class TextQuery:
 
     @property
     def clauses(self) -> list[Clause]:
-        return [clause for group in self.groups for clause in group.clauses]
+        return Group(self.groups).clauses
 
     @property
     def terms(self) -> list[str]:
@@ -84,7 +89,7 @@ def boolean(spark: SparkSession, groups: list[tuple[str, list[str]]], match: str
     """Groups ``(any or all, [word or phrase, ...])`` combined by ``match``."""
     built = [Group(_clauses(spark, pieces), how) for how, pieces in groups]
     raw = " ".join(piece for _, pieces in groups for piece in pieces)
-    return TextQuery(tuple(g for g in built if g.clauses), match, raw)
+    return TextQuery(tuple(g for g in built if g.parts), match, raw)
 
 
 _SYNTAX = re.compile(r'"([^"]*)"?|([()])|([^\s()"]+)')
@@ -108,8 +113,8 @@ def parse(spark: SparkSession, text: str, match: str = ANY) -> TextQuery:
         parts = [p for p in parts if p]
         if len(parts) < 2:
             return parts[0] if parts else None
-        flat = [q for p in parts for q in (p[1] if p[0] == how else [p])]
-        return (how, flat)
+        flat = [q for p in parts for q in (p.parts if isinstance(p, Group) and p.match == how else [p])]
+        return Group(tuple(flat), how)
 
     def one():
         nonlocal at
@@ -120,7 +125,7 @@ def parse(spark: SparkSession, text: str, match: str = ANY) -> TextQuery:
             at += at < len(found)  # the closing bracket
             return inner
         terms = clause_of.get(phrase if phrase is not None else word)
-        return ("clause", Clause(terms)) if terms else None
+        return Clause(terms) if terms else None
 
     def side_by_side():
         nonlocal at
@@ -150,34 +155,15 @@ def parse(spark: SparkSession, text: str, match: str = ANY) -> TextQuery:
         parts.append(either())
         at += at < len(found)  # a bracket that closes nothing
     raw = " ".join(p for p, (phrase, _, word) in zip(pieces, found) if p and (phrase is not None or word not in ("AND", "OR")))
-    return _grouped(joined(parts, match), raw)
-
-
-def _grouped(tree: tuple | None, raw: str) -> TextQuery:
-    """Groups of a parsed query; alternatives that hold conjunctions of alternatives are multiplied out."""
-    if tree is None:
+    whole = joined(parts, match)
+    if whole is None:
         return TextQuery((), ALL, raw)
-    how, inner = tree
-    if how == "clause":
-        return TextQuery((Group((inner,), ANY),), ALL, raw)
-    other = ALL if how == ANY else ANY
-    if all(kind == "clause" for kind, _ in inner):
-        return TextQuery((Group(tuple(c for _, c in inner), how),), ALL, raw)
-    if all(kind == "clause" or all(k == "clause" for k, _ in sub) for kind, sub in inner):
-        groups = [Group((sub,) if kind == "clause" else tuple(c for _, c in sub), other) for kind, sub in inner]
-        return TextQuery(tuple(groups), how, raw)
-
-    def alternatives(node: tuple) -> list[tuple[Clause, ...]]:
-        """The conjunctions any of which satisfies a node."""
-        kind, sub = node
-        if kind == "clause":
-            return [(sub,)]
-        lists = [alternatives(n) for n in sub]
-        if kind == ANY:
-            return [a for found in lists for a in found]
-        return [tuple(dict.fromkeys(c for part in chosen for c in part)) for chosen in product(*lists)]
-
-    return TextQuery(tuple(Group(a, ALL) for a in dict.fromkeys(alternatives(tree))), ANY, raw)
+    if isinstance(whole, Clause):
+        return TextQuery((Group((whole,)),), ALL, raw)
+    if all(isinstance(p, Clause) for p in whole.parts):
+        return TextQuery((whole,), ALL, raw)
+    other = ALL if whole.match == ANY else ANY
+    return TextQuery(tuple(Group((p,), other) if isinstance(p, Clause) else p for p in whole.parts), whole.match, raw)
 
 
 def phrase_starts(positions: list[Column]) -> Column:
@@ -195,34 +181,40 @@ def _combine(conditions: list[Column], match: str) -> Column:
     return reduce((lambda a, b: a & b) if match == ALL else (lambda a, b: a | b), conditions)
 
 
-def frequencies(query: TextQuery, tf: dict[str, Column], positions: dict[str, Column]) -> list[list[Column]]:
-    """Number of occurrences of each clause, by group."""
+def frequencies(query: TextQuery, tf: dict[str, Column], positions: dict[str, Column]) -> dict[Clause, Column]:
+    """Number of occurrences of each clause."""
 
     def occurrences(clause: Clause) -> Column:
         if not clause.is_phrase:
             return tf[clause.terms[0]]
         return F.size(phrase_starts([positions[t] for t in clause.terms]))
 
-    return [[occurrences(clause) for clause in group.clauses] for group in query.groups]
+    return {clause: occurrences(clause) for clause in query.clauses}
 
 
-def matched(query: TextQuery, tfs: list[list[Column]]) -> Column:
+def _holds(part: Clause | Group, tfs: dict[Clause, Column]) -> Column:
+    if isinstance(part, Clause):
+        return tfs[part] > 0
+    return _combine([_holds(p, tfs) for p in part.parts], part.match)
+
+
+def matched(query: TextQuery, tfs: dict[Clause, Column]) -> Column:
     """Whether a document satisfies the query, from its clause frequencies."""
-    groups = [_combine([tf > 0 for tf in found], g.match) for g, found in zip(query.groups, tfs)]
-    return _combine(groups, query.match)
+    return _holds(Group(query.groups, query.match), tfs)
 
 
-def score(query: TextQuery, tfs: list[list[Column]], dl: Column, avg_dl: Column, idf: dict[str, Column]) -> Column:
+def score(query: TextQuery, tfs: dict[Clause, Column], dl: Column, avg_dl: Column, idf: dict[str, Column]) -> Column:
     """Sum of the clause scores of every satisfied group.
 
     A phrase weighs as much as its terms together.
     """
-    total = []
-    for group, found in zip(query.groups, tfs):
-        parts = []
-        for clause, tf in zip(group.clauses, found):
-            clause_idf = reduce(lambda a, b: a + b, [idf[t] for t in clause.terms])
-            parts.append(F.when(tf > 0, clause_idf * bm25.weight(tf, dl, avg_dl)).otherwise(0.0))
-        satisfied = _combine([tf > 0 for tf in found], group.match)
-        total.append(F.when(satisfied, reduce(lambda a, b: a + b, parts)).otherwise(0.0))
-    return reduce(lambda a, b: a + b, total)
+
+    def gain(part: Clause | Group) -> Column:
+        if isinstance(part, Clause):
+            clause_idf = reduce(lambda a, b: a + b, [idf[t] for t in part.terms])
+            value = clause_idf * bm25.weight(tfs[part], dl, avg_dl)
+        else:
+            value = reduce(lambda a, b: a + b, map(gain, part.parts))
+        return F.when(_holds(part, tfs), value).otherwise(0.0)
+
+    return reduce(lambda a, b: a + b, map(gain, query.groups))

@@ -52,7 +52,7 @@ def postings(documents: DataFrame, corpus: Corpus, extra: tuple[str, ...] = ())
 
 
 def term_bucket(term: Column, buckets: int) -> Column:
-    """Storage bucket of a term, by which a lookup prunes partitions."""
+    """Storage slot of a term, by which a lookup finds its files."""
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-def repo_list(documents: DataFrame) -> DataFrame:
-    return documents.select("repo").distinct().orderBy("repo")
+
+def repo_list(rows: DataFrame) -> DataFrame:
+    """Labels in order, of documents or of an index's statistics, which have few rows per label."""
+    return rows.select("repo").distinct().orderBy("repo")
 
 
 def default_repo(documents: DataFrame) -> str:

@@ -13,7 +13,7 @@ from loresift.functions.paths import all_of
 from loresift.functions.since import since_bound
 from loresift.functions.text import snippet
 from loresift.operators import clauses
-from loresift.operators.clauses import TextQuery
+from loresift.operators.clauses import Clause, TextQuery
 from loresift.schema import CODE, Corpus
 
 # Number of hits.
@@ -81,23 +81,17 @@ def _scope_condition(corpus: Corpus, equals: dict[str, object] | None) -> Column
     return all_of([F.col(column) == F.lit(equals[column]) for column in named])
 
 
-def match_rows(index, query: TextQuery, where: Column) -> tuple[DataFrame, list[list[Column]]]:
+def match_rows(index, query: TextQuery, where: Column) -> tuple[DataFrame, dict[Clause, Column]]:
     """Documents that satisfy query and filters, with the clause frequencies."""
     rows = index.candidates(query.terms, query.phrase_terms, where)
     tf = {term: F.col(f"tf_{i}") for i, term in enumerate(query.terms)}
     positions = {term: F.col(f"pos_{i}") for i, term in enumerate(query.terms) if term in query.phrase_terms}
     frequencies = clauses.frequencies(query, tf, positions)
     # phrase frequencies are array work: compute each once, then refer to it
-    named, references = [], []
-    for g, group in enumerate(frequencies):
-        row = []
-        for c, column in enumerate(group):
-            name = f"clause_{g}_{c}"
-            named.append(column.alias(name))
-            row.append(F.col(name))
-        references.append(row)
+    names = {clause: f"clause_{number}" for number, clause in enumerate(frequencies)}
     kept = [c for c in rows.columns if not c.startswith(("tf_", "pos_"))]
-    found = rows.select(*kept, *named)
+    found = rows.select(*kept, *[column.alias(names[clause]) for clause, column in frequencies.items()])
+    references = {clause: F.col(name) for clause, name in names.items()}
     return found.filter(clauses.matched(query, references)), references
 
 
@@ -130,7 +124,7 @@ def rank(
 
 
 def _scored(
-    index, query: TextQuery, found: DataFrame, frequencies: list[list[Column]], one_scope: Column | None
+    index, query: TextQuery, found: DataFrame, frequencies: dict[Clause, Column], one_scope: Column | None
 ) -> DataFrame:
     """Add ``score``, from the statistics of each document's scope."""
     scope = list(index.corpus.scope)
@@ -163,6 +157,7 @@ def search(index, query: TextQuery | str, match: str = clauses.ANY, **options) -
 
     Options: ``limit``, ``since`` with ``now``, ``equals``, ``ranges``.
     """
+    index = index.pinned()  # all that is read belongs together
     if isinstance(query, str):
         query = clauses.parse(index.documents().sparkSession, query, match)
     return present(rank(index, query, **options), index.corpus, F.lit(query.raw))
@@ -170,5 +165,5 @@ def search(index, query: TextQuery | str, match: str = clauses.ANY, **options) -
 
 def match_count(index, query: TextQuery, **options) -> DataFrame:
     """Number of documents that satisfy query and filters, without ranking them."""
-    found, _ = match_rows(index, query, filters(index.corpus, **options))
+    found, _ = match_rows(index.pinned(), query, filters(index.corpus, **options))
     return found.agg(F.count("*").alias("n_matches"))

@@ -25,15 +25,15 @@ class DocumentScan:
         self.corpus = corpus
         self._documents = documents
 
+    def pinned(self) -> DocumentScan:
+        return self  # a table doesn't change
+
     def documents(self) -> DataFrame:
         return self._documents
 
     def postings(self) -> DataFrame:
         return build.postings(self._documents, self.corpus)
 
-    def with_term_bucket(self, rows: DataFrame) -> DataFrame:
-        return rows  # nothing is stored by term
-
     def count_scopes(self) -> int | None:
         """Number of statistics scopes, None where only a pass over the documents could tell."""
         return None if self.corpus.scope else 1

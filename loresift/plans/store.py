@@ -1,199 +1,203 @@
-"""A stored index: documents, postings, dictionary and statistics as Parquet tables.
-
-All four tables are partitioned by the columns a replace job overwrites by
-(``bucket`` of a transcript's path; ``repo`` and ``branch`` of code). Postings
-and dictionary are partitioned by a hash bucket of the term as well and sorted
-by term inside each file, so that a lookup lists only the directories its terms
-hash to and skips row groups by their min/max. Dictionary and statistics are
-kept per unit and added up when read, so that a replace job never has to touch
-the units it did not change.
+"""A stored index: documents, postings, dictionary and statistics as Parquet tables that only grow.
+
+Every write adds one part to each table and names it in the table of commits
+last, so a reader sees all of it or nothing. A part has a generation number and
+a list of replaced keys: a key that a generation replaces hides the rows with
+that key in earlier ones, and readers take such rows out by an anti-join. So a
+replacement writes in proportion to what it replaces and by.
+
+Dictionary and statistics of a part are signed: what its documents add, less
+what the rows it hides held. Adding them up gives those of the live documents.
+
+Postings and dictionary are laid out by a hash slot of the term. A table of
+fences tells which files hold a slot, so a lookup opens the files of its terms
+and lists no folders. Readers may pin what they see; merging parts of like size
+leaves the files of others alone. There is one writer at a time.
 """
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 from functools import reduce
+from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loresift.functions.paths import all_of
 from loresift.operators import postings as build
-from loresift.operators.skew import salted_join
 from loresift.schema import CODE, TRANSCRIPTS, Corpus
 from loresift.session import configure
 
-TABLES = ("documents", "postings", "dictionary", "stats")
-
-#: Suit some 10 GB. For 100 TB use about 1024 document and 64 term buckets.
+#: Folders of the documents, by a hash of the path; a hit's text is read from its own.
 DOC_BUCKETS = 4
-TERM_BUCKETS = 4
+#: Slots of terms; files hold many, a file's fence names them.
+TERM_BUCKETS = 1024
+#: Parts are merged with newer ones that hold at least a half as many rows in all.
+LIKE_SIZE = 2
+
+_COMMITS = (
+    "seq bigint, gen bigint, run string, n_docs bigint, n_replaced bigint, n_listed bigint, removed array<string>, "
+    "corpus string, doc_buckets int, term_buckets int"
+)
+_TABLES = ("documents", "postings", "dictionary", "stats", "replaced", "manifest", "fences")
 
 
 def path_bucket(path: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
 
 
-class StoredIndex:
-    """Open with :meth:`open`, make with :meth:`create`."""
+class Part(NamedTuple):
+    """What one write added."""
 
-    def __init__(self, spark: SparkSession, root: str, corpus: Corpus, doc_buckets: int, term_buckets: int):
-        self.spark = configure(spark)
-        self.root = root.rstrip("/")
-        self.corpus = corpus
-        self.doc_buckets = doc_buckets
-        self.term_buckets = term_buckets
+    gen: int
+    run: str
+    n_docs: int = 0
+    n_replaced: int = 0
+    n_listed: int = 0
 
-    # -- making and opening ------------------------------------------------
+    @property
+    def folder(self) -> str:
+        return f"gen={self.gen}/run={self.run}"
 
-    @classmethod
-    def create(
-        cls,
-        documents: DataFrame,
-        corpus: Corpus,
-        root: str,
-        doc_buckets: int = DOC_BUCKETS,
-        term_buckets: int = TERM_BUCKETS,
-    ) -> StoredIndex:
-        """Write a new index of ``documents`` below ``root``."""
-        index = cls(documents.sparkSession, root, corpus, doc_buckets, term_buckets)
-        settings = {"corpus": [corpus.name], "doc_buckets": [doc_buckets], "term_buckets": [term_buckets]}
-        index.spark.createDataFrame(pa.table(settings)).coalesce(1).write.json(f"{index.root}/settings")
-        index._write_tables(documents, index.root)
-        return index
+    @property
+    def size(self) -> int:
+        return self.n_docs + self.n_replaced
 
-    @classmethod
-    def open(cls, spark: SparkSession, root: str) -> StoredIndex:
-        row = spark.read.json(f"{root.rstrip('/')}/settings").first()
-        corpus = {c.name: c for c in (TRANSCRIPTS, CODE)}[row["corpus"]]
-        return cls(spark, root, corpus, row["doc_buckets"], row["term_buckets"])
 
-    # -- versions of files that streams have applied -------------------------
+@dataclass
+class IndexView:
+    """The index as certain parts make it up."""
 
-    def applied_versions(self) -> DataFrame:
-        """``(file_path, ts)`` of the newest version applied to each file."""
-        path = f"{self.root}/versions"
-        schema = "file_path string, ts timestamp"
-        empty = self.spark.createDataFrame(pa.table({"file_path": pa.array([], pa.string()), "ts": pa.array([], pa.timestamp("us", tz="UTC"))}), schema)
-        empty.write.mode("append").parquet(path)  # makes the folder at first
-        return self.spark.read.schema(schema).parquet(path).groupBy("file_path").agg(F.max("ts").alias("ts"))
-
-    def note_versions(self, versions: DataFrame) -> None:
-        """Append ``(file_path, ts)`` of versions that are in the index now."""
-        versions.write.mode("append").parquet(f"{self.root}/versions")
-
-    def _with_unit(self, rows: DataFrame) -> DataFrame:
-        if "bucket" in self.corpus.unit:
-            return rows.withColumn("bucket", path_bucket(F.col("file_path"), self.doc_buckets))
-        return rows
-
-    def _write(self, rows: DataFrame, path: str, partitions: list[str], order: list[str]) -> None:
-        """Write one table. The rebalance lets the adaptive planner merge small
-        partitions and split large ones, such as a repository that is a third
-        of the data; each piece is sorted for the readers' min/max tests.
-        """
-        within = [c for c in order if c not in partitions]
-        placed = rows.hint("rebalance", *partitions).sortWithinPartitions(*partitions, *within)
-        placed.write.partitionBy(*partitions).parquet(path)
-
-    def _write_tables(self, documents: DataFrame, base: str) -> None:
-        """Write all tables of ``documents``; each is computed from the stored one before it."""
-        unit = list(self.corpus.unit)
-        self._write(self._with_unit(documents), f"{base}/documents", unit, list(self.corpus.keys))
-        stored = self._read("documents", base)
-        extra = tuple(c for c in unit if c not in self.corpus.filterable)
-        rows = self.with_term_bucket(build.postings(stored, self.corpus, extra))
-        self._write(rows, f"{base}/postings", [*unit, "term_bucket"], ["term", *self.corpus.keys])
-        posted = self._read("postings", base)
-        terms = build.dictionary(posted, (*unit, "term_bucket"))
-        self._write(terms, f"{base}/dictionary", [*unit, "term_bucket"], ["term"])
-        lengths = posted.groupBy(*unit).agg(F.sum("tf").alias("sum_dl"))
-        counts = stored.groupBy(*unit).agg(F.count("*").alias("n_docs"))
-        stats = counts.join(lengths, unit, "left").withColumn("sum_dl", F.coalesce("sum_dl", F.lit(0)))
-        stats.coalesce(1).write.partitionBy(*unit).parquet(f"{base}/stats")
-
-    # -- reading: a new listing each time, so a reader sees what was committed --
-
-    _SCHEMAS = {
-        "dictionary": "term string, df bigint",
-        "stats": "n_docs bigint, sum_dl bigint",
-    }
+    spark: SparkSession
+    root: str
+    corpus: Corpus
+    doc_buckets: int
+    term_buckets: int
+    pinned_parts: tuple[Part, ...] = ()
+
+    def parts(self) -> tuple[Part, ...]:
+        """The parts that count, oldest first."""
+        return self.pinned_parts
+
+    def pinned(self) -> IndexView:
+        """The index as it is now, whatever is committed later."""
+        return IndexView(self.spark, self.root, self.corpus, self.doc_buckets, self.term_buckets, self.parts())
+
+    # -- tables --------------------------------------------------------------
 
     def _schema(self, table: str) -> str:
-        """Declared, so that no file is opened to find it out and an emptied table still reads."""
+        """Declared, so that no file is opened to find it out and an empty table still reads."""
         corpus = self.corpus
-        types = {
-            "event_index": "bigint",
-            "timestamp": "timestamp",
-            "size_bytes": "bigint",
-            "bucket": "int",
-            "term_bucket": "int",
-        }
-
-        def column(name: str) -> str:
-            return f"{name} {types.get(name, 'string')}"
-
-        unit = [column(c) for c in corpus.unit]
-        bare = [c for c in corpus.carried if c not in corpus.unit]
-        if table == "documents":
-            return ", ".join([*map(column, bare), column(corpus.text), *unit])
-        if table == "postings":
-            fields = [column(c) for c in corpus.filterable if c not in corpus.unit]
-            rest = ["term string", "tf int", "positions array<int>", "dl int"]
-            return ", ".join([*fields, *rest, *unit, column("term_bucket")])
-        tail = [column("term_bucket")] if table == "dictionary" else []
-        return ", ".join([self._SCHEMAS[table], *unit, *tail])
-
-    def _read(self, table: str, base: str | None = None) -> DataFrame:
-        return self.spark.read.schema(self._schema(table)).parquet(f"{base or self.root}/{table}")
+        types = {"event_index": "bigint", "timestamp": "timestamp", "size_bytes": "bigint"}
+
+        def columns(names) -> list[str]:
+            return [f"{name} {types.get(name, 'string')}" for name in names]
+
+        own = {
+            "documents": [*columns(corpus.carried), f"{corpus.text} string"],
+            "postings": [*columns(corpus.filterable), "term string", "tf int", "positions array<int>", "dl int", "slot int"],
+            "dictionary": [*columns(corpus.scope), "term string", "df bigint", "slot int"],
+            "stats": [*columns(corpus.scope), "n_docs bigint", "sum_dl bigint"],
+            "replaced": [*columns(corpus.unit), "until bigint", "ts timestamp"],
+            "manifest": ["file_path string", "mtime timestamp", "size_bytes bigint"],
+            "fences": ["of string", "slot int", "file string"],
+        }[table]
+        tail = ["bucket int"] if table == "documents" else []
+        return ", ".join([*own, "gen bigint", "run string", *tail])
+
+    def _read(self, table: str, parts: tuple[Part, ...] | None = None, files: list[str] | None = None) -> DataFrame:
+        """A table's rows in some parts, or in some files of it."""
+        if files is None:
+            parts = self.parts() if parts is None else parts
+            counted = {"documents": "n_docs", "postings": "n_docs", "replaced": "n_replaced", "manifest": "n_listed"}
+            files = [p.folder for p in parts if table not in counted or getattr(p, counted[table])]
+        if not files:
+            return self.spark.createDataFrame([], self._schema(table))
+        base = f"{self.root}/{table}"
+        return self.spark.read.schema(self._schema(table)).option("basePath", base).parquet(*[f"{base}/{f}" for f in files])
+
+    def _hidden(self, parts: tuple[Part, ...]) -> DataFrame | None:
+        """The replaced keys with the generation ``until`` which they are hidden, None if there are none."""
+        later = parts[1:]  # nothing is older than the first part
+        if not any(p.n_replaced for p in later):
+            return None
+        return self._read("replaced", later).groupBy(*self.corpus.unit).agg(F.max("until").alias("until"))
+
+    def _live(self, rows: DataFrame, parts: tuple[Part, ...]) -> DataFrame:
+        """Rows that no later generation has replaced. The planner broadcasts the keys only if they are few bytes."""
+        hidden = self._hidden(parts)
+        if hidden is None:
+            return rows
+        old = hidden.withColumnsRenamed({c: f"old_{c}" for c in self.corpus.unit})
+        same = [F.col(c) == F.col(f"old_{c}") for c in self.corpus.unit]
+        return rows.join(old, all_of([*same, F.col("gen") < F.col("until")]), "left_anti")
+
+    def _documents(self) -> DataFrame:
+        parts = self.parts()
+        return self._live(self._read("documents", parts), parts)
 
     def documents(self) -> DataFrame:
-        return self._read("documents")
+        return self._documents().select(*self.corpus.carried, self.corpus.text)
 
     def postings(self) -> DataFrame:
-        return self._read("postings")
-
-    def with_term_bucket(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("term_bucket", build.term_bucket(F.col("term"), self.term_buckets))
+        parts = self.parts()
+        rows = self._live(self._read("postings", parts), parts)
+        return rows.select(*self.corpus.filterable, "term", "tf", "positions", "dl")
 
     def count_scopes(self) -> int | None:
-        """Number of statistics scopes; the table read for it has a row per unit."""
+        """Number of statistics scopes; the table read for it has a row per scope and part."""
         return self.stats().count()
 
     def stats(self) -> DataFrame:
-        return self._read("stats").groupBy(*self.corpus.scope).agg(
+        found = self._read("stats").groupBy(*self.corpus.scope).agg(
             F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"),
             F.coalesce(F.sum("sum_dl"), F.lit(0)).alias("sum_dl"),
         )
+        return found.filter("n_docs > 0") if self.corpus.scope else found
+
+    def _added_up(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.corpus.scope, "term").agg(F.sum("df").alias("df")).filter("df > 0")
 
     def dictionary(self) -> DataFrame:
-        return self._read("dictionary").groupBy(*self.corpus.scope, "term").agg(F.sum("df").alias("df"))
+        return self._added_up(self._read("dictionary"))
 
     def dictionary_of(self, terms: DataFrame) -> DataFrame:
-        wanted = self.with_term_bucket(terms)
-        met = self._read("dictionary").join(wanted, ["term_bucket", "term"], "left_semi")
-        return met.groupBy(*self.corpus.scope, "term").agg(F.sum("df").alias("df"))
+        return self._added_up(self._read("dictionary").join(terms, "term", "left_semi"))
+
+    # -- lookups ---------------------------------------------------------------
 
-    def _lookup(self, table: str, terms: list[str]) -> DataFrame:
-        """Rows of literal terms: a partition filter and a pushed-down ``IN``."""
-        if not terms:
-            return self._read(table).filter(F.lit(False))
-        buckets = [build.term_bucket(F.lit(t), self.term_buckets) for t in terms]
-        return self._read(table).filter(F.col("term_bucket").isin(*buckets) & F.col("term").isin(*terms))
+    def _slot(self, term: Column) -> Column:
+        return build.term_bucket(term, self.term_buckets)
+
+    def _files_of(self, terms: list[str], parts: tuple[Part, ...]) -> dict[str, list[str]]:
+        """The files of postings and dictionary that may hold a term: names only, as many as a lookup has to open."""
+        fences = self._read("fences", parts).filter(F.col("slot").isin(*[self._slot(F.lit(t)) for t in terms]))
+        found: dict[str, list[str]] = {"postings": [], "dictionary": []}
+        for row in fences.select("of", "file").distinct().collect():
+            found[row["of"]].append(row["file"])
+        return found
+
+    def _lookup(self, table: str, terms: list[str], parts: tuple[Part, ...]) -> DataFrame:
+        """Rows of literal terms, from the files whose fences hold them, by a pushed-down ``IN``."""
+        files = self._files_of(terms, parts)[table] if terms else []
+        return self._read(table, files=files).filter(F.col("term").isin(*terms) if terms else F.lit(False))
 
     def term_stats(self, terms: list[str], within: Column | None) -> DataFrame:
         """One row per scope: ``n_docs``, ``avg_dl`` and ``df_<i>`` of the i-th term."""
-        scope = list(self.corpus.scope)
+        scope, parts = list(self.corpus.scope), self.parts()
         counts = [
             F.coalesce(F.sum(F.when(F.col("term") == t, F.col("df"))), F.lit(0)).alias(f"df_{i}")
             for i, t in enumerate(terms)
         ]
-        stats, found = self._read("stats"), self._lookup("dictionary", terms)
+        stats, found = self._read("stats", parts), self._lookup("dictionary", terms, parts)
         if within is not None:
             stats, found = stats.filter(within), found.filter(within)
         sizes = stats.groupBy(*scope).agg(
-            F.sum("n_docs").alias("n_docs"), (F.sum("sum_dl") / F.sum("n_docs")).alias("avg_dl")
+            F.sum("n_docs").alias("n_docs"), (F.try_divide(F.sum("sum_dl"), F.sum("n_docs"))).alias("avg_dl")
         )
         names = [f"df_{i}" for i in range(len(terms))]
         frequencies = found.groupBy(*scope).agg(*counts)
@@ -215,135 +219,253 @@ class StoredIndex:
                 positions = F.first(F.when(own, F.col("positions")), ignorenulls=True)
                 columns.append(F.coalesce(positions, F.array().cast("array<int>")).alias(f"pos_{i}"))
             columns.append(F.coalesce(F.sum(F.when(own, F.col("tf"))), F.lit(0)).alias(f"tf_{i}"))
-        found = self._lookup("postings", terms).filter(where)
+        parts = self.parts()
+        found = self._live(self._lookup("postings", terms, parts).filter(where), parts)
         return found.groupBy(*self.corpus.keys).agg(F.max("dl").alias("dl"), *columns)
 
+    def _located(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", path_bucket(F.col("file_path"), self.doc_buckets))
+
     def with_documents(self, hits: DataFrame, hits_bounded: bool) -> DataFrame:
-        """Add text and fields to hits; with few hits only their partitions are read."""
-        located = self._with_unit(hits)
-        on = list(dict.fromkeys([*self.corpus.unit, *self.corpus.keys]))
+        """Add text and fields to hits; with few hits only their folders are read."""
+        located = self._located(hits)
         small = F.broadcast(located) if hits_bounded else located
-        return small.join(self.documents(), on).drop(*[c for c in self.corpus.unit if c not in self.corpus.keys])
+        found = small.join(self._documents(), [*self.corpus.keys, "bucket"])
+        return found.drop("bucket", "gen", "run")
 
     # -- summaries ---------------------------------------------------------
 
+    def manifest(self) -> DataFrame:
+        """``(file_path, mtime, size_bytes)`` of the files as they were listed when they were read."""
+        last = self._read("manifest").groupBy("file_path").agg(F.max_by(F.struct("mtime", "size_bytes"), "gen").alias("last"))
+        return last.select("file_path", "last.mtime", "last.size_bytes").filter("size_bytes IS NOT NULL")
+
     def summary(self) -> DataFrame:
-        """Number of documents and files held, and for code their bytes."""
-        columns = [
-            F.count("*").alias("n_documents"),
-            F.count_distinct(*[c for c in self.corpus.keys if c != "event_index"]).alias("n_files"),
-        ]
+        """Number of documents and files held, and for code their bytes. Files without documents count if they were listed."""
+        files = F.count_distinct(*[c for c in self.corpus.keys if c != "event_index"])
+        if any(p.n_listed for p in self.parts()):
+            return self.stats().select(F.col("n_docs").alias("n_documents"), self.manifest().select(F.count("*")).scalar().alias("n_files"))
+        columns = [F.count("*").alias("n_documents"), files.alias("n_files")]
         if self.corpus is CODE:
             columns.append(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("n_bytes"))
         return self.documents().agg(*columns)
 
     def has_documents(self) -> bool:
-        return not self._read("stats").filter("n_docs > 0").isEmpty()
+        return not self.stats().filter("n_docs > 0").isEmpty()
+
+    def applied_versions(self) -> DataFrame:
+        """``(file_path, ts)`` of the newest version that streams have applied to each file."""
+        noted = self._read("replaced").filter(F.col("ts").isNotNull())
+        return noted.groupBy("file_path").agg(F.max("ts").alias("ts"))
+
+
+class StoredIndex(IndexView):
+    """Open with :meth:`open`, make with :meth:`create`. Each read sees what is committed by then."""
+
+    def __init__(self, spark: SparkSession, root: str, corpus: Corpus, doc_buckets: int, term_buckets: int):
+        super().__init__(configure(spark), root.rstrip("/"), corpus, doc_buckets, term_buckets)
+
+    # -- making and opening ------------------------------------------------
+
+    @classmethod
+    def create(
+        cls,
+        documents: DataFrame,
+        corpus: Corpus,
+        root: str,
+        doc_buckets: int = DOC_BUCKETS,
+        term_buckets: int = TERM_BUCKETS,
+    ) -> StoredIndex:
+        """Write a new index of ``documents`` below ``root``."""
+        index = cls(documents.sparkSession, root, corpus, doc_buckets, term_buckets)
+        if index._commits() is not None:
+            raise ValueError(f"there is an index in {root} already")
+        index._add(documents, None, None)
+        return index
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> StoredIndex:
+        commits = cls(spark, root, TRANSCRIPTS, DOC_BUCKETS, TERM_BUCKETS)._commits()
+        if not commits:
+            raise ValueError(f"there is no index in {root}")
+        corpus = {c.name: c for c in (TRANSCRIPTS, CODE)}[commits[0]["corpus"]]
+        return cls(spark, root, corpus, commits[0]["doc_buckets"], commits[0]["term_buckets"])
+
+    # -- commits -------------------------------------------------------------
+
+    def _commits(self) -> list | None:
+        """A row per commit, in order; None if there is no index."""
+        try:
+            return sorted(self.spark.read.schema(_COMMITS).json(f"{self.root}/commits").collect(), key=lambda c: c["seq"])
+        except AnalysisException as problem:
+            if problem.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
+    def parts(self) -> tuple[Part, ...]:
+        found: dict[str, Part] = {}
+        for commit in self._commits() or ():
+            for run in commit["removed"]:
+                del found[run]
+            found[commit["run"]] = Part(**{name: commit[name] for name in Part._fields})
+        return tuple(sorted(found.values()))
+
+    def _commit(self, part: Part, removed: list[str]) -> None:
+        """One row in one file, which appears by a rename: the write counts from here on."""
+        row = {
+            "seq": [max([c["seq"] for c in self._commits() or ()], default=0) + 1], **{k: [v] for k, v in part._asdict().items()},
+            "removed": pa.array([removed], pa.list_(pa.string())), "corpus": [self.corpus.name],
+            "doc_buckets": [self.doc_buckets], "term_buckets": [self.term_buckets],
+        }
+        self.spark.createDataFrame(pa.table(row)).coalesce(1).write.mode("append").json(f"{self.root}/commits")
+
+    # -- writing -------------------------------------------------------------
+
+    def _write(self, table: str, part: Part, rows: DataFrame, by: str | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+        """Write a table's part and read it back.
+
+        The rebalance lets the adaptive planner merge small partitions and
+        split large ones, such as a very common term's slot; each is sorted for
+        the readers' min/max tests.
+        """
+        if by:
+            rows = rows.hint("rebalance", by).sortWithinPartitions(by, *order)
+        writer = rows.write.partitionBy("bucket") if table == "documents" else rows.write
+        writer.parquet(f"{self.root}/{table}/{part.folder}")
+        return self._read(table, files=[part.folder])
+
+    def _write_fences(self, part: Part, **tables: DataFrame) -> None:
+        file = F.regexp_extract(F.col("_metadata.file_path"), "(gen=[^/]*/run=[^/]*/[^/]*)$", 1)
+        found = [rows.select(F.lit(of).alias("of"), "slot", file.alias("file")) for of, rows in tables.items()]
+        self._write("fences", part, found[0].union(found[1]).distinct(), "slot")
+
+    def _counted(self, documents: DataFrame, sign: int) -> DataFrame:
+        """Statistics per scope of documents, times ``sign``."""
+        sums = build.corpus_stats(documents, self.corpus)
+        return sums.select(*self.corpus.scope, *[(F.col(c) * sign).alias(c) for c in ("n_docs", "sum_dl")])
+
+    def _termed(self, documents: DataFrame, sign: int) -> DataFrame:
+        """Dictionary of documents, times ``sign``; a document's distinct terms only."""
+        tokens = build.tokenized(documents, self.corpus)
+        each = tokens.select(*self.corpus.scope, F.explode_outer(F.array_distinct("tokens")).alias("term"))
+        return build.dictionary(each.filter("term IS NOT NULL"), self.corpus.scope).withColumn("df", F.col("df") * sign)
+
+    def _add(
+        self, documents: DataFrame, replaced: DataFrame | None, hidden: DataFrame | None, listed: DataFrame | None = None
+    ) -> None:
+        """Add a part with ``documents`` that replaces the keys in ``replaced``; ``hidden`` are the live rows it hides.
+
+        ``listed`` are the manifest's rows of the files, without a size if a file is gone.
+        """
+        corpus, parts = self.corpus, self.parts()
+        part = Part(max([p.gen for p in parts], default=0) + 1, uuid.uuid4().hex)
+        mine = documents.select(*corpus.carried, corpus.text)
+        stored = self._write("documents", part, self._located(mine), "bucket", corpus.keys)
+        n_docs = stored.count()  # from the files' footers
+        keys = replaced.select(*corpus.unit, F.lit(part.gen).alias("until"), "ts") if replaced is not None else None
+        n_replaced = 0
+        if keys is not None:
+            n_replaced = self._write("replaced", part, keys, corpus.unit[0]).count()
+        n_listed = 0
+        if listed is not None:
+            n_listed = self._write("manifest", part, listed.select("file_path", "mtime", "size_bytes"), "file_path").count()
+
+        rows = build.postings(stored, corpus).withColumn("slot", self._slot(F.col("term")))
+        posted = self._write("postings", part, rows, "slot", ("term", *corpus.keys))
+        terms = build.dictionary(posted.select(*corpus.scope, "term"), corpus.scope)
+        sums = [
+            stored.groupBy(*corpus.scope).agg(F.count("*").alias("n_docs"), F.lit(0).alias("sum_dl")),
+            posted.groupBy(*corpus.scope).agg(F.lit(0).alias("n_docs"), F.sum("tf").alias("sum_dl")),
+        ]
+        if hidden is not None:
+            terms = terms.unionByName(self._termed(hidden, -1)).groupBy(*corpus.scope, "term").agg(F.sum("df").alias("df"))
+            sums.append(self._counted(hidden, -1))
+        stats = reduce(DataFrame.unionByName, sums).groupBy(*corpus.scope)
+        stats = stats.agg(F.sum("n_docs").alias("n_docs"), F.coalesce(F.sum("sum_dl"), F.lit(0)).alias("sum_dl"))
+        terms = terms.filter("df <> 0").withColumn("slot", self._slot(F.col("term")))
+        named = self._write("dictionary", part, terms, "slot", ("term",))
+        self._write("stats", part, stats.coalesce(1))
+        self._write_fences(part, postings=posted, dictionary=named)
+        self._commit(part._replace(n_docs=n_docs, n_replaced=n_replaced, n_listed=n_listed), [])
 
     # -- replacing ---------------------------------------------------------
 
-    def replace_files(self, documents: DataFrame, changed: DataFrame) -> None:
+    def replace_files(self, documents: DataFrame, changed: DataFrame, listed: DataFrame | None = None) -> None:
         """Replace what is held of the files in ``changed`` by ``documents``.
 
         A changed file without new documents disappears. Doing it twice is the
-        same as doing it once.
+        same as doing it once. A column ``ts`` of ``changed`` is kept as the
+        version that is applied now, ``listed`` as the files' manifest.
         """
         if self.corpus is not TRANSCRIPTS:
             raise ValueError("files are replaced in transcripts; replace a branch of code")
-        paths = self._with_unit(changed.select("file_path").distinct())
-        units = paths.select("bucket").distinct().collect()  # at most doc_buckets rows
-        if not units:
+        ts = F.col("ts") if "ts" in changed.columns else F.lit(None).cast("timestamp")
+        keys = changed.select("file_path", ts.alias("ts")).groupBy("file_path").agg(F.max("ts").alias("ts"))
+        if keys.isEmpty():
             return
-        here = self._unit_filter(units)
-        # one file may hold most of a unit, hence the salt
-        held, gone = self.documents().filter(here), paths.select("file_path")
-        kept = salted_join(held, gone, ["file_path"], ["event_index"], "left_anti")
-        self._replace_units(kept.drop("bucket").unionByName(documents.select(*self._document_columns())), units)
+        # on the bucket too, so that few changed files read only their folders
+        hidden = self._documents().join(self._located(keys).drop("ts"), ["file_path", "bucket"], "left_semi")
+        self._add(documents, keys, hidden, listed)
 
     def replace_branch(self, documents: DataFrame, repo: str, branch: str) -> None:
         """Replace everything held of a repository branch by ``documents``."""
         if self.corpus is not CODE:
             raise ValueError("branches are replaced in code; replace files of transcripts")
-        mine = documents.filter((F.col("repo") == repo) & (F.col("branch") == branch))
-        self._replace_units(mine, [{"repo": repo, "branch": branch}])
+        mine = (F.col("repo") == repo) & (F.col("branch") == branch)
+        keys = {"repo": [repo], "branch": [branch], "ts": pa.array([None], pa.timestamp("us", tz="UTC"))}
+        self._add(documents.filter(mine), self.spark.createDataFrame(pa.table(keys)), self._documents().filter(mine))
 
     def prune(self, listing: DataFrame) -> None:
         """Drop the transcripts that are no longer in ``listing``."""
         held = self.documents().select("file_path").distinct()
         gone = held.join(listing.select("file_path"), "file_path", "left_anti")
-        self.replace_files(self.documents().filter(F.lit(False)).drop("bucket"), gone)
-
-    def compact(self) -> None:
-        """Rewrite all tables, merging small files."""
-        units = self.documents().select(*self.corpus.unit).distinct().collect()  # unit names only
-        self._replace_units(self.documents().select(*self._document_columns()), units)
-
-    def _document_columns(self) -> list[str]:
-        return [*self.corpus.carried, self.corpus.text]
-
-    def _unit_filter(self, units) -> Column:
-        if len(self.corpus.unit) == 1:
-            name = self.corpus.unit[0]
-            return F.col(name).isin([u[name] for u in units])
-        return reduce(
-            lambda a, b: a | b, [all_of([F.col(c) == F.lit(u[c]) for c in self.corpus.unit]) for u in units]
-        )
+        forgotten = gone.select("file_path", F.lit(None).cast("timestamp").alias("mtime"), F.lit(None).cast("bigint").alias("size_bytes"))
+        known = any(p.n_listed for p in self.parts())
+        self.replace_files(self.documents().filter(F.lit(False)), gone, forgotten if known else None)
+
+    # -- merging -------------------------------------------------------------
 
-    def _replace_units(self, documents: DataFrame, units) -> None:
-        """Make ``documents`` the whole content of ``units`` in all tables.
+    def compact(self, everything: bool = False) -> int:
+        """Merge the newest parts as far back as sizes are alike; returns how many were merged.
 
-        The new tables are written aside, since they derive from those they
-        replace, and a list of the folders to exchange is written last. From
-        then on the exchange can be repeated until it is through.
+        Older, larger parts stay as they lie. Rows that were replaced and
+        entries that add up to nothing go.
         """
-        self.finish_pending()
-        pending = f"{self.root}/_pending/{uuid.uuid4().hex}"
-        self._write_tables(documents, pending)
-        folders = [(table, self._unit_folder(u)) for table in TABLES for u in units]
-        moves = {
-            "table": [table for table, _ in folders],
-            "folder": [folder for _, folder in folders],
-            "has_rows": [self._exists(f"{pending}/{table}/{folder}") for table, folder in folders],
-        }
-        self.spark.createDataFrame(pa.table(moves)).coalesce(1).write.json(f"{pending}/exchange")
-        self._exchange(pending)
-
-    def finish_pending(self) -> None:
-        """Complete a replacement that was cut off, drop one that never got ready."""
-        filesystem, folder = self._filesystem(f"{self.root}/_pending")
-        if not filesystem.exists(folder):
-            return
-        for status in filesystem.listStatus(folder):
-            pending = status.getPath().toString()
-            if self._exists(f"{pending}/exchange/_SUCCESS"):
-                self._exchange(pending)
-            else:
-                filesystem.delete(status.getPath(), True)
-
-    def _exchange(self, pending: str) -> None:
-        for move in self.spark.read.json(f"{pending}/exchange").collect():  # folder names only
-            target = f"{self.root}/{move['table']}/{move['folder']}"
-            source = f"{pending}/{move['table']}/{move['folder']}"
-            filesystem, target_path = self._filesystem(target)
-            source_path = self._filesystem(source)[1]
-            if not move["has_rows"]:
-                filesystem.delete(target_path, True)
-            elif filesystem.exists(source_path):  # else moved by an earlier attempt
-                filesystem.delete(target_path, True)
-                filesystem.mkdirs(target_path.getParent())
-                if not filesystem.rename(source_path, target_path):
-                    raise OSError(f"could not move {source} to {target}")
-        filesystem, path = self._filesystem(pending)
-        filesystem.delete(path, True)
-
-    def _unit_folder(self, unit) -> str:
-        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        return "/".join(f"{name}={escape(str(unit[name]))}" for name in self.corpus.unit)
-
-    def _filesystem(self, path: str):
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), target
-
-    def _exists(self, path: str) -> bool:
-        filesystem, target = self._filesystem(path)
-        return filesystem.exists(target)
+        parts = self.parts()
+        first = 0 if everything else len(parts) - 1
+        while first and parts[first - 1].size <= LIKE_SIZE * sum(p.size for p in parts[first:]):
+            first -= 1
+        run = parts[first:]
+        if len(run) < 2:
+            return 0
+        corpus = self.corpus
+        part = Part(run[-1].gen, uuid.uuid4().hex)
+        live = {t: self._live(self._read(t, run), parts).drop("gen", "run") for t in ("documents", "postings")}
+        stored = self._write("documents", part, live["documents"], "bucket", corpus.keys)
+        posted = self._write("postings", part, live["postings"], "slot", ("term", *corpus.keys))
+        sums = self._read("dictionary", run).groupBy(*corpus.scope, "term", "slot").agg(F.sum("df").alias("df"))
+        named = self._write("dictionary", part, sums.filter("df <> 0"), "slot", ("term",))
+        stats = self._read("stats", run).groupBy(*corpus.scope)
+        stats = stats.agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_dl").alias("sum_dl"))
+        self._write("stats", part, stats.coalesce(1))
+        kept = self._read("replaced", run).groupBy(*corpus.unit)
+        kept = kept.agg(F.max("until").alias("until"), F.max("ts").alias("ts"))
+        if not first:  # nothing older is left to hide; versions are still asked for
+            kept = kept.filter("ts IS NOT NULL")
+        n_replaced = self._write("replaced", part, kept, corpus.unit[0]).count()
+        files = self._read("manifest", run).groupBy("file_path")
+        files = files.agg(F.max_by(F.struct("mtime", "size_bytes"), "gen").alias("last")).select("file_path", "last.*")
+        n_listed = self._write("manifest", part, files, "file_path").count()
+        self._write_fences(part, postings=posted, dictionary=named)
+        counts = {"n_docs": stored.count(), "n_replaced": n_replaced, "n_listed": n_listed}
+        self._commit(part._replace(**counts), [p.run for p in run])
+        return len(run)
+
+    def clean_up(self) -> None:
+        """Empty the folders of merged parts, which readers that pinned them can no longer read then."""
+        commits = self._commits() or []
+        folder = {c["run"]: Part(c["gen"], c["run"]).folder for c in commits}
+        nothing = self.spark.createDataFrame([], "nothing int")
+        for run in [r for c in commits for r in c["removed"]]:
+            for table in _TABLES:
+                nothing.write.mode("overwrite").parquet(f"{self.root}/{table}/{folder[run]}")

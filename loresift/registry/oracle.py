@@ -254,6 +254,52 @@ CASE WHEN turn % 3 = 1 THEN text || chr(10) || '[tool: Read]' || chr(10) || '{"l
      WHEN turn % 3 = 2 THEN text || chr(10) || 'done' ELSE text END
 """
 
+ASKED_GROUPS = r"""
+  SELECT item_id AS query_id, text AS query, regexp_split_to_array(text, '\s+') AS w,
+         CASE WHEN item_id % 2 = 0 THEN 1 ELSE 2 END AS groups_needed, CASE WHEN item_id % 3 = 0 THEN 2 ELSE 1 END AS second_needed,
+         CASE WHEN item_id % 5 = 0 THEN 1 END AS event_index_min
+  FROM benchmark"""
+
+
+def _batch_groups() -> str:
+    """Per query a group of a phrase or a word, and one of two words."""
+    return rf"""
+    WITH {_index(TALK)}, asked AS ({ASKED_GROUPS}),
+    pieces AS (SELECT query_id, 0 AS grp, 0 AS clause, {_tokens("w[1] || ' ' || w[2]")} AS t FROM asked
+               UNION ALL SELECT query_id, 0, 1, {_tokens('w[3]')} FROM asked
+               UNION ALL SELECT query_id, 1, 2, {_tokens('w[4]')} FROM asked
+               UNION ALL SELECT query_id, 1, 3, {_tokens('w[5]')} FROM asked),
+    terms AS (SELECT query_id, grp, clause, len(t) AS width, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS off
+              FROM pieces WHERE len(t) > 0),
+    sizes AS (SELECT query_id, grp, count(DISTINCT clause) AS n FROM terms GROUP BY ALL),
+    starts AS (SELECT q.query_id, q.grp, q.clause, q.width, o.file_path, o.event_index, o.pos - q.off AS start
+               FROM terms q JOIN occ o ON o.term = q.term GROUP BY ALL HAVING count(DISTINCT q.off) = q.width),
+    weights AS (SELECT query_id, clause, sum(idf) AS idf FROM terms JOIN idfs USING (term) GROUP BY ALL),
+    hits AS (SELECT query_id, grp, clause, file_path, event_index, count(*) AS tf FROM starts GROUP BY ALL),
+    by_group AS (SELECT h.query_id, h.grp, h.file_path, h.event_index, sum(w.idf * {_gain('h.tf')}) AS gain, count(*) AS n_found
+                 FROM hits h JOIN weights w USING (query_id, clause)
+                 JOIN lens l ON l.file_path = h.file_path AND l.event_index = h.event_index, stats s GROUP BY ALL),
+    held AS (SELECT g.* FROM by_group g JOIN asked a USING (query_id) JOIN sizes z USING (query_id, grp)
+             WHERE n_found >= CASE WHEN grp = 1 AND second_needed = 2 THEN z.n ELSE 1 END),
+    gains AS (SELECT query_id, file_path, event_index, round(sum(gain), 4) AS score, count(*) AS n_groups FROM held GROUP BY ALL),
+    ranked AS (SELECT a.query, a.query_id, g.score, d.*,
+                      row_number() OVER (PARTITION BY a.query_id ORDER BY g.score DESC, d.file_path, d.event_index) AS rank
+               FROM gains g JOIN asked a USING (query_id) JOIN docs d ON d.file_path = g.file_path AND d.event_index = g.event_index
+               WHERE g.n_groups >= least(a.groups_needed, (SELECT count(*) FROM sizes z WHERE z.query_id = a.query_id))
+                 AND (a.event_index_min IS NULL OR d.event_index >= a.event_index_min))
+    SELECT d.query_id, d.rank, {TALK_HIT}, {_snippet('d.text', "lower(regexp_extract(d.query, '[^ ]+'))", TALK_WIDTH)} AS snippet, d.score
+    FROM ranked d WHERE d.rank <= 10"""
+
+
+REFRESHED = """
+kept AS (SELECT *, '-docs-' || source || '/' || doc_id || '.jsonl' AS file_path FROM documents WHERE doc_id % 6 <> 0)
+"""
+REFRESHED_DOCS = f"""
+WITH {REFRESHED}
+SELECT file_path, CAST(0 AS BIGINT) AS event_index, 'docs/' || source AS project,
+       md5(CASE WHEN doc_id % 4 = 0 THEN text || ' revised' ELSE text END) AS text_md5 FROM kept WHERE doc_id % 7 <> 0
+UNION ALL SELECT file_path, 2, 'docs/' || source, md5(lang) FROM kept WHERE doc_id % 7 <> 0"""
+
 ORACLE = {
     "transcript_extract": f"""
     SELECT CAST(conv_id AS VARCHAR) AS session_id, 'Users/u/p' || (conv_id % 5) AS project,
@@ -350,7 +396,18 @@ ORACLE = {
     SELECT count(*) AS n_documents, count(DISTINCT source || '/' || doc_id) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes
     FROM documents""",
     "doc_count": "SELECT count(*) AS n_documents FROM documents",
-    "default_repo": "SELECT DISTINCT 'shop' AS repo FROM documents",
+    "default_repo": "SELECT max(source) AS repo FROM documents",
+    "batch_search_bool": _batch_groups(),
+    "replace_thrice": f"WITH {_index(REVISED_TALK)} SELECT term, df FROM dfs",
+    "compact_index": f"""
+    WITH {REVISED_TALK} SELECT file_path, event_index, md5(text) AS text_md5, count(*) OVER () AS n_docs FROM docs""",
+    "pinned_reader": f"""
+    WITH {TALK} SELECT 'pinned' AS reader, count(*) AS n_documents FROM docs
+    UNION ALL SELECT 'current', count(*) FROM docs WHERE CAST(session_id AS BIGINT) % 2 = 0""",
+    "index_refresh": REFRESHED_DOCS,
+    "stream_bootstrap_follow": REFRESHED_DOCS,
+    "transcript_summary": f"""
+    WITH {REFRESHED} SELECT CAST(2 * count(*) FILTER (doc_id % 7 <> 0) AS BIGINT) AS n_documents, count(*) AS n_files FROM kept""",
     "hits_json_rows": _talk_search(ANY_GROUPS, "the"),
     "repo_list": "SELECT DISTINCT source AS repo FROM documents ORDER BY repo",
     "listing_transcripts": f"""

@@ -18,6 +18,7 @@ from loresift.operators.code import build_documents, path_gates, walk_tree
 from loresift.operators.ignore import IGNORE_RULES, drop_ignored, rules_table
 from loresift.operators.search import Beyond, match_count, search
 from loresift.operators.transcripts import extract_documents
+from loresift.plans.refresh import refresh
 from loresift.plans.results import hits_json, hits_listing
 from loresift.plans.scan import DocumentScan
 from loresift.plans.store import StoredIndex
@@ -26,7 +27,7 @@ from loresift.schema import CODE, TRANSCRIPT_SCHEMA, TRANSCRIPTS
 from loresift.session import configure, scratch_path
 from loresift.sources.jsonl import read_lines
 from loresift.sources.tree import _open, read_contents
-from loresift.streaming.follow import due_files, follow_versions, quiet_files, transcript_changes
+from loresift.streaming.follow import due_files, follow_folder, follow_versions, quiet_files, transcript_changes
 
 #: What the search queries ask for.
 ANY_WORDS = "the aning als"
@@ -100,13 +101,16 @@ def identifier_expand(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _write_files(files: DataFrame, root: str) -> None:
-    """Write ``(rel_path, content)`` rows as files, in the tasks that hold them."""
+    """Write ``(rel_path, content)`` rows as files, in the tasks that hold them; a file without content goes."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = _open(root)
         for batch in batches:
             for row in batch.to_pylist():
                 target = f"{base}/{row['rel_path']}"
+                if row["content"] is None:
+                    filesystem.delete_file(target)
+                    continue
                 filesystem.create_dir(target.rsplit("/", 1)[0], recursive=True)
                 with filesystem.open_output_stream(target) as stream:
                     stream.write(row["content"])
@@ -268,6 +272,22 @@ def batch_code(spark: SparkSession, folder: str) -> DataFrame:
     return batch_search(_code(spark, folder), asked)
 
 
+def batch_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries of two groups each, joined as the query says: a phrase or a word, and two words that must or may occur."""
+    word = F.split("query", r"\s+")
+    pieces = F.array(F.concat_ws(" ", F.slice(word, 1, 2)), F.get(word, F.lit(2)))
+    more = F.array(F.get(word, F.lit(3)), F.get(word, F.lit(4)))
+    how = F.when(F.col("query_id") % 3 == 0, "all").otherwise("any")
+    asked = fixtures.query_table(spark, folder).select(
+        "query_id", "query",
+        F.when(F.col("query_id") % 2 == 0, "any").otherwise("all").alias("match"),
+        F.array(F.struct(F.lit("any").alias("match"), pieces.alias("pieces")),
+                F.struct(how.alias("match"), more.alias("pieces"))).alias("groups"),
+        F.when(F.col("query_id") % 5 == 0, F.lit(1)).cast("bigint").alias("event_index_min"),
+    )
+    return batch_search(_stored_talk(spark, folder), asked)
+
+
 def stored_batch(spark: SparkSession, folder: str) -> DataFrame:
     return batch_search(_stored_talk(spark, folder), fixtures.query_table(spark, folder))
 
@@ -307,16 +327,19 @@ def index_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def doc_count(spark: SparkSession, folder: str) -> DataFrame:
-    return _code(spark, folder).stats().agg(F.sum("n_docs").alias("n_documents"))
+    return _stored_code(spark, folder).stats().agg(F.sum("n_docs").alias("n_documents"))
 
 
 def default_repo(spark: SparkSession, folder: str) -> DataFrame:
-    documents = fixtures.code(spark, folder).withColumn("repo", F.lit("shop"))
-    return spark.createDataFrame([(repos.default_repo(documents),)], "repo string")
+    """The default of an index from which all repositories but the last are dropped."""
+    documents = fixtures.code(configure(spark), folder)
+    last = documents.agg(F.max("repo").alias("repo"))
+    index = StoredIndex.create(documents.join(last, "repo", "left_semi"), CODE, scratch_path(spark, "index"))
+    return spark.createDataFrame([(repos.default_repo(index.stats()),)], "repo string")
 
 
 def repo_list(spark: SparkSession, folder: str) -> DataFrame:
-    return repos.repo_list(fixtures.code(spark, folder))
+    return repos.repo_list(_stored_code(spark, folder).stats())
 
 
 def json_hits(spark: SparkSession, folder: str) -> DataFrame:
@@ -365,6 +388,107 @@ def replace_branch(spark: SparkSession, folder: str) -> DataFrame:
     return index.dictionary()
 
 
+def _replaced_thrice(spark: SparkSession, folder: str) -> StoredIndex:
+    """Odd conversations rewritten twice, then every second of those to nothing: ends as ``replace_file``."""
+    index = _stored_talk(spark, folder)
+    odd = fixtures.transcripts(spark, folder).filter(_conversation("file_path") % 2 == 1)
+    for number in range(2):
+        again = odd.withColumn("text", F.concat("text", F.lit(f" draft{number}")))
+        index.replace_files(again, odd.select("file_path"))
+    revised = odd.filter(_conversation("file_path") % 4 == 1).withColumn("text", F.concat("text", F.lit(" revised")))
+    index.replace_files(revised, odd.select("file_path"))
+    return index
+
+
+def replace_thrice(spark: SparkSession, folder: str) -> DataFrame:
+    return _replaced_thrice(spark, folder).dictionary()
+
+
+def compact_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts of three replacements merged with what they replaced: the documents, and their number by the statistics."""
+    index = _replaced_thrice(spark, folder)
+    index.compact(everything=True)
+    index.clean_up()
+    held = index.documents().select("file_path", "event_index", F.md5("text").alias("text_md5"))
+    return held.withColumn("n_docs", index.stats().select("n_docs").scalar())
+
+
+def pinned_reader(spark: SparkSession, folder: str) -> DataFrame:
+    """What a pinned reader and one that goes on see after a replacement."""
+    index = _stored_talk(spark, folder)
+    pinned = index.pinned()
+    odd = fixtures.transcripts(spark, folder).filter(_conversation("file_path") % 2 == 1)
+    index.replace_files(odd.limit(0), odd.select("file_path"))
+    views = [(name, view) for name, view in (("pinned", pinned), ("current", index))]
+    counted = [v.documents().agg(F.count("*").alias("n_documents")).withColumn("reader", F.lit(n)) for n, v in views]
+    return counted[0].unionByName(counted[1])
+
+
+def _line(text: Column) -> Column:
+    return F.to_json(F.struct(F.lit("user").alias("type"), F.struct(text.alias("content")).alias("message")))
+
+
+def _transcript_files(spark: SparkSession, folder: str, kept: str, suffix: str = "") -> DataFrame:
+    """A transcript per document for which ``kept`` holds; every seventh is empty."""
+    content = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(_line(F.concat("text", F.lit(suffix))), F.lit("\n\n"), _line(F.col("lang"))))
+    name = F.concat(F.lit("-docs-"), "source", F.lit("/"), "doc_id", F.lit(".jsonl"))
+    return fixtures.table(spark, folder, "documents").filter(kept).select(name.alias("rel_path"), content.alias("content"))
+
+
+def _changed_files(spark: SparkSession, folder: str, root: str) -> None:
+    """After even documents were written: odd ones appear, every fourth is rewritten, every sixth goes."""
+    _write_files(_transcript_files(spark, folder, "doc_id % 2 = 1"), root)
+    _write_files(_transcript_files(spark, folder, "doc_id % 4 = 0", " revised"), root)
+    _write_files(_transcript_files(spark, folder, "doc_id % 6 = 0").withColumn("content", F.lit(None).cast("string")), root)
+
+
+def _empty_talk(spark: SparkSession) -> StoredIndex:
+    return StoredIndex.create(spark.createDataFrame([], TRANSCRIPT_SCHEMA), TRANSCRIPTS, scratch_path(spark, "index"), 2, 64)
+
+
+def _refreshed(spark: SparkSession, folder: str) -> tuple[StoredIndex, str]:
+    root = scratch_path(configure(spark), "talk")
+    index = _empty_talk(spark)
+    _write_files(_transcript_files(spark, folder, "doc_id % 2 = 0"), root)
+    refresh(index, root)
+    _changed_files(spark, folder, root)
+    refresh(index, root)
+    return index, root
+
+
+def _by_path(index: StoredIndex, root: str) -> DataFrame:
+    path = path_functions.relative_to(F.col("file_path"), root).alias("file_path")
+    return index.documents().select(path, "event_index", "project", F.md5("text").alias("text_md5"))
+
+
+def index_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    return _by_path(*_refreshed(spark, folder))
+
+
+def transcript_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and files, those without any event included."""
+    return _refreshed(spark, folder)[0].summary()
+
+
+def stream_bootstrap_follow(spark: SparkSession, folder: str) -> DataFrame:
+    """Files are loaded, then followed: what is written while the stream runs is found by its listings."""
+    root = scratch_path(configure(spark), "talk")
+    index = _empty_talk(spark)
+    _write_files(_transcript_files(spark, folder, "doc_id % 2 = 0"), root)
+    running = follow_folder(index, root).option("checkpointLocation", scratch_path(spark, "follow-checkpoint")).start()
+    try:
+        while not index.has_documents() and not running.awaitTermination(1):
+            pass
+        _changed_files(spark, folder, root)
+        begun = len(running.recentProgress) and running.lastProgress["batchId"]
+        # a refresh that began after the last change has ended
+        while (running.lastProgress or {"batchId": -1})["batchId"] < begun + 2 and not running.awaitTermination(1):
+            pass
+    finally:
+        running.stop()
+    return _by_path(index, root)
+
+
 def prune_files(spark: SparkSession, folder: str) -> DataFrame:
     index = _stored_talk(spark, folder)
     listing = fixtures.transcripts(spark, folder).filter(_conversation("file_path") % 3 != 0)
@@ -516,6 +640,7 @@ QUERIES = {
     "batch_search_filtered": batch_filtered,
     "batch_search_code": batch_code,
     "stored_batch_search": stored_batch,
+    "batch_search_bool": batch_groups,
     "match_count": matches,
     "snippet_transcript": snippet_transcript,
     "snippet_code": snippet_code,
@@ -530,10 +655,16 @@ QUERIES = {
     "listing_code": listing_code,
     "replace_file": replace_file,
     "replace_branch": replace_branch,
+    "replace_thrice": replace_thrice,
+    "compact_index": compact_index,
+    "pinned_reader": pinned_reader,
     "prune_files": prune_files,
+    "index_refresh": index_refresh,
+    "transcript_summary": transcript_summary,
     "change_detect": change_detect,
     "burst_batch": burst_batch,
     "stream_debounce": stream_debounce,
     "stream_follow": stream_follow,
     "stream_upsert": stream_upsert,
+    "stream_bootstrap_follow": stream_bootstrap_follow,
 }

@@ -14,7 +14,7 @@ class Corpus:
     ``keys`` identify a document and break score ties. ``scope`` are the
     columns corpus statistics are kept by. ``fields`` are exact-match or range
     columns; they are copied onto the postings so that filters reach that scan.
-    ``unit`` are the columns a replace job overwrites by.
+    ``unit`` are the columns of the key that a replacement replaces by.
     """
 
     name: str
@@ -32,7 +32,7 @@ class Corpus:
 
     @property
     def carried(self) -> tuple[str, ...]:
-        """Everything about a document but its text and its storage unit."""
+        """Everything about a document but its text."""
         return tuple(dict.fromkeys(self.keys + self.fields + self.stored))
 
 
@@ -43,7 +43,7 @@ TRANSCRIPTS = Corpus(
     fields=("session_id", "project", "event_role", "timestamp", "cwd", "git_branch"),
     stored=(),
     text="text",
-    unit=("bucket",),
+    unit=("file_path",),
     snippet_chars=140,
 )
 

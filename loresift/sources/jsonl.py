@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loresift.sources.tree import _open, list_tree, reading_tasks, with_sizes
+from loresift.sources.tree import GONE, _open, list_tree, reading_tasks, with_sizes
 
 #: Files are read in blocks of this size; a line belongs to the block it begins in.
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -53,7 +53,7 @@ def _opened(filesystem, path: str):
     """The file, or None if it is gone or may not be read. Any other error fails the task, so that it runs again."""
     try:
         return filesystem.open_input_file(path)
-    except (FileNotFoundError, PermissionError):
+    except GONE:
         return None
 
 

@@ -31,6 +31,9 @@ def _open(root: str):
     return filesystem, base.rstrip("/") or "/"
 
 
+#: What is gone or may not be read is passed over. Any other error fails the task, so that it runs again.
+GONE = (FileNotFoundError, NotADirectoryError, PermissionError)
+
 #: A repository's own folder is not listed, but for its exclude rules.
 GIT_FOLDER = ".git"
 EXCLUDE_FILE = f"{GIT_FOLDER}/info/exclude"
@@ -44,7 +47,7 @@ def _children(filesystem, path: str) -> list:
     """Plain files and folders; links are left out, so that nothing is listed twice or without end."""
     try:
         found = filesystem.get_file_info(fs.FileSelector(path, recursive=False))
-    except OSError:  # an unreadable directory is passed over
+    except GONE:  # the folder is passed over
         return []
     children = []
     for info in found:
@@ -155,7 +158,7 @@ def reading_tasks(spark: SparkSession) -> int:
 
 
 def read_contents(files: DataFrame, root: str) -> DataFrame:
-    """Add the bytes of each listed file as ``content``; unreadable files drop out.
+    """Add the bytes of each listed file as ``content``; files that are gone or may not be read drop out.
 
     The listing is spread out by path first: one directory may hold most of
     the files, and listing tasks are per directory.
@@ -165,27 +168,32 @@ def read_contents(files: DataFrame, root: str) -> DataFrame:
     schema = ", ".join(f"`{n}` {t}" for n, t in spread.dtypes) + ", content binary"
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, _ = _open(root)
-        for batch in batches:
-            kept, contents, held = [], [], 0
-            for row, path in enumerate(batch.column("path").to_pylist()):
-                try:
-                    with filesystem.open_input_stream(path) as stream:
-                        data = stream.read()
-                except OSError:
-                    continue
-                kept.append(row)
-                contents.append(data)
-                held += len(data)
-                if held >= _BATCH_BYTES:
-                    yield _with_column(batch, kept, "content", pa.array(contents, pa.binary()))
-                    kept, contents, held = [], [], 0
-            if kept:
-                yield _with_column(batch, kept, "content", pa.array(contents, pa.binary()))
+        return _contents(batches, _open(root)[0])
 
     return spread.mapInArrow(load, schema).select(*columns, "content")
 
 
+def _contents(batches: Iterator[pa.RecordBatch], filesystem) -> Iterator[pa.RecordBatch]:
+    """Batches with the bytes of each ``path``, without files that can't be opened; one that can't be read through is an error."""
+    for batch in batches:
+        kept, contents, held = [], [], 0
+        for row, path in enumerate(batch.column("path").to_pylist()):
+            try:
+                stream = filesystem.open_input_stream(path)
+            except GONE:
+                continue
+            with stream:
+                data = stream.read()
+            kept.append(row)
+            contents.append(data)
+            held += len(data)
+            if held >= _BATCH_BYTES:
+                yield _with_column(batch, kept, "content", pa.array(contents, pa.binary()))
+                kept, contents, held = [], [], 0
+        if kept:
+            yield _with_column(batch, kept, "content", pa.array(contents, pa.binary()))
+
+
 def _with_column(batch: pa.RecordBatch, kept: list[int], name: str, values: pa.Array) -> pa.RecordBatch:
     taken = pa.Table.from_batches([batch]).take(pa.array(kept, pa.int64()))
     columns = [column.combine_chunks() for column in taken.columns] + [values]

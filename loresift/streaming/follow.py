@@ -16,6 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loresift.operators.transcripts import extract_documents
+from loresift.plans.refresh import refresh
 from loresift.plans.store import StoredIndex
 from loresift.sources.jsonl import read_lines_of, split_lines
 
@@ -91,8 +92,7 @@ def apply_versions(index: StoredIndex, versions: DataFrame) -> None:
     latest = latest.join(applied, "file_path", "left").filter(F.col("applied").isNull() | (F.col("ts") >= F.col("applied")))
     latest = latest.drop("applied").persist()
     live = latest.filter(F.col("last.kind") != "remove").select("file_path", F.col("last.content").alias("value"))
-    index.replace_files(extract_documents(split_lines(live)), latest.select("file_path"))
-    index.note_versions(latest.select("file_path", "ts"))
+    index.replace_files(extract_documents(split_lines(live)), latest.select("file_path", "ts"))
     latest.unpersist()
 
 
@@ -121,6 +121,19 @@ def follow_versions(index: StoredIndex, changes: DataFrame) -> DataStreamWriter:
     return wanted.writeStream.foreachBatch(_each_batch(lambda batch: apply_versions(index, batch)))
 
 
+def follow_folder(index: StoredIndex, root: str) -> DataStreamWriter:
+    """Keep an index up to the files below ``root``: first all of them, then what changes, one refresh per trigger.
+
+    Nothing has to notice changes; a clock asks for listings. The trigger says how often.
+    """
+
+    def catch_up(batch: DataFrame, batch_id: int) -> None:
+        refresh(index, root)
+
+    clock = index.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(catch_up)
+
+
 def follow_files(index: StoredIndex, changes: DataFrame, root: str, quiet_millis: int = QUIET_MILLIS) -> DataStreamWriter:
     """Stream of change notices into the index; files are read once they are quiet by the clock.
 

@@ -189,7 +189,6 @@ def test_a_lookup_reads_only_its_terms_and_columns(stored):
     )
     scan = next(part for part in plan.split("\n\n") if "EqualTo(event_role,user)" in part)
     lines = dict(line.split(": ", 1) for line in scan.split("\n") if ": " in line)
-    assert "term_bucket" in lines["PartitionFilters"]
     assert "EqualTo(term,ibis)" in lines["PushedFilters"]
     assert "positions" not in lines["ReadSchema"] and "tf:int" in lines["ReadSchema"]
     assert "dynamicpruning" in plan  # the documents of the hits, by bucket
@@ -220,11 +219,45 @@ def batch_rows(index, queries, **options):
 def test_batch_equals_single_searches(spark, index, match, small, monkeypatch):
     """Both with broadcasts and with the salted joins used for large query tables."""
     if not small:
-        monkeypatch.setattr(batch, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(batch, "BROADCAST_BYTES", 0)
     queries = spark.createDataFrame(list(enumerate(BATCH)), "query_id int, query string")
     assert batch_rows(index, queries, match=match) == single_rows(index, match)
 
 
+def test_batch_of_phrases_groups_and_modes(spark, index):
+    rows = [
+        (0, 'elk "ant bee"', None, None),
+        (1, 'elk "ant bee"', "all", None),
+        (2, "elk fox", "all", None),
+        (3, "x", "all", [("any", ["elk", "ant bee"]), ("any", ["fox", "gnu"])]),
+        (4, "x", "any", [("all", ["elk", "fox"]), ("all", ["gnu", "cat"]), (None, ["--"])]),
+        (5, "x", None, []),
+    ]
+    schema = "query_id int, query string, match string, groups array<struct<match:string,pieces:array<string>>>"
+    found = batch.batch_search(index, spark.createDataFrame(rows, schema).withColumn("limit", F.lit(100))).collect()
+    got = {n: {r["event_index"]: r["score"] for r in found if r["query_id"] == n} for n in range(6)}
+    assert got[0] == expected([("any", terms("elk", ["ant", "bee"]))])
+    assert got[1] == expected([("all", terms("elk", ["ant", "bee"]))])
+    assert got[2] == expected([("all", terms("elk", "fox"))])
+    assert got[3] == expected([("any", terms("elk", ["ant", "bee"])), ("any", terms("fox", "gnu"))], "all")
+    assert got[4] == expected([("all", terms("elk", "fox")), ("all", terms("gnu", "cat"))], "any")
+    assert got[5] == {}
+    wrong = spark.createDataFrame([(0, "elk", "some")], "query_id int, query string, match string")
+    with pytest.raises(Exception, match="any or all"):
+        batch.batch_search(index, wrong).collect()
+
+
+def test_batch_ranges_and_keywords(spark, index):
+    rows = [(0, 10, 20, None), (1, None, 5, None), (2, None, None, None), (3, None, None, "nowhere")]
+    queries = spark.createDataFrame(rows, "query_id int, event_index_min long, event_index_max long, cwd string")
+    found = batch_rows(index, queries.withColumn("query", F.lit("elk ant")).withColumn("limit", F.lit(100)))
+    groups = [("any", terms("elk", "ant"))]
+    bounds = {0: (10, 20), 1: (0, 5), 2: (0, 1000)}
+    for n, (low, high) in bounds.items():
+        assert {v[0]: v[2] for (q, _), v in found.items() if q == n} == expected(groups, keep=lambda i: low <= i <= high)
+    assert not [q for q, _ in found if q == 3]
+
+
 def test_batch_filters_and_limits(spark, index):
     rows = [
         (0, "elk ant", "Users/u/demo", None, 5),
@@ -248,7 +281,7 @@ def test_batch_filters_and_limits(spark, index):
 @pytest.mark.parametrize("small", [True, False])
 def test_batch_over_code_keeps_repositories_apart(spark, kind, small, monkeypatch):
     if not small:
-        monkeypatch.setattr(batch, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(batch, "BROADCAST_BYTES", 0)
     files = {f"{i}.txt": t for i, t in enumerate(TEXTS[:20])}
     documents = code(spark, files, "a").union(code(spark, {k: v for k, v in files.items() if k < "15"}, "b"))
     index = (
@@ -277,11 +310,23 @@ def test_a_file_that_holds_most_documents(spark):
     assert match_count(index, clauses.words(spark, "hot")).first()["n_matches"] == 3000
 
 
+def test_nested_brackets_match_as_they_say(spark, index):
+    query = clauses.parse(spark, "(elk OR ant AND (bee OR fox)) AND gnu")
+    found = {h["event_index"] for h in search(index, query, limit=100).collect()}
+    held = [set(t.lower().split()) for t in TEXTS]
+    wanted = {i for i, w in enumerate(held) if ("elk" in w or ("ant" in w and w & {"bee", "fox"})) and "gnu" in w}
+    assert len(wanted) <= 100 and found == wanted and match_count(index, query).first()["n_matches"] == len(wanted)
+
+
 def test_query_texts(spark):
     def shape(text, match="any"):
         query = clauses.parse(spark, text, match)
-        groups = [(g.match, [" ".join(c.terms) for c in g.clauses]) for g in query.groups]
-        return query.match, groups
+        return query.match, [inner(g) for g in query.groups]
+
+    def inner(part):
+        if isinstance(part, clauses.Clause):
+            return " ".join(part.terms)
+        return part.match, [inner(p) for p in part.parts]
 
     assert clauses.parse(spark, "tide low_water") == clauses.words(spark, "tide low_water")
     assert shape('"low tide"') == ("all", [("any", ["low tide"])])
@@ -291,8 +336,10 @@ def test_query_texts(spark):
     assert shape("a AND b OR c AND d") == ("any", [("all", ["a", "b"]), ("all", ["c", "d"])])
     assert shape("a b AND c") == ("all", [("any", ["a", "b"]), ("any", ["c"])])
     assert shape("a b OR c", "all") == ("any", [("all", ["a", "b"]), ("all", ["c"])])
-    assert shape("(a OR b AND (c OR d)) AND e") == (
-        "any", [("all", ["a", "e"]), ("all", ["b", "c", "e"]), ("all", ["b", "d", "e"])]
-    )
+    nested = ("any", ["a", ("all", ["b", ("any", ["c", "d"])])])
+    assert shape("(a OR b AND (c OR d)) AND e") == ("all", [nested, ("any", ["e"])])
+    # nothing is multiplied out
+    brackets = " AND ".join(f"(a{k} OR b{k})" for k in range(30))
+    assert len(clauses.parse(spark, f"z OR ({brackets})").clauses) == 61
     assert shape('AND ((a OR ) "" ) ) AND "b') == ("all", [("any", ["a", "b"])])
     assert shape("AND OR ()")[1] == [] and shape('"Of"') == ("all", [("any", ["of"])])

@@ -3,8 +3,11 @@ from __future__ import annotations
 import json
 import time
 from datetime import datetime, timedelta, timezone
+from functools import reduce
+from pathlib import Path
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loresift.operators import postings
@@ -41,7 +44,7 @@ def paths(spark, *names):
 
 def state(index):
     """Documents, and every derived table as recomputed from them."""
-    documents = index.documents().drop("bucket")
+    documents = index.documents()
     scan = DocumentScan(TRANSCRIPTS, documents)
     assert sorted(index.dictionary().collect()) == sorted(postings.dictionary(scan.postings(), ()).collect())
     assert index.stats().collect() == scan.stats().collect()
@@ -75,30 +78,116 @@ def test_replacing_everything_by_nothing(spark, index):
     assert len(search(index, "ant").collect()) == 1
 
 
-def test_a_replacement_that_was_cut_off_is_completed(spark, index, monkeypatch):
-    exchange = StoredIndex._exchange
+def test_a_replacement_that_was_cut_off_is_not_seen(spark, index, monkeypatch):
+    before = state(index)
+    commit = StoredIndex._commit
 
-    def cut_off(self, pending):
+    def cut_off(self, part, removed):
         raise RuntimeError("lost")
 
-    monkeypatch.setattr(StoredIndex, "_exchange", cut_off)
+    monkeypatch.setattr(StoredIndex, "_commit", cut_off)
     with pytest.raises(RuntimeError):
         index.replace_files(talk(spark, ["dog"], path=FILES[0]), paths(spark, FILES[0]))
-    monkeypatch.setattr(StoredIndex, "_exchange", exchange)
-    assert (FILES[0], 1) in state(index)
-    index.finish_pending()
+    with pytest.raises(RuntimeError):
+        StoredIndex.create(some_files(spark), TRANSCRIPTS, half := scratch_path(spark, "half"), 3, 2)
+    monkeypatch.setattr(StoredIndex, "_commit", commit)
+    assert state(index) == before
+    with pytest.raises(ValueError, match="no index"):
+        StoredIndex.open(spark, half)
+    index.replace_files(talk(spark, ["dog"], path=FILES[0]), paths(spark, FILES[0]))
     after = state(index)
     assert after[(FILES[0], 0)] == "dog" and (FILES[0], 1) not in after
-    index.finish_pending()
-    assert state(index) == after
 
 
-def test_pruning_and_compaction(spark, index):
+def test_an_index_is_not_written_over(spark, index):
+    with pytest.raises(ValueError, match="already"):
+        StoredIndex.create(some_files(spark), TRANSCRIPTS, index.root, 3, 2)
+
+
+def test_pruning_and_merging_everything(spark, index):
     index.prune(paths(spark, *FILES[:2]))
     kept = state(index)
     assert {k[0] for k in kept} == set(FILES[:2])
-    index.compact()
-    assert state(index) == kept
+    assert index.compact(everything=True) == 2
+    assert state(index) == kept and len(index.parts()) == 1
+    assert index.compact(everything=True) == 0
+
+
+def folder_bytes(index):
+    files = [f for f in Path(index.root).rglob("*.parquet") if f.is_file()]
+    return sum(f.stat().st_size for f in files)
+
+
+def test_a_replaced_file_writes_in_proportion_to_itself(spark):
+    words = [f"w{k}" for k in range(400)]
+    files = [talk(spark, [" ".join(words)] * 5, path=p) for p in FILES]
+    index = StoredIndex.create(reduce(DataFrame.union, files), TRANSCRIPTS, scratch_path(spark, "grows"), 3, 8)
+    whole, lists = folder_bytes(index), sorted(str(f) for f in Path(index.root).rglob("*.parquet"))
+    index.replace_files(talk(spark, ["dog bee"], path=FILES[0]), paths(spark, FILES[0]))
+    assert set(lists) < {str(f) for f in Path(index.root).rglob("*.parquet")}  # nothing was written over
+    one_file = folder_bytes(index) - whole
+    assert one_file < whole
+    state(index)
+    # what one word more takes does not grow with the index
+    more = [talk(spark, [" ".join(words)] * 5, path=f"/t/-q/{k}.jsonl") for k in range(30)]
+    large = StoredIndex.create(reduce(DataFrame.union, files + more), TRANSCRIPTS, scratch_path(spark, "large"), 3, 8)
+    before = folder_bytes(large)
+    large.replace_files(talk(spark, ["dog bee"], path=FILES[0]), paths(spark, FILES[0]))
+    assert folder_bytes(large) - before < 1.2 * one_file
+
+
+def test_storage_stays_bounded_over_many_replacements(spark, index):
+    expected = state(index)
+    first, merged = folder_bytes(index), []
+    for k in range(20):
+        index.replace_files(talk(spark, [f"dog{k}"], path=FILES[k % 2]), paths(spark, FILES[k % 2]))
+        if k % 4 == 3:
+            merged.append(index.compact())
+    assert max(merged) > 3 and len(index.parts()) <= 4
+    index.clean_up()
+    after = state(index)
+    assert after == {**{k: v for k, v in expected.items() if k[0] not in FILES[:2]}, (FILES[0], 0): "dog18", (FILES[1], 0): "dog19"}
+    index.compact(everything=True)
+    index.clean_up()
+    held = [f for p in index.parts() for t in ("documents", "postings", "dictionary") for f in (Path(index.root) / t / p.folder).rglob("*.parquet")]
+    assert state(index) == after and sum(f.stat().st_size for f in held) < first
+
+
+def test_merging_leaves_larger_parts_and_keeps_what_hides_them(spark, index):
+    base = index.parts()[0]
+    index.replace_files(talk(spark, ["dog"], path=FILES[0]), paths(spark, FILES[0]))
+    index.replace_files(talk(spark, []), paths(spark, FILES[1]))
+    expected = state(index)
+    assert index.compact() == 2 and index.parts()[0] == base and len(index.parts()) == 2
+    assert state(index) == expected
+    index.replace_files(talk(spark, ["elk"], path=FILES[1]), paths(spark, FILES[1]))
+    assert state(index) == {**expected, (FILES[1], 0): "elk"}
+
+
+def test_a_pinned_reader_sees_one_state(spark, index):
+    pinned = index.pinned()
+    before = state(pinned)
+    index.replace_files(talk(spark, ["zebra"], path=FILES[0]), paths(spark, FILES[0]))
+    index.compact(everything=True)
+    assert state(pinned) == before and search(pinned, "zebra").collect() == []
+    assert len(search(index, "zebra").collect()) == 1
+
+
+def test_a_lookup_opens_only_the_files_of_its_terms(spark):
+    documents = reduce(DataFrame.union, [talk(spark, [f"ant w{k} x{k} y{k}" for k in range(30)], path=p) for p in FILES])
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2k")
+    try:
+        index = StoredIndex.create(documents, TRANSCRIPTS, scratch_path(spark, "fenced"), 2, 64)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    parts = index.parts()
+    every = set(index._read("postings").inputFiles())
+    assert len(every) > 3
+    for term in ("ant", "w3", "x7", "nothing"):
+        found = index._lookup("postings", [term], parts)
+        opened = set(found.inputFiles())
+        holding = {r["f"] for r in index._read("postings").filter(F.col("term") == term).select(F.input_file_name().alias("f")).collect()}
+        assert holding <= opened < every and found.count() == index._read("postings").filter(F.col("term") == term).count()
 
 
 def test_opening_an_index_again_sees_later_commits(spark, index):
