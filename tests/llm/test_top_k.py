@@ -17,7 +17,7 @@ def make(spark, rows):
 
 def brute(rows, k):
     good = [
-        (i, [math.floor(64 * x) for x in v])
+        (i, [int(x) * 64 if abs(x) > 2**53 else math.floor(64 * x) for x in v])
         for i, v in rows
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
     ]
@@ -69,5 +69,15 @@ def test_large_components(spark):
     rows += [(101 + i, [draw.gauss(0, 1) * 2**28, draw.gauss(0, 1) * 2**25, 1.0, -1.0]) for i in range(19)]
     rows += [(140, [0.0, 0.0, 2.0**30, 0.25]), (141, [2.0**9, 1.0, 0.5, 0.0]), (142, [2.0**9, 1.0, 0.5, 0.25])]
     assert search(make(spark, rows), data_block=40, query_block=3) == brute(rows, 20)
+
+
+def test_components_of_any_size(spark):
+    draw = random.Random(6)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(3)]) for i in range(1, 90) if i % 20]
+    rows += [(20, [1.0, 0.0, 0.0]), (40, [0.0, 0.5, 0.0])]
+    # far below, orthogonal, and beyond what doubles hold after scaling
+    rows += [(200, [-1e30, -1e30, 0.0]), (201, [-1e300, -1.7e308, 0.0]), (202, [0.0, -1e18, 5.0]), (203, [-1e25, 0.0, 1e30])]
+    below = [r for r in rows if r[0] != 200]
+    assert search(make(spark, below), data_block=30) == brute(below, 20)
     with pytest.raises(Exception, match="beyond 64 bits"):
         search(make(spark, [(0, [1.0]), (1, [2.0**60])]))
