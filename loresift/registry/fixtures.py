@@ -27,7 +27,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def session_path(conv_id: Column) -> Column:
-    return F.concat(F.lit("/t/-Users-u-p"), conv_id % 5, F.lit("/"), conv_id, F.lit(".jsonl"))
+    return F.concat(F.lit("/t/-srv-log-p"), conv_id % 5, F.lit("/"), conv_id, F.lit(".jsonl"))
 
 
 def turn_time(conv_id: Column, turn: Column) -> Column:
@@ -41,7 +41,7 @@ def transcripts(spark: SparkSession, folder: str) -> DataFrame:
     conv, turn = F.col("conv_id"), F.col("turn")
     return turns.select(
         conv.cast("string").alias("session_id"),
-        F.concat(F.lit("Users/u/p"), conv % 5).alias("project"),
+        F.concat(F.lit("srv/log/p"), conv % 5).alias("project"),
         F.col("role").alias("event_role"),
         turn_time(conv, turn).alias("timestamp"),
         F.lit(None).cast("string").alias("cwd"),

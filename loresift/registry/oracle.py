@@ -10,9 +10,9 @@ TOKENS = r"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+')"
 
 TALK = """
 docs AS (
-  SELECT CAST(conv_id AS VARCHAR) AS session_id, 'Users/u/p' || (conv_id % 5) AS project, role AS event_role,
+  SELECT CAST(conv_id AS VARCHAR) AS session_id, 'srv/log/p' || (conv_id % 5) AS project, role AS event_role,
          TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) AS at,
-         '/t/-Users-u-p' || (conv_id % 5) || '/' || conv_id || '.jsonl' AS file_path,
+         '/t/-srv-log-p' || (conv_id % 5) || '/' || conv_id || '.jsonl' AS file_path,
          turn AS event_index, text, '' AS scope
   FROM conversations WHERE role IN ('user', 'assistant'))
 """
@@ -174,7 +174,7 @@ def _batch(docs: str, asked: str, conditions: str, hit: str, keys: str, width: i
 ASKED = "SELECT item_id AS query_id, text AS query, 10 AS max_hits FROM benchmark"
 ASKED_NARROW = rf"""
   SELECT query_id, query || ' ' || replace(query, ' ', '-') AS query,
-         CASE WHEN query_id % 2 = 0 THEN 'Users/u/p' || (query_id % 5) END AS project,
+         CASE WHEN query_id % 2 = 0 THEN 'srv/log/p' || (query_id % 5) END AS project,
          CASE WHEN query_id % 3 = 0 THEN TIMESTAMP '2024-01-02 12:00:00' END AS since,
          greatest(query_id % 20, 1) AS max_hits FROM ({ASKED})"""
 ASKED_REPO = f"SELECT *, 'src' || (query_id % 20) AS repo FROM ({ASKED})"
@@ -226,7 +226,7 @@ verdicts AS (SELECT n.rel_path, n.node, arg_max(r.negated, r.precedence * 100000
 
 REVISED_TALK = """
 docs AS (
-  SELECT '/t/-Users-u-p' || (conv_id % 5) || '/' || conv_id || '.jsonl' AS file_path, turn AS event_index,
+  SELECT '/t/-srv-log-p' || (conv_id % 5) || '/' || conv_id || '.jsonl' AS file_path, turn AS event_index,
          CASE WHEN conv_id % 4 = 1 THEN text || ' revised' ELSE text END AS text, '' AS scope
   FROM conversations WHERE role IN ('user', 'assistant') AND conv_id % 4 <> 3)
 """
@@ -302,15 +302,15 @@ UNION ALL SELECT file_path, 2, 'docs/' || source, md5(lang) FROM kept WHERE doc_
 
 ORACLE = {
     "transcript_extract": f"""
-    SELECT CAST(conv_id AS VARCHAR) AS session_id, 'Users/u/p' || (conv_id % 5) AS project,
+    SELECT CAST(conv_id AS VARCHAR) AS session_id, 'srv/log/p' || (conv_id % 5) AS project,
            CASE WHEN turn % 3 = 2 THEN 'attachment' ELSE role END AS event_role, '/w' AS cwd, 'main' AS git_branch,
-           '/t/-Users-u-p' || (conv_id % 5) || '/' || conv_id || '.jsonl' AS file_path, turn AS event_index,
+           '/t/-srv-log-p' || (conv_id % 5) || '/' || conv_id || '.jsonl' AS file_path, turn AS event_index,
            {CONTENT} AS text,
            strftime(TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn), '%Y-%m-%d %H:%M:%S') AS at
     FROM conversations WHERE role <> 'system'""",
     "project_label": """
-    SELECT conv_id, turn, '/t/-Users-u-p' || (conv_id % 5) || '/' || conv_id || '.jsonl' AS file_path,
-           'Users/u/p' || (conv_id % 5) AS project FROM conversations""",
+    SELECT conv_id, turn, '/t/-srv-log-p' || (conv_id % 5) || '/' || conv_id || '.jsonl' AS file_path,
+           'srv/log/p' || (conv_id % 5) AS project FROM conversations""",
     "language_label": f"WITH {PATHS} SELECT doc_id, rel_path, extension, {LANGUAGE} AS language FROM typed",
     "path_gates": f"""
     WITH {PATHS} SELECT doc_id, rel_path, size_bytes FROM typed
@@ -362,7 +362,7 @@ ORACLE = {
     ),
     "search_since": _talk_search(ANY_GROUPS, "the", limit=20, where="d.at >= TIMESTAMP '2024-01-03'"),
     "search_range": _talk_search(ANY_GROUPS, "the", limit=20, where="d.event_index BETWEEN 1 AND 2"),
-    "search_project": _talk_search(ANY_GROUPS, "the", where="d.project = 'Users/u/p1'"),
+    "search_project": _talk_search(ANY_GROUPS, "the", where="d.project = 'srv/log/p1'"),
     "search_keyword": _talk_search(ANY_GROUPS, "the", limit=100, where="d.event_role = 'assistant'"),
     "search_code": _code_search(CODE_GROUPS, "that", limit=30),
     "search_repo_language": _code_search(CODE_GROUPS, "that", where="d.repo = 'src3' AND d.language = 'en'"),
@@ -427,7 +427,7 @@ ORACLE = {
     "prune_files": f"""
     WITH {TALK} SELECT file_path, count(*) AS n_events FROM docs WHERE CAST(session_id AS BIGINT) % 3 <> 0 GROUP BY file_path""",
     "change_detect": """
-    SELECT DISTINCT '/t/-Users-u-p' || (conv_id % 5) || '/' || conv_id || '.jsonl' AS file_path,
+    SELECT DISTINCT '/t/-srv-log-p' || (conv_id % 5) || '/' || conv_id || '.jsonl' AS file_path,
       CASE WHEN conv_id % 5 = 0 THEN 'created' WHEN conv_id % 7 = 0 THEN 'removed' ELSE 'modified' END AS change
     FROM conversations
     WHERE (conv_id % 5 = 0 AND conv_id % 7 <> 0) OR (conv_id % 5 <> 0 AND (conv_id % 7 = 0 OR conv_id % 3 = 0))""",

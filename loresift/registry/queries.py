@@ -222,7 +222,7 @@ def search_range(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_project(spark: SparkSession, folder: str) -> DataFrame:
-    return search(_talk(spark, folder), ANY_WORDS, equals={"project": "Users/u/p1"})
+    return search(_talk(spark, folder), ANY_WORDS, equals={"project": "srv/log/p1"})
 
 
 def search_keyword(spark: SparkSession, folder: str) -> DataFrame:
@@ -260,7 +260,7 @@ def batch_filtered(spark: SparkSession, folder: str) -> DataFrame:
     narrowed = asked.select(
         "query_id",
         F.concat("query", F.lit(" "), F.regexp_replace("query", " ", "-")).alias("query"),
-        F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("Users/u/p"), F.col("query_id") % 5)).alias("project"),
+        F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("srv/log/p"), F.col("query_id") % 5)).alias("project"),
         F.when(F.col("query_id") % 3 == 0, "2024-01-02T12:00:00Z").alias("since"),
         (F.col("query_id") % 20).cast("int").alias("limit"),
     )

@@ -10,12 +10,12 @@ from datetime import datetime, timedelta, timezone
 from loresift.schema import CODE_SCHEMA, TRANSCRIPT_SCHEMA
 
 
-def talk(spark, texts, path="/t/-Users-u-demo/a.jsonl", **overrides):
+def talk(spark, texts, path="/t/-srv-log-demo/a.jsonl", **overrides):
     """Transcript documents, one per text."""
     rows = [
         {
             "session_id": "s",
-            "project": "Users/u/demo",
+            "project": "srv/log/demo",
             "event_role": "user",
             "timestamp": datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(minutes=i),
             "cwd": None,

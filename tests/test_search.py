@@ -150,7 +150,7 @@ def test_results_as_json_and_listing(index):
     parsed = json.loads(hits_json(hits, TRANSCRIPTS).first()["hits"])
     assert parsed == [r.asDict() for r in rows]
     listing = [r["listing"] for r in hits_listing(hits, TRANSCRIPTS).collect()]
-    assert listing[0].split("\n")[0] == f" 1. [{rows[0]['timestamp']}] Users/u/demo s (user)"
+    assert listing[0].split("\n")[0] == f" 1. [{rows[0]['timestamp']}] srv/log/demo s (user)"
     assert len(listing) == len(rows)
 
 
@@ -260,7 +260,7 @@ def test_batch_ranges_and_keywords(spark, index):
 
 def test_batch_filters_and_limits(spark, index):
     rows = [
-        (0, "elk ant", "Users/u/demo", None, 5),
+        (0, "elk ant", "srv/log/demo", None, 5),
         (1, "elk ant", "other", None, 5),
         (2, "elk ant", None, "2024-01-01T00:30:00Z", 1000),
         (3, "elk ant", None, "30m", 0),

@@ -211,7 +211,7 @@ def line(text):
 
 
 def test_initial_load_then_changes_found_by_listing(spark, tmp_path):
-    root = tmp_path / "-Users-u-demo"
+    root = tmp_path / "-srv-log-demo"
     root.mkdir()
     (root / "a.jsonl").write_text(line("ant") + "\n" + line("bee") + "\n")
     (root / "b.jsonl").write_text(line("cat"))
@@ -296,7 +296,7 @@ def test_versions_are_upserted_batch_by_batch(spark, tmp_path):
 
 
 def test_quiet_files_are_read_from_storage(spark, tmp_path):
-    root = tmp_path / "-Users-u-demo"
+    root = tmp_path / "-srv-log-demo"
     root.mkdir()
     kept, gone = root / "a.jsonl", root / "gone.jsonl"
     kept.write_text(line("ant"))
@@ -310,5 +310,5 @@ def test_quiet_files_are_read_from_storage(spark, tmp_path):
     changes = stream_of(spark, tmp_path, batches, CHANGES)
     run_until_quiet(follow_files(index, changes, str(root), quiet_millis=300), spark, rows=4)
     assert state(index) == {(str(kept), 0): "ant", (str(late), 0): "bee"}
-    assert index.documents().first()["project"] == "Users/u/demo"
+    assert index.documents().first()["project"] == "srv/log/demo"
     assert index.documents().filter(F.col("timestamp").isNotNull()).isEmpty()
