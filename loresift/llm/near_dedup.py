@@ -10,10 +10,11 @@
    outside a bucket's largest component with a member of that component drawn
    by a hash.
 4. What a bucket still holds besides its largest component is compared with
-   all its other components. Such classes are dealt to blocks of bounded size
-   by the component they are near to, and every set that shares a bucket with
-   a block is sent to that block once and streamed past it. So no pair of a
-   bucket is left out unless already connected, and pairs are no rows.
+   all its other components. Such classes are dealt to blocks of bounded size,
+   those that share buckets to the same blocks, and every set that shares a
+   bucket with a block is sent to that block once and streamed past it. So no
+   pair of a bucket is left out unless already connected, and pairs are no
+   rows: n classes of one family, all apart, are n * n / 256 rows.
 5. Components of the verified links.
 
 Defined results: a set with fewer words than the shingle width is the whole
@@ -43,6 +44,8 @@ ROWS = 6
 SHARE = 512
 #: Sets of a block that others are streamed past; a task holds one block.
 BLOCK = 256
+#: Rounds in which classes that share buckets agree on a home.
+HOME_ROUNDS = 2
 #: Tasks hash and sketch about this many bytes of text at once.
 _BYTES = 2 << 20
 
@@ -161,8 +164,12 @@ def _block_comparer(similarity: int) -> Callable:
 
 def _compared_in_blocks(rest: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Links between components of the same bucket of ``rest`` (band, node, component, largest)."""
-    small = rest.where("component <> largest")
+    small = settle(rest.where("component <> largest").select("node", "band", "largest"), "outside")
+    # nodes of a family, which share buckets by turns, get one home, so that blocks are full and visits few
     homes = small.groupBy("node").agg(F.min("largest").alias("home"))
+    for _ in range(HOME_ROUNDS):
+        least = small.select("node", "band").join(homes, "node").groupBy("band").agg(F.min("home").alias("home"))
+        homes = settle(small.select("node", "band").join(least, "band").groupBy("node").agg(F.min("home").alias("home")), "homes")
     load = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("shares"))
     homes = settle(
         homes.join(load, "home").select("node", "home", F.pmod(F.xxhash64("node"), F.col("shares")).alias("share")), "homes"
@@ -260,10 +267,14 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component, with columns unchanged."""
+    """The rows of ``docs`` that stay: one document of each component, with columns unchanged.
+
+    Of rows that repeat an id and its text one stays; an id's different texts stay or go together.
+    """
     kept = near_duplicates(docs, width, similarity).where("kept AND doc_id IS NOT NULL")
     ids = kept.select(F.col("doc_id").alias("key")).distinct()
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    digest = F.sha2(filled(F.col("text")), 256).alias("digest")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"), digest)
+    nth = F.row_number().over(Window.partitionBy("key", "digest").orderBy("key"))
     once = keyed.join(ids, "key").withColumn("nth", nth).where("nth = 1").select("row.*")
     return once.unionByName(docs.where("doc_id IS NULL"))

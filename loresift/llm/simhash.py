@@ -203,7 +203,7 @@ def _found_in_blocks(nodes: DataFrame, distance: int, parts: int, block: int) ->
     """A spanning forest of the links between different components of ``nodes`` (node, component)."""
     rows = _anchored(nodes, distance, parts)
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("size"), F.max("home").alias("home"))
-    loads = (
+    loads = settle(
         sizes.groupBy("key")
         .agg(
             F.max_by("component", F.struct("size", "component")).alias("largest"),
@@ -211,16 +211,20 @@ def _found_in_blocks(nodes: DataFrame, distance: int, parts: int, block: int) ->
             F.max("home").alias("any_home"),
         )
         .where("small > 0 AND any_home")
-        .select("key", "largest", F.ceil(F.col("small") / block).cast("int").alias("shares"))
+        .select("key", "largest", F.ceil(F.col("small") / block).cast("int").alias("shares")),
+        "loads",
     )
-    own = F.when(F.col("component") != F.col("largest"), F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
-    dealt = (
-        rows.join(loads, "key")
-        .withColumn("own", own)
+    outside = F.col("component") != F.col("largest")
+    columns = ["key", "share", "inner", "node", "component", "home"]
+    # most anchors are one block; only where there are several is every node copied to each
+    single = rows.join(loads.where("shares = 1"), "key").withColumn("share", F.lit(0)).withColumn("inner", outside)
+    several = (
+        rows.join(loads.where("shares > 1"), "key")
+        .withColumn("own", F.when(outside, F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")))
         .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-        .select("key", "share", F.coalesce(F.col("own") == F.col("share"), F.lit(False)).alias("inner"),
-                "node", "component", "home")
-    )
+        .withColumn("inner", F.coalesce(F.col("own") == F.col("share"), F.lit(False)))
+    )
+    dealt = single.select(*columns).union(several.select(*columns))
     return settle(
         dealt.repartition("key", "share")
         .sortWithinPartitions("key", "share", F.desc("inner"))

@@ -15,8 +15,9 @@
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 5 is not 0.
 
-Bounds: ``TRAIN_ROWS`` labelled rows (the first by a hash of the id) fit the
-model, and ``MODEL_WORDS`` words and beginnings have a score of their own.
+Bound: ``TRAIN_ROWS`` labelled rows (the first by a hash of the id) fit the
+model. Every word and beginning of theirs that differs from its stem has a
+score of its own: a 64-bit hash and a number for each go to the tasks.
 
 Defined results: a null or empty text has no words and scores as an empty one.
 A document with several label rows is toxic if one says so; null labels and
@@ -34,6 +35,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +43,6 @@ from loresift.llm.common import filled, settle, slices, small_batches
 from loresift.llm.shingles import shingle_sets
 
 TRAIN_ROWS = 200_000
-MODEL_WORDS = 50_000
 #: Lengths of the beginnings that back a word up, short to long.
 STEMS = (4, 6)
 #: The prior weighs as much as this many documents.
@@ -57,9 +58,9 @@ DIFFERENT = 0.2
 #: Expected number of such segments in a clean text of the same length, for a passage to count.
 SIGNIFICANT = 0.05
 #: A task's word counts are passed on when they hold this many words.
-_FLUSH = 300_000
-#: A worker remembers the scores of this many words.
-_REMEMBERED = 500_000
+_FLUSH = 100_000
+#: Tasks work through about this many bytes of text at once.
+_BYTES = 2 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -106,12 +107,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean.clear()
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *columns], names=["key", "toxic", "clean"])
 
-    for batch in slices(batches):
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            keys = {key for word in set(words(text)) for key in _beginnings(word)}
+    for batch in slices(batches, limit=_BYTES):
+        for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+            keys = {key for word in set(words(text.as_py())) for key in _beginnings(word)}
             (toxic if label else clean).update(keys)
-        if len(toxic) + len(clean) >= _FLUSH:
-            yield made()
+            if len(toxic) + len(clean) >= _FLUSH:
+                yield made()
     if toxic or clean:
         yield made()
 
@@ -122,20 +123,25 @@ def _stem(key: Column, length: int) -> Column:
 
 
 class Model:
-    """Log-odds of words and beginnings; a word takes those of its longest known key."""
-
-    def __init__(self, odds: dict[str, float]):
-        self.odds = odds
-        self.known: dict[str, float] = {}
-
-    def score(self, word: str) -> float:
-        found = self.known.get(word)
-        if found is None:
-            found = next((self.odds[k] for k in reversed(_beginnings(word)) if k in self.odds), 0.0) - DRIFT
-            if len(self.known) >= _REMEMBERED:
-                self.known = {}
-            self.known[word] = found
-        return found
+    """Log-odds of words and beginnings, by the sorted 64-bit hashes of their keys."""
+
+    def __init__(self, hashes: np.ndarray, odds: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.odds = hashes[order], odds[order]
+
+    def score(self, found: list[str]) -> np.ndarray:
+        """A word's score is that of its longest known key, less the drift."""
+        out = np.zeros(len(found))
+        if len(self.hashes):
+            # stems from short to long, then the word itself: the last one known counts
+            for length in (*STEMS, None):
+                rows = [i for i, w in enumerate(found) if length is None or len(w) > length]
+                keys = ((found[i] + "$" if length is None else found[i][:length]).encode() for i in rows)
+                made = np.fromiter((xxhash.xxh64_intdigest(k, 42) for k in keys), np.uint64, len(rows)).view(np.int64)
+                at = np.minimum(np.searchsorted(self.hashes, made), len(self.hashes) - 1)
+                known = self.hashes[at] == made
+                out[np.array(rows, np.int64)[known]] = self.odds[at[known]]
+        return out - DRIFT
 
 
 def fit_words(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame] | None:
@@ -183,8 +189,9 @@ def fit_words(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame] | N
     every = levels[0].union(levels[1]).union(levels[2])
     odds = F.log(F.col("share") / (1 - F.col("share"))) - F.lit(math.log(root / (1 - root)))
     odds = every.select("key", "apart", odds.alias("odds"))
-    kept = odds.where(F.col("apart") >= DIFFERENT).orderBy(F.desc("apart"), "key").limit(MODEL_WORDS).collect()
-    return Model({r.key: r.odds for r in kept}), chosen.where(calibrating)
+    # no more rows than the examples have words; Spark's hash has the seed 42
+    kept = odds.where(F.col("apart") >= DIFFERENT).select(F.xxhash64("key").alias("hash"), "odds").toArrow()
+    return Model(kept.column("hash").to_numpy(), kept.column("odds").to_numpy()), chosen.where(calibrating)
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -218,16 +225,18 @@ def _scan(model: Model) -> Callable:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sizes, segments = [], []
-            for text in batch.column("text").to_pylist():
-                found = words(text)
-                scores = np.fromiter(map(model.score, found), np.float64, len(found))
-                sizes.append(len(found))
-                segments.append([{"start": a, "end": b, "score": s} for a, b, s in maximal_segments(scores)])
+        for batch in slices(batches, limit=_BYTES):
+            # the slice's distinct words are scored once
+            number: dict[str, int] = {}
+            texts = []
+            for text in batch.column("text"):
+                found = words(text.as_py())
+                texts.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
+            scores = model.score(list(number))
+            segments = [[{"start": a, "end": b, "score": s} for a, b, s in maximal_segments(scores[t])] for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(segments, kind)],
-                names=["doc_id", "n_words", "segments"],
+                [batch.column("doc_id"), batch.column("digest"), pa.array(list(map(len, texts)), pa.int64()), pa.array(segments, kind)],
+                names=["doc_id", "digest", "n_words", "segments"],
             )
 
     return run
@@ -266,18 +275,19 @@ def _logistic(rows: list) -> tuple[float, float]:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_words, and the significant passages as spans of words."""
+    """doc_id, held_out, score, predicted, n_words, the significant passages as spans of words, and a text's digest."""
     small_batches(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(F.col("text")).alias("text"))
-    fitted = fit_words(rows, labels)
+    text = filled(F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("digest"))
+    fitted = fit_words(rows.drop("digest"), labels)
     base = [F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out")]
     if fitted is None:
         return rows.select(
             *base, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(None).cast("long").alias("n_words"),
-            F.lit(None).cast(_SEGMENTS).alias("passages"),
+            F.lit(None).cast(_SEGMENTS).alias("passages"), "digest",
         )
     model, chosen = fitted
-    scanned = settle(rows.mapInArrow(_scan(model), f"doc_id long, n_words long, segments {_SEGMENTS}"), "segments")
+    scanned = settle(rows.mapInArrow(_scan(model), f"doc_id long, digest string, n_words long, segments {_SEGMENTS}"), "segments")
     best = F.coalesce(F.array_max(F.transform("segments", lambda s: s.score)), F.lit(0.0))
     size = F.greatest(F.col("n_words"), F.lit(1))
     known = scanned.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
@@ -309,12 +319,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     slope, intercept = _logistic(steps)
     score = 1 / (1 + F.exp(-(F.lit(slope) * F.col("z") + F.lit(intercept))))
-    return evidence(scanned).select(*base, score.alias("score"), "n_words", "passages").select(
-        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "passages"
+    return evidence(scanned).select(*base, score.alias("score"), "n_words", "passages", "digest").select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "passages", "digest"
     )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with columns unchanged; rows without id stay."""
-    toxic = score_toxicity(docs, labels).where("predicted = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("toxic_id"))
-    return docs.join(toxic.distinct(), docs["doc_id"] == F.col("toxic_id"), "left_anti")
+    toxic = score_toxicity(docs, labels).where("predicted = 1 AND doc_id IS NOT NULL")
+    toxic = toxic.select(F.col("doc_id").alias("toxic_id"), F.col("digest").alias("toxic_digest")).distinct()
+    same = (docs["doc_id"] == F.col("toxic_id")) & (F.sha2(filled(docs["text"]), 256) == F.col("toxic_digest"))
+    return docs.join(toxic, same, "left_anti")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from loresift.functions.paths import MAX_FILE_BYTES, indexable_size, is_binary, is_hidden, language
 from loresift.functions.text import expand_identifiers
-from loresift.operators.ignore import drop_ignored, read_rules
+from loresift.operators.ignore import ignored_nodes, outer_rules, read_rules
 from loresift.schema import CODE_SCHEMA
+from loresift.session import settled
 from loresift.sources.tree import list_tree, read_contents
 
 
@@ -38,12 +39,25 @@ def build_documents(files: DataFrame, repo: str, branch: str = "unknown", commit
 
 
 def walk_tree(spark: SparkSession, root: str, extra_rules: DataFrame | None = None) -> DataFrame:
-    """Files of a tree that would be indexed, before their contents are read."""
-    listing = list_tree(spark, root)
-    rules = read_rules(spark, listing, root)
+    """Files of a tree that would be indexed, before their contents are read.
+
+    Rules are read as the listing comes to them, and hidden or ignored folders
+    are never opened.
+    """
+    rules, in_repository = outer_rules(spark, root)
     if extra_rules is not None:
         rules = rules.unionByName(extra_rules)
-    return drop_ignored(path_gates(listing), rules)
+
+    def kept(found: DataFrame) -> DataFrame:
+        nonlocal rules
+        inner = read_rules(found.filter("NOT is_dir"), root, in_repository)
+        rules = rules.unionByName(settled(inner, "rules"))
+        ignored = ignored_nodes(found.select(F.col("rel_path").alias("node"), "is_dir"), rules)
+        ignored = ignored.select(F.col("node").alias("rel_path"), "is_dir")
+        seen = found.filter(~(F.col("is_dir") & is_hidden(F.col("rel_path"))))
+        return seen.join(ignored, ["rel_path", "is_dir"], "left_anti").select(*found.columns)
+
+    return path_gates(list_tree(spark, root, kept))
 
 
 def load_tree(

@@ -112,7 +112,7 @@ def _parse_rules(lines: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(parsed, columns=["regex", "negated", "dir_only"])
 
 
-def _outer_rules(spark: SparkSession, root: str) -> tuple[DataFrame, bool]:
+def outer_rules(spark: SparkSession, root: str) -> tuple[DataFrame, bool]:
     """Rules of the folders above the root, and whether the root is in a repository."""
     filesystem, base = _open(root)
     in_repository = filesystem.get_file_info(base + "/.git").type != fs.FileType.NotFound
@@ -141,12 +141,11 @@ def _outer_rules(spark: SparkSession, root: str) -> tuple[DataFrame, bool]:
     return rules, found
 
 
-def read_rules(spark: SparkSession, listing: DataFrame, root: str) -> DataFrame:
-    """Rules of the rule files in a listing and of the folders above its root.
+def read_rules(listing: DataFrame, root: str, in_repository: bool) -> DataFrame:
+    """Rules of the rule files in a listing.
 
     ``.gitignore`` and the repository's exclude file count only inside a repository.
     """
-    outer, in_repository = _outer_rules(spark, root)
     name = file_name(F.col("rel_path"))
     names = list(RULE_FILES) if in_repository else [".ignore"]
     wanted = name.isin(names)
@@ -163,7 +162,7 @@ def read_rules(spark: SparkSession, listing: DataFrame, root: str) -> DataFrame:
         F.posexplode(F.split(F.col("content").cast("string"), "\r?\n")).alias("seq", "line"),
     )
     parsed = files.withColumn("rule", _parse_rules("line")).filter(F.col("rule.regex").isNotNull())
-    inner = parsed.select(
+    return parsed.select(
         "base_dir",
         F.lit("").alias("prefix"),
         "precedence",
@@ -173,8 +172,6 @@ def read_rules(spark: SparkSession, listing: DataFrame, root: str) -> DataFrame:
         "rule.negated",
         "rule.dir_only",
     )
-    return outer.unionByName(inner)
-
 
 def _folders_above(path: Column) -> Column:
     """The folders a path lies in, the root ``''`` first."""

@@ -7,16 +7,10 @@ from pyspark.sql import DataFrame
 from loresift.operators.changes import detect_changes
 from loresift.operators.transcripts import extract_documents
 from loresift.plans.store import StoredIndex
-from loresift.session import scratch_path
+from loresift.session import settled
 from loresift.sources.jsonl import list_transcripts, read_lines_of
 
 
-def _settled(rows: DataFrame, label: str) -> DataFrame:
-    path = scratch_path(rows.sparkSession, label)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def refresh(index: StoredIndex, root: str) -> DataFrame:
     """Read what is new or changed below ``root``, drop what is gone; returns ``(file_path, change)``.
 
@@ -24,9 +18,9 @@ def refresh(index: StoredIndex, root: str) -> DataFrame:
     index, so only changed files are opened. A file that changes again while
     it is read differs from its listing and is found by the next refresh.
     """
-    listing = _settled(list_transcripts(index.spark, root), "listing")  # one listing, however often it is used
+    listing = list_transcripts(index.spark, root)
     found = detect_changes(listing, index.manifest()).join(listing, "file_path", "left")
-    changes = _settled(found.select("file_path", "change", "mtime", "size_bytes"), "changes")
+    changes = settled(found.select("file_path", "change", "mtime", "size_bytes"), "changes")
     live = changes.filter("change <> 'removed'").select("file_path")
     index.replace_files(extract_documents(read_lines_of(live, root)), changes.select("file_path"), changes)
     return changes.select("file_path", "change")

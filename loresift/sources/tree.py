@@ -1,24 +1,24 @@
 """Source trees: a listing first, contents only for the files that pass the gates.
 
 Spark's own file sources hide names that begin with ``_`` (``__init__.py``), so
-the listing is a Python data source of its own. Any file system pyarrow can
+folders are listed by tasks of our own, in rounds: each is a job over the
+folders that the one before found, dealt evenly. Any file system pyarrow can
 open will do; on a cluster that is storage all executors see.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
 
-FORMAT = "loresift_tree"
+from loresift.session import settled
 
-#: Directories the driver opens up at most before it hands out the rest.
-DEFAULT_PARTITIONS = 64
 _BATCH_BYTES = 8 * 1024 * 1024
 _LISTING_ROWS = 4096
 
@@ -59,78 +59,52 @@ def _children(filesystem, path: str) -> list:
     return children
 
 
-class _Listing(InputPartition):
-    """One directory to list, with everything below it or just its own files."""
-
-    def __init__(self, path: str, recursive: bool):
-        super().__init__((path, recursive))
-        self.path = path
-        self.recursive = recursive
-
-
-class _TreeReader(DataSourceReader):
-    def __init__(self, root: str, partitions: int):
-        self.root = root
-        self.wanted = partitions
-
-    def partitions(self):
-        """Open directories breadth first until there are enough to hand out."""
-        filesystem, base = _open(self.root)
-        opened, waiting = [], [base]
-        while waiting and len(waiting) < self.wanted and len(opened) < self.wanted:
-            path = waiting.pop(0)
-            opened.append(path)
-            waiting.extend(i.path for i in _children(filesystem, path) if i.type == fs.FileType.Directory)
-        return [_Listing(p, False) for p in opened] + [_Listing(p, True) for p in waiting]
-
-    def read(self, partition: _Listing) -> Iterator[pa.RecordBatch]:
-        filesystem, base = _open(self.root)
-        prefix = base.rstrip("/") + "/"
-        pending, rows = [partition.path], []
-        while pending:
-            for info in _children(filesystem, pending.pop()):
-                if info.type == fs.FileType.File:
-                    rows.append((info.path, info.path.removeprefix(prefix), info.size, info.mtime))
-                elif info.type == fs.FileType.Directory and partition.recursive:
-                    pending.append(info.path)
-            if len(rows) >= _LISTING_ROWS:
-                yield _listing_batch(rows)
-                rows = []
-        if rows:
-            yield _listing_batch(rows)
+_ENTRIES = "path string, rel_path string, size_bytes bigint, mtime timestamp, is_dir boolean"
 
 
-def _listing_batch(rows: list[tuple]) -> pa.RecordBatch:
-    paths, rel_paths, sizes, times = zip(*rows)
-    return pa.record_batch(
-        [
-            pa.array(paths, pa.string()),
-            pa.array(rel_paths, pa.string()),
-            pa.array(sizes, pa.int64()),
-            pa.array(times, pa.timestamp("us", tz="UTC")),
-        ],
-        names=["path", "rel_path", "size_bytes", "mtime"],
-    )
+def _entries(batches: Iterator[pa.RecordBatch], filesystem, base: str) -> Iterator[pa.RecordBatch]:
+    """The files and folders right below each ``path``."""
+    prefix = base.rstrip("/") + "/"
+    for batch in batches:
+        rows = []
+        for path in batch.column("path").to_pylist():
+            for info in _children(filesystem, path):
+                if info.type in (fs.FileType.File, fs.FileType.Directory):
+                    is_dir = info.type == fs.FileType.Directory
+                    rows.append((info.path, info.path.removeprefix(prefix), info.size, info.mtime, is_dir))
+                if len(rows) >= _LISTING_ROWS:
+                    yield _entry_batch(rows)
+                    rows = []
+        if rows:
+            yield _entry_batch(rows)
 
 
-class SourceTree(DataSource):
-    """``spark.read.format("loresift_tree").option("root", ...)``."""
+def _entry_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.timestamp("us", tz="UTC"), pa.bool_()]
+    columns = [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.record_batch(columns, names=["path", "rel_path", "size_bytes", "mtime", "is_dir"])
 
-    @classmethod
-    def name(cls) -> str:
-        return FORMAT
 
-    def schema(self) -> str:
-        return "path string, rel_path string, size_bytes bigint, mtime timestamp"
+def list_tree(spark: SparkSession, root: str, kept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``(path, rel_path, size_bytes, mtime)`` of every regular file below ``root``, listed once.
 
-    def reader(self, schema) -> DataSourceReader:
-        return _TreeReader(self.options["root"], int(self.options.get("partitions", DEFAULT_PARTITIONS)))
+    ``kept`` is given what each round found, with ``is_dir``, and leaves out
+    rows; folders that it leaves out are never opened.
+    """
+    _, base = _open(root)
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _entries(batches, _open(root)[0], base)
 
-def list_tree(spark: SparkSession, root: str, partitions: int = DEFAULT_PARTITIONS) -> DataFrame:
-    """``(path, rel_path, size_bytes, mtime)`` of every regular file below ``root``."""
-    spark.dataSource.register(SourceTree)
-    return spark.read.format(FORMAT).option("root", root).option("partitions", partitions).load()
+    folders, rounds = spark.createDataFrame(pa.table({"path": [base]})), []
+    while True:
+        found = settled(folders.repartition(reading_tasks(spark), "path").mapInArrow(look, _ENTRIES), "listing")
+        if kept:
+            found = settled(kept(found), "listing")
+        rounds.append(found.filter("NOT is_dir").drop("is_dir"))
+        folders = found.filter("is_dir").select("path")
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, rounds)
 
 
 def with_sizes(files: DataFrame, root: str) -> DataFrame:
