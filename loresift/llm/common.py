@@ -34,7 +34,10 @@ def settle(rows: DataFrame, label: str) -> DataFrame:
 
 
 def small_batches(rows: DataFrame) -> None:
-    """Let Arrow batches hold few bytes, as single texts may be long; a limit that the application has set stays."""
+    """Let Arrow batches hold few bytes, as single texts may be long; a limit that the application has set stays.
+
+    The setting stays with the session: plans are run after the operator has returned.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not rows.sparkSession.sparkContext.getConf().contains(name):
         rows.sparkSession.conf.set(name, str(SLICE_BYTES))

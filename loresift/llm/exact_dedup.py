@@ -3,7 +3,8 @@
 The index is a table bucketed and sorted by digest. New rows are reduced to
 one row per digest, an anti-join against the index keeps the digests it lacks,
 and those are appended. Both sides of the anti-join are laid out by digest, so
-the index itself is never shuffled.
+the index itself is never shuffled. Each append adds a file to every bucket;
+from the second on a bucket's files are merged by a sort when they are read.
 
 Defined results: a null text counts as empty; texts are equal if they are
 identical after each run of white space is replaced by one space. Of equal

