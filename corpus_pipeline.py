@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read back as the next stage's documents. All stages but the last
 return the columns of ``documents``.
+
+Defined results: a null text counts as empty; empty and blank texts are never
+toxic and no near copies, and as equal texts one of them stays. Rows without an
+id go through all stages; rows that repeat one stay or go by their own texts.
+An empty table gives an empty result, and further columns pass unchanged.
 """
 
 from __future__ import annotations
