@@ -49,6 +49,31 @@ def test_blocks_and_shares_of_any_size_agree(spark, docs, corpus, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == plain.near_components(corpus, 2)
 
 
+def test_a_family_just_apart_visits_each_block_once(spark, docs, monkeypatch):
+    """Texts that share buckets, yet mostly are below the similarity: rows are texts times blocks of the family."""
+    draw, block, visits = random.Random(11), 16, []
+    base = [f"w{i}" for i in range(100)]
+    rows = {}
+    for i in range(300):
+        words = list(base)
+        for at in draw.sample(range(100), 3):
+            words[at] = f"x{i}.{at}"
+        rows[i] = " ".join(words)
+    settle = near_dedup.settle
+
+    def counted(table, label):
+        out = settle(table, label)
+        if label == "visits":
+            visits.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "settle", counted)
+    got = near_dedup.near_duplicates(docs(*rows.items()), width=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == plain.near_components(rows, 2)
+    assert visits[0] <= 300 * -(-300 // block)
+
+
 def test_odd_rows(spark, odd):
     got = near_dedup.near_duplicates(odd, width=2)
     rows = {r.doc_id: r for r in got.collect() if r.doc_id is not None}
