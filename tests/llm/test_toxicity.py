@@ -1,13 +1,18 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from loresift.llm import toxicity
+from loresift.llm.shingles import shingle_sets
 from tests.llm.conftest import ODD
 
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -98,3 +103,41 @@ def test_odd_rows(spark, docs, odd, corpus):
     none = spark.createDataFrame(labels, LABELS).where("toxic = 0")
     assert {(r.score, r.predicted) for r in toxicity.score_toxicity(table, none).collect()} == {(0.0, 0)}
     assert toxicity.score_toxicity(table.where("false"), none).collect() == []
+
+
+def test_word_scores_equal_plain_python(spark, docs, corpus):
+    """The log-odds of every word and beginning, from the counts of the documents that teach."""
+    rows, labels = corpus
+    table = docs(*rows).select("doc_id", "text")
+    model, calibrating = toxicity.fit_words(table, spark.createDataFrame(labels, LABELS))
+    truth = {i: bool(t) for i, _, t, _ in labels if zlib.crc32(str(i).encode()) % 5}
+    values, begin = shingle_sets(pa.array([t for _, t in rows]), 2)
+    first = {}
+    for n, (i, _) in enumerate(rows):
+        if i in truth:
+            family = (int(values[begin[n]]) if begin[n + 1] > begin[n] else 0, truth[i])
+            first[family] = min(first.get(family, i), i)
+    chosen = set(first.values())
+    ids = spark.createDataFrame([(i,) for i in sorted(chosen)], "i long")
+    aside = {r.i for r in ids.where(f"pmod(xxhash64(i, 3), {toxicity.PARTS}) = 0").collect()}
+    assert {r.label_id for r in calibrating.collect()} == aside
+    counts = {True: Counter(), False: Counter()}
+    teaching = [(t, truth[i]) for i, t in rows if i in chosen - aside]
+    for text, toxic in teaching:
+        counts[toxic].update({k for w in set(toxicity.words(text)) for k in toxicity._beginnings(w)})
+    root = sum(toxic for _, toxic in teaching) / len(teaching)
+    shares, expected = {}, {}
+    for key in sorted(counts[True] | counts[False], key=lambda k: (k.endswith("$"), len(k))):
+        stems = [shares[key[:n]] for n in toxicity.STEMS if len(key.rstrip("$")) > n]
+        back = stems[-1] if stems else root
+        a, b = counts[True][key] + toxicity.PRIOR * back, counts[False][key] + toxicity.PRIOR * (1 - back)
+        apart = math.log(a / b) - math.log(back / (1 - back))
+        sure = math.copysign(max(0.0, abs(apart) - toxicity.Z * math.sqrt(1 / a + 1 / b)), apart)
+        shares[key] = 1 / (1 + math.exp(-(math.log(back / (1 - back)) + sure)))
+        if abs(sure) >= toxicity.DIFFERENT:
+            expected[key] = math.log(shares[key] / (1 - shares[key])) - math.log(root / (1 - root))
+    hashed = {np.uint64(xxhash.xxh64_intdigest(k.encode(), 42)).astype(np.int64): v for k, v in expected.items()}
+    assert dict(zip(model.hashes, model.odds, strict=True)) == pytest.approx(hashed)
+    found = ["vilething", "vilest", "nastyword", "word7", "other"]
+    plain = [next((expected[k] for k in reversed(toxicity._beginnings(w)) if k in expected), 0.0) - toxicity.DRIFT for w in found]
+    assert model.score(found).tolist() == pytest.approx(plain) and plain[0] > 0.5
