@@ -57,6 +57,12 @@ def jobs(spark: SparkSession, folder: str) -> dict:
         asked = fixtures.query_table(spark, folder).withColumns(columns)
         return lambda: drain(batch_search(indexes[corpus.name], asked))
 
+    def replaced(pattern):
+        """Replace the files whose path is like ``pattern`` in the index that is there."""
+        mine = fixtures.transcripts(spark, folder).filter(F.col("file_path").like(pattern))
+        revised = mine.withColumn("text", F.concat("text", F.lit(" revised")))
+        return lambda: indexes[TRANSCRIPTS.name].replace_files(revised, mine.select("file_path"))
+
     def boolean():
         return clauses.boolean(spark, [("any", ["the", "of the"]), ("any", ["aning", "als"])])
 
@@ -82,9 +88,13 @@ def jobs(spark: SparkSession, folder: str) -> dict:
         "batch_search_transcripts": (many(TRANSCRIPTS), 3),
         "batch_search_repo": (many(CODE, repo=F.concat(F.lit("src"), F.col("query_id") % 20)), 3),
         "batch_search_all_repos": (many(CODE), 3),
-        "replace_file": (lambda: drain(QUERIES["replace_file"](spark, folder)), 1),
         "ignore_filter": (lambda: drain(QUERIES["ignore_filter"](spark, folder)), 3),
         "stream_debounce": (lambda: drain(QUERIES["stream_debounce"](spark, folder)), 1),
+        # these change the index that the searches above have read
+        "replace_file": (replaced("%p1/1.jsonl"), 3),
+        "replace_many_files": (replaced("%1.jsonl"), 1),
+        "search_after_replacing": (stored(TRANSCRIPTS, words("the aning als")), 5),
+        "merge_parts": (lambda: indexes[TRANSCRIPTS.name].compact(everything=True), 1),
     }
 
 

@@ -159,7 +159,7 @@ def search(index, query: TextQuery | str, match: str = clauses.ANY, **options) -
     """
     index = index.pinned()  # all that is read belongs together
     if isinstance(query, str):
-        query = clauses.parse(index.documents().sparkSession, query, match)
+        query = clauses.parse(index.spark, query, match)
     return present(rank(index, query, **options), index.corpus, F.lit(query.raw))
 
 

@@ -23,6 +23,7 @@ class DocumentScan:
 
     def __init__(self, corpus: Corpus, documents: DataFrame):
         self.corpus = corpus
+        self.spark = documents.sparkSession
         self._documents = documents
 
     def pinned(self) -> DocumentScan:

@@ -174,11 +174,18 @@ class IndexView:
         return build.term_bucket(term, self.term_buckets)
 
     def _files_of(self, terms: list[str], parts: tuple[Part, ...]) -> dict[str, list[str]]:
-        """The files of postings and dictionary that may hold a term: names only, as many as a lookup has to open."""
+        """The files of postings and dictionary that may hold a term: names only, as many as a lookup has to open.
+
+        A pinned view looks once for the terms of a query.
+        """
+        seen = self.__dict__.setdefault("_seen", {}) if self.pinned_parts else {}
+        if (key := tuple(sorted(terms))) in seen:
+            return seen[key]
         fences = self._read("fences", parts).filter(F.col("slot").isin(*[self._slot(F.lit(t)) for t in terms]))
         found: dict[str, list[str]] = {"postings": [], "dictionary": []}
         for row in fences.select("of", "file").distinct().collect():
             found[row["of"]].append(row["file"])
+        seen[key] = found
         return found
 
     def _lookup(self, table: str, terms: list[str], parts: tuple[Part, ...]) -> DataFrame:
