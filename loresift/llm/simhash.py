@@ -7,10 +7,11 @@
    so two nodes that link meet at a home of one of them.
 3. At each anchor all nodes are compared with one, and linked nodes merge. So
    a large group of near copies is mostly one component before step 4.
-4. At each anchor, nodes outside the anchor's largest component are dealt to
-   blocks of bounded size, and all nodes of the anchor are streamed past each
-   block; pairs of the same component are passed over. A block reports a
-   spanning forest of its links, not the links.
+4. At each anchor, its other nodes are streamed past those at home. Where an
+   anchor has more nodes than a block, those outside its largest component are
+   dealt to blocks, and all its nodes are streamed past each. Pairs of the same
+   component are passed over. A block reports a spanning forest of its links,
+   not the links.
 5. Components of all links.
 
 Defined results: a text with fewer words than the shingle width has its whole
@@ -188,6 +189,8 @@ def _block_links(distance: int) -> Callable:
                     continue
                 if at != (key[start], share[start]):
                     at, block = (key[start], share[start]), _Block(distance)
+                if not inner[start] and not len(block.node):
+                    continue
                 rows = slice(start, stop)
                 for x, y in block.meet(node[rows], component[rows], home[rows], bool(inner[start])):
                     a.append(x)
@@ -202,8 +205,15 @@ def _block_links(distance: int) -> Callable:
 def _found_in_blocks(nodes: DataFrame, distance: int, parts: int, block: int) -> DataFrame:
     """A spanning forest of the links between different components of ``nodes`` (node, component)."""
     rows = _anchored(nodes, distance, parts)
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    crowded = settle(counts.select("key"), "crowded")
+    columns = ["key", "share", "inner", "node", "component", "home"]
+    # at most anchors, the nodes at home are one block
+    single = rows.join(crowded, "key", "left_anti").withColumn("share", F.lit(0)).withColumn("inner", F.col("home"))
+
+    rows = rows.join(crowded, "key", "left_semi")
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("size"), F.max("home").alias("home"))
-    loads = settle(
+    loads = (
         sizes.groupBy("key")
         .agg(
             F.max_by("component", F.struct("size", "component")).alias("largest"),
@@ -211,15 +221,11 @@ def _found_in_blocks(nodes: DataFrame, distance: int, parts: int, block: int) ->
             F.max("home").alias("any_home"),
         )
         .where("small > 0 AND any_home")
-        .select("key", "largest", F.ceil(F.col("small") / block).cast("int").alias("shares")),
-        "loads",
+        .select("key", "largest", F.ceil(F.col("small") / block).cast("int").alias("shares"))
     )
     outside = F.col("component") != F.col("largest")
-    columns = ["key", "share", "inner", "node", "component", "home"]
-    # most anchors are one block; only where there are several is every node copied to each
-    single = rows.join(loads.where("shares = 1"), "key").withColumn("share", F.lit(0)).withColumn("inner", outside)
     several = (
-        rows.join(loads.where("shares > 1"), "key")
+        rows.join(loads, "key")
         .withColumn("own", F.when(outside, F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")))
         .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
         .withColumn("inner", F.coalesce(F.col("own") == F.col("share"), F.lit(False)))
