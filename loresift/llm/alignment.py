@@ -42,6 +42,8 @@ from loresift.llm.encoding import Cuts, Memory, cut_texts, encoder
 PIECE = 64
 #: Bytes of text of a block, whose pairs are counted together.
 BLOCK_BYTES = 8 << 20
+#: Links whose documents are counted at a time, of one document at least.
+COUNTED = 1 << 18
 
 
 def merge_path(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,6 +189,26 @@ def _sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return running[begin[1:]] - running[begin[:-1]]
 
 
+def _documents_of(
+    doc: np.ndarray, chunk: np.ndarray, link_begin: np.ndarray, link_count: np.ndarray, links: np.ndarray, pairs: int
+) -> np.ndarray:
+    """How many documents hold each pair; ``doc`` ascends and names the chunks of each. Documents are taken in portions."""
+    docs_of = np.zeros(pairs, np.int64)
+    ends = np.cumsum(link_count[chunk])
+    begin = 0
+    while begin < len(doc):
+        reached = np.searchsorted(ends, (ends[begin - 1] if begin else 0) + COUNTED, "right")
+        # whole documents only: back to where the last one begins, or on to the end of a long one
+        end = np.searchsorted(doc, doc[reached]) if reached < len(doc) else reached
+        if end <= begin:
+            end = np.searchsorted(doc, doc[begin], "right")
+        some = chunk[begin:end]
+        found = np.repeat(doc[begin:end], link_count[some]) * pairs + links[_spread(link_begin[some], link_count[some])]
+        docs_of += np.bincount(np.unique(found) % max(1, pairs), minlength=pairs)
+        begin = end
+    return docs_of
+
+
 def _align(a_path: str, b_path: str, limit: int) -> Callable:
     """Of each block a row for each document, with the numbers of its chunks, and one for all chunks.
 
@@ -221,8 +243,7 @@ def _align(a_path: str, b_path: str, limit: int) -> Callable:
             # of each document its distinct chunks, then its distinct pairs
             once = np.unique(doc_of * len(info) + kept) if len(info) else np.zeros(0, np.int64)
             doc, chunk = once // max(1, len(info)), once % max(1, len(info))
-            found = np.repeat(doc, link_count[chunk]) * len(pairs) + links[_spread(link_begin[chunk], link_count[chunk])]
-            docs_of = np.bincount(np.unique(found) % max(1, len(pairs)), minlength=len(pairs))
+            docs_of = _documents_of(doc, chunk, link_begin, link_count, links, len(pairs))
 
             counted = [
                 np.where(good, _sums(values[codes], first), 0)

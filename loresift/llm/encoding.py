@@ -27,6 +27,8 @@ _WIDE_BLANKS = (*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF)
 
 #: Bytes of chunks and of ids that a worker remembers.
 REMEMBERED = 24 << 20
+#: Chunks that are learnt at once: what that takes as Python objects is many times their bytes.
+LEARNT = 1 << 14
 
 
 class Cuts:
@@ -119,7 +121,8 @@ class Memory:
         new = chunks.filter(at.is_null())
         if not len(new):
             return self.held.take(at)
-        held = pa.concat_arrays([self.held, self.learn(new.to_pylist())])
+        portions = (new.slice(start, LEARNT) for start in range(0, len(new), LEARNT))
+        held = pa.concat_arrays([self.held, *(self.learn(p.to_pylist()) for p in portions)])
         nth = pc.add(pc.cumulative_sum(pc.cast(at.is_null(), pa.int32())), pa.scalar(len(self.held) - 1, pa.int32()))
         out = held.take(pc.coalesce(at, nth))
         self.known, self.held = pa.concat_arrays([self.known, new]), held

@@ -6,11 +6,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from loresift.llm import alignment
+from loresift.llm import alignment, encoding
 from tests.llm.conftest import ODD
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -109,3 +110,31 @@ def test_odd_rows(spark, docs, odd, plain_tokens):
     none = alignment.align(odd.where("false"), A, B)
     assert none.collect() == [] and none.columns[-1] == "groups_sha256"
     assert {r.n_links for r in alignment.align(docs((1, None), (2, "")), A, B).collect()} == {0}
+
+
+def test_portions_of_documents_count_like_all_at_once(monkeypatch):
+    chooser = np.random.default_rng(7)
+    link_count = chooser.integers(0, 9, 40)
+    link_begin = np.cumsum(link_count) - link_count
+    links = chooser.integers(0, 25, link_count.sum())
+    chosen = np.unique(chooser.integers(0, 30 * 40, 500))
+    doc, chunk = chosen // 40, chosen % 40
+    holders = [{int(d) for d, c in zip(doc, chunk, strict=True) if pair in links[link_begin[c] : link_begin[c] + link_count[c]]} for pair in range(25)]
+    for counted in (1, 50, 1 << 18):
+        monkeypatch.setattr(alignment, "COUNTED", counted)
+        found = alignment._documents_of(doc, chunk, link_begin, link_count, links, 25)
+        assert found.tolist() == [len(h) for h in holders]
+
+
+def test_chunks_are_learnt_in_portions(monkeypatch):
+    asked = []
+
+    def learn(chunks):
+        asked.append(len(chunks))
+        return pa.array([c.upper() for c in chunks], pa.string())
+
+    monkeypatch.setattr(encoding, "LEARNT", 3)
+    memory = encoding.Memory(learn)
+    assert memory.of(pa.array(list("abcdefgh"))).to_pylist() == list("ABCDEFGH")
+    assert memory.of(pa.array(list("hxa"))).to_pylist() == list("HXA")
+    assert max(asked) <= 3
