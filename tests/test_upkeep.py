@@ -6,6 +6,7 @@ from datetime import datetime, timedelta, timezone
 from functools import reduce
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -312,3 +313,43 @@ def test_quiet_files_are_read_from_storage(spark, tmp_path):
     assert state(index) == {(str(kept), 0): "ant", (str(late), 0): "bee"}
     assert index.documents().first()["project"] == "srv/log/demo"
     assert index.documents().filter(F.col("timestamp").isNotNull()).isEmpty()
+
+
+def test_few_slots_of_one_task_are_written_as_several_files(spark):
+    """A partition that is sorted and written doesn't grow with what the task before it read."""
+    small = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+    }
+    texts = [" ".join(f"w{(7 * i + j) % 400}" for j in range(60)) for i in range(40)]
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        index = StoredIndex.create(talk(spark, texts, path=FILES[0]), TRANSCRIPTS, scratch_path(spark, "fine"), 1, 1)
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    (part,) = index.parts()
+    posted = index._read("postings", (part,))
+    assert len(posted.inputFiles()) > 1
+    per_file = posted.groupBy(F.input_file_name().alias("file")).agg(F.collect_list("hash").alias("all"))
+    assert all(r["all"] == sorted(r["all"]) for r in per_file.collect())
+    assert len(state(index)) == len(texts)
+    hits = [search(i, "w3 w9").collect() for i in (index, DocumentScan(TRANSCRIPTS, talk(spark, texts, path=FILES[0])))]
+    assert hits[0] == hits[1] and hits[0]
+
+
+def test_postings_of_many_portions_equal_those_of_one(spark, monkeypatch):
+    rows = [(["ant", "bee", "ant"], 3, 1), (None, None, 2), ([], 0, 3), (["cat"] * 5 + ["ant"], 6, 4)]
+    schema = pa.schema([("tokens", pa.list_(pa.string())), ("dl", pa.int32()), ("key", pa.int64())])
+    batch = pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema).to_batches()[0]
+
+    def found():
+        out = [r for b in postings._cut_runs(["key"])(iter([batch])) for r in b.to_pylist()]
+        return sorted((r["key"], r["term"], r["tf"], tuple(r["positions"]), r["dl"]) for r in out)
+
+    whole = [(1, "ant", 2, (0, 2), 3), (1, "bee", 1, (1,), 3), (4, "ant", 1, (5,), 6), (4, "cat", 5, (0, 1, 2, 3, 4), 6)]
+    assert found() == whole
+    monkeypatch.setattr(postings, "TOKENS", 1)
+    monkeypatch.setattr(postings, "ROWS", 1)
+    assert found() == whole
