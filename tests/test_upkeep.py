@@ -70,6 +70,26 @@ def test_replacing_files_is_idempotent_and_leaves_the_rest(spark, index):
     assert len(search(index, "dog").collect()) == 1
 
 
+def test_postings_of_a_part_are_made_by_tasks_of_bounded_size(spark, monkeypatch):
+    texts = [f"{number} " + "ant bee cat " * 40 for number in range(40)]
+    made, tasks = postings.postings, []
+
+    def noting(documents, *rest):
+        counted = documents.mapInArrow(lambda batches: [pa.record_batch([[sum(b.num_rows for b in batches)]], names=["n"])], "n long")
+        tasks.append(sorted(row["n"] for row in counted.collect() if row["n"]))
+        return made(documents, *rest)
+
+    monkeypatch.setattr(postings, "postings", noting)
+    monkeypatch.setattr("loresift.plans.store.POSTED_BYTES", 2000, raising=False)
+    # stored in a single file, and so are the live rows that the replacement hides
+    index = StoredIndex.create(talk(spark, texts, path=FILES[0]).coalesce(1), TRANSCRIPTS, scratch_path(spark, "upkeep"), 1, 2)
+    index.replace_files(talk(spark, ["dog"], path=FILES[0]), paths(spark, FILES[0]))
+    assert [sum(rows) for rows in tasks] == [40, 1, 40]
+    assert max(tasks[0]) <= 20 and max(tasks[2]) <= 20
+    monkeypatch.setattr(postings, "postings", made)
+    assert state(index) == {(FILES[0], 0): "dog"}
+
+
 def test_replacing_everything_by_nothing(spark, index):
     index.replace_files(talk(spark, []), paths(spark, *FILES))
     assert state(index) == {}
