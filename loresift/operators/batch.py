@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loresift.functions import bm25
+from loresift.functions.once import computed_once
 from loresift.functions.paths import all_of
 from loresift.functions.since import since_bound
 from loresift.functions.text import tokens
 from loresift.operators.clauses import ALL, ANY
 from loresift.operators.search import DEFAULT_LIMIT, MAX_LIMIT, present
 from loresift.operators.skew import salted_join
+from loresift.schema import Corpus
 
 #: Largest table, in bytes, that is broadcast; its size is measured first and
 #: beyond it the same join is done by a salted shuffle.
@@ -99,19 +102,70 @@ def _weighted(index, clauses: DataFrame) -> DataFrame:
     return known.withColumn("idf", bm25.idf(F.col("n_docs"), F.col("df"))).drop("n_docs", "df")
 
 
-def _conditions(options: list[str]) -> list[Column]:
+def _conditions(options: list[str], field: Callable[[str], Column] = F.col, option: Callable[[str], Column] = F.col) -> list[Column]:
     """What documents a query's options leave; a null option leaves all."""
 
     def kept(column: str, bound: Column, low: bool) -> Column:
-        return F.coalesce(F.col(column) >= bound if low else F.col(column) <= bound, bound.isNull())
+        return F.coalesce(field(column) >= bound if low else field(column) <= bound, bound.isNull())
 
-    found = [F.col(c).eqNullSafe(F.coalesce(f"q_{c}", c)) for c in options if c in _EQUALITY]
-    found += [kept(_ENDS[c][0], F.col(f"q_{c}"), _ENDS[c][1] == "min") for c in options if c in _ENDS]
+    found = [field(c).eqNullSafe(F.coalesce(option(f"q_{c}"), field(c))) for c in options if c in _EQUALITY]
+    found += [kept(_ENDS[c][0], option(f"q_{c}"), _ENDS[c][1] == "min") for c in options if c in _ENDS]
     if "since" in options:
-        found.append(kept("timestamp", F.col("q_since"), True))
+        found.append(kept("timestamp", option("q_since"), True))
     return found
 
 
+def _phrases_of_documents(
+    rows: DataFrame, terms: DataFrame, weighted: DataFrame, corpus: Corpus, by: list[str], options: list[str], carried: list[str]
+) -> DataFrame:
+    """Phrases with all their terms in a document: ``by``, its keys, ``starts``, ``idf``, ``dl``, ``avg_dl``.
+
+    The postings of a document meet first, in one row, and so are shuffled once
+    and not once a query; clauses are few and are brought to that row.
+    """
+    scope, keys = list(corpus.scope), list(corpus.keys)
+    pieces = F.struct("idf", "offset", "term", "avg_dl", *[f"q_{c}" for c in options])
+    asked = weighted.withColumnsRenamed({f"in_{c}": f"of_{c}" for c in scope})
+    asked = asked.groupBy(*by, "clause_id", *[f"of_{c}" for c in scope]).agg(
+        F.sort_array(F.collect_list(pieces), asc=False).alias("pieces"), F.first("width").alias("width")
+    )
+    of_pieces = F.posexplode(F.transform("pieces", lambda p: p["term"])).alias("nth", "of_term")
+    asked = asked.select("*", (F.size("pieces") > F.col("width")).alias("doubled"), of_pieces)
+    held = rows.join(F.broadcast(terms), "term", "left_semi").groupBy(*keys)
+    held = held.agg(F.collect_list(F.struct("term", "positions", "dl", *dict.fromkeys(carried))).alias("held"))
+    held = held.withColumn("terms", F.array_distinct(F.transform("held", lambda h: h["term"])))
+    # rows that repeat a document's keys, and queries that repeat an id, count together, so one may lack what others have
+    held = held.withColumn("repeated", F.size("held") > F.size("terms")).withColumn("term", F.explode("terms"))
+    same = [F.col(c) == F.col(f"of_{c}") for c in [*scope, "term"]]
+    # a clause is looked at once, by the rarest of its terms that the document has
+    met = held.join(F.broadcast(asked), all_of([*same, (F.col("nth") == 0) | F.col("repeated") | F.col("doubled")]))
+    rarer = F.exists(F.slice("pieces", 1, F.col("nth")), lambda p: F.array_contains("terms", p["term"]))
+    every = F.forall("pieces", lambda p: F.array_contains("terms", p["term"]))
+    met = met.filter(F.when(F.col("repeated") | F.col("doubled"), ~rarer).otherwise(every))
+
+    def matching(piece: Column) -> Column:
+        def kept(row: Column) -> Column:
+            return all_of([row["term"] == piece["term"], *_conditions(options, lambda c: row[c], lambda c: piece[c])])
+
+        def placed(row: Column) -> Column:
+            starts = F.transform(row["positions"], lambda at: at - piece["offset"])
+            return F.struct(starts.alias("starts"), piece["idf"].alias("idf"), row["dl"].alias("dl"), piece["avg_dl"].alias("avg_dl"))
+
+        return F.transform(F.filter("held", kept), placed)
+
+    found = computed_once(
+        met.select(*by, *keys, "clause_id", "pieces", "held", "width"), matched=F.flatten(F.transform("pieces", matching))
+    )
+    found = found.filter(F.size("matched") == F.col("width"))
+    return found.select(
+        *by, *keys, "clause_id",
+        F.aggregate("matched", F.lit(0.0), lambda held, m: held + m["idf"]).alias("idf"),
+        F.col("matched.starts").alias("starts"),
+        F.get("matched", F.lit(0))["dl"].alias("dl"),
+        F.get("matched", F.lit(0))["avg_dl"].alias("avg_dl"),
+    )
+
+
 def batch_search(index, queries: DataFrame, match: str = ANY, now: datetime | None = None) -> DataFrame:
     """Ranked hits per query: ``query_id``, ``rank`` and the hit columns.
 
@@ -172,22 +226,27 @@ def batch_search(index, queries: DataFrame, match: str = ANY, now: datetime | No
     )
     if size["width"] > 1:
         with_positions = rows.select(*base, "positions")
-        parts = meet(with_positions, weighted.filter("width > 1")).withColumn(
-            "starts", F.expr("transform(positions, p -> p - offset)")
-        )
-        # all terms of one clause in one document: at most a query's length
-        phrases = parts.groupBy(*clause_keys).agg(
-            F.sum("idf").alias("idf"),
-            F.collect_list("starts").alias("starts"),
-            F.first("dl").alias("dl"),
-            F.first("avg_dl").alias("avg_dl"),
-            F.first("width").alias("width"),
-        )
-        complete = phrases.filter(F.size("starts") == F.col("width"))
+        if small_clauses:
+            phrased = [asked.filter("width > 1") for asked in (clauses, weighted)]
+            terms = phrased[0].select("term").distinct()
+            complete = _phrases_of_documents(with_positions, terms, phrased[1], corpus, groups, options, filter_columns)
+        else:
+            parts = meet(with_positions, weighted.filter("width > 1")).withColumn(
+                "starts", F.expr("transform(positions, p -> p - offset)")
+            )
+            # all terms of one clause in one document: at most a query's length
+            phrases = parts.groupBy(*clause_keys).agg(
+                F.sum("idf").alias("idf"),
+                F.collect_list("starts").alias("starts"),
+                F.first("dl").alias("dl"),
+                F.first("avg_dl").alias("avg_dl"),
+                F.first("width").alias("width"),
+            )
+            complete = phrases.filter(F.size("starts") == F.col("width"))
         common = F.aggregate(
             F.slice("starts", 2, F.size("starts") - 1), F.get("starts", F.lit(0)), F.array_intersect
         )
-        found = complete.withColumn("tf", F.size(common)).filter("tf > 0")
+        found = computed_once(complete, tf=F.size(common)).filter("tf > 0")
         hits = hits.unionByName(found.select(*hits.columns))
 
     gain = F.col("idf") * bm25.weight(F.col("tf"), F.col("dl"), F.col("avg_dl"))

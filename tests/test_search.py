@@ -224,6 +224,31 @@ def test_batch_equals_single_searches(spark, index, match, small, monkeypatch):
     assert batch_rows(index, queries, match=match) == single_rows(index, match)
 
 
+def test_phrases_are_matched_before_queries_multiply_them(spark, index):
+    """No list of positions is gathered, and so shuffled, once a query and document."""
+    queries = spark.createDataFrame([(n, '"ant bee" elk-fox') for n in range(3)], "query_id int, query string")
+    plan = batch.batch_search(index, queries)._jdf.queryExecution().optimizedPlan().toString()
+    gathered = [line for line in plan.splitlines() if "collect_list(starts" in line or ("Aggregate [query_id" in line and "positions" in line)]
+    assert not gathered
+
+
+def test_phrases_in_rows_that_repeat_keys(spark, monkeypatch):
+    """Rows of the same keys, and queries of the same id, count together by either kind of join."""
+    found = talk(spark, ["ant bee", "ant cat", "bee ant bee", "ant ant", "x"])
+    again = talk(spark, ["ant bee", "ant dog", "cat bee", "ant bee", "ant"])
+    index = DocumentScan(TRANSCRIPTS, found.union(found.limit(1)).union(again.filter("event_index > 0")))
+    rows = [(0, '"ant bee"', None), (1, '"ant ant" "bee ant bee"', None), (2, '"ant bee" cat', 2), (2, '"ant bee"', 2), (None, '"ant cat"', None)]
+    queries = spark.createDataFrame(rows, "query_id int, query string, event_index_min long").withColumn("limit", F.lit(100))
+
+    def hits():
+        rows = batch.batch_search(index, queries).select("query_id", "rank", "event_index", "score").distinct().collect()
+        return sorted(tuple(-1 if v is None else v for v in r) for r in rows)
+
+    small = hits()
+    monkeypatch.setattr(batch, "BROADCAST_BYTES", 0)
+    assert small == hits() and small
+
+
 def test_batch_of_phrases_groups_and_modes(spark, index):
     rows = [
         (0, 'elk "ant bee"', None, None),
