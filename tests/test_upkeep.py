@@ -359,6 +359,25 @@ def test_few_slots_of_one_task_are_written_as_several_files(spark):
     assert hits[0] == hits[1] and hits[0]
 
 
+def test_rows_of_terms_are_sorted_in_partitions_of_bounded_size(spark, monkeypatch):
+    """Whatever size the planner aims at elsewhere, which stays as it is set."""
+    monkeypatch.setattr("loresift.plans.store.SORTED_BYTES", 2048, raising=False)
+    name, least = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    texts = [" ".join(f"w{(7 * i + j) % 400}" for j in range(60)) for i in range(40)]
+    spark.conf.set(least, "1k")
+    try:
+        for aimed in (None, "64MB", "1g"):
+            if aimed:
+                spark.conf.set(name, aimed)
+            index = StoredIndex.create(talk(spark, texts, path=FILES[0]), TRANSCRIPTS, scratch_path(spark, "sorted"), 1, 1)
+            assert len(index._read("postings", index.parts()).inputFiles()) > 1
+            assert spark.conf.get(name, None) == aimed
+    finally:
+        spark.conf.unset(least)
+        spark.conf.unset(name)
+    assert len(state(index)) == len(texts)
+
+
 def test_postings_of_many_portions_equal_those_of_one(spark, monkeypatch):
     rows = [(["ant", "bee", "ant"], 3, 1), (None, None, 2), ([], 0, 3), (["cat"] * 5 + ["ant"], 6, 4)]
     schema = pa.schema([("tokens", pa.list_(pa.string())), ("dl", pa.int32()), ("key", pa.int64())])
