@@ -16,6 +16,8 @@ BLANK = r"\x20\x09-\x0D"
 
 #: Tasks work through an Arrow batch in slices of about this many bytes of text.
 SLICE_BYTES = 8 << 20
+#: Bytes of an Arrow batch in the pipeline's stages, whose executors hold one stage's workers beside the next one's shuffles.
+PIPED_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,14 +35,19 @@ def settle(rows: DataFrame, label: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def small_batches(rows: DataFrame) -> None:
+def small_batches(rows: DataFrame, limit: int = SLICE_BYTES) -> None:
     """Let Arrow batches hold few bytes, as single texts may be long; a limit that the application has set stays.
 
     The setting stays with the session: plans are run after the operator has returned.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not rows.sparkSession.sparkContext.getConf().contains(name):
-        rows.sparkSession.conf.set(name, str(SLICE_BYTES))
+        rows.sparkSession.conf.set(name, str(limit))
+
+
+def give_back() -> None:
+    """Give back what Arrow holds unused: a worker waits for its next task beside the executor's other work."""
+    pa.default_memory_pool().release_unused()
 
 
 def filled(text: Column) -> Column:
@@ -60,3 +67,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             size += length
         if start < batch.num_rows:
             yield batch.slice(start)
+    give_back()

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loresift.llm.common import filled, settle, slices, small_batches
+from loresift.llm.common import PIPED_BYTES, filled, give_back, settle, slices, small_batches
 from loresift.llm.graph import components
 from loresift.llm.shingles import mix, shingle_sets, similarity_sketch
 
@@ -113,6 +113,7 @@ def _comparer(similarity: int) -> Callable:
                     a.append(node)
                     b.append(pivot)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        give_back()
 
     return run
 
@@ -158,6 +159,7 @@ def _block_comparer(similarity: int) -> Callable:
                         by_band.setdefault(band, []).append(len(own))
                     own.append((row["node"], row["component"], values))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        give_back()
 
     return run
 
@@ -205,7 +207,7 @@ def near_duplicates(
 
     ``similarity`` is the least Jaccard similarity of a link, in percent.
     """
-    small_batches(docs)
+    small_batches(docs, PIPED_BYTES)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(F.col("text")).alias("text"))
     sketches = settle(texts.mapInArrow(_sketcher(width, bands, rows), _SKETCHED), "sketches")
     classes = settle(

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loresift.llm.common import filled, slices, small_batches
+from loresift.llm.common import PIPED_BYTES, filled, slices, small_batches
 from loresift.llm.encoding import encoder
 from loresift.llm.shingles import mix
 
@@ -171,7 +171,7 @@ def pack(
     ``ids`` are little-endian unsigned 32-bit numbers, null unless ``keep_ids``.
     ``chunks`` says where the tokenizer allows a text to be cut (see ``encoding``).
     """
-    small_batches(docs)
+    small_batches(docs, PIPED_BYTES)
     size_of = docs.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).head()
     groups = max(1, math.ceil(size_of.docs / group_docs), math.ceil(size_of.bytes / GROUP_BYTES))
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(F.col("text")).alias("text")).mapInArrow(

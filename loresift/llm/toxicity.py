@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loresift.llm.common import filled, settle, slices, small_batches
+from loresift.llm.common import PIPED_BYTES, filled, settle, slices, small_batches
 from loresift.llm.shingles import shingle_sets
 
 TRAIN_ROWS = 200_000
@@ -276,7 +276,7 @@ def _logistic(rows: list) -> tuple[float, float]:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, n_words, the significant passages as spans of words, and a text's digest."""
-    small_batches(docs)
+    small_batches(docs, PIPED_BYTES)
     text = filled(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("digest"))
     fitted = fit_words(rows.drop("digest"), labels)

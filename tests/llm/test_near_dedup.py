@@ -118,3 +118,17 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_workers_give_back_what_they_hold_unused(monkeypatch):
+    """An idle worker counts beside the executor's other work, so each task ends by giving memory back."""
+    from loresift.llm import common, near_dedup
+
+    ended = []
+    for module in (common, near_dedup):
+        monkeypatch.setattr(module, "give_back", lambda: ended.append(1))
+    texts = pa.record_batch([pa.array([1, 2]), pa.array(["a b c", ""])], names=["doc_id", "text"])
+    for task in (near_dedup._sketcher(2, 4, 2), near_dedup._comparer(80), near_dedup._block_comparer(80)):
+        before = len(ended)
+        list(task(iter([texts] if task.__qualname__.startswith("_sketcher") else [])))
+        assert len(ended) == before + 1
