@@ -392,3 +392,20 @@ def test_postings_of_many_portions_equal_those_of_one(spark, monkeypatch):
     monkeypatch.setattr(postings, "TOKENS", 1)
     monkeypatch.setattr(postings, "ROWS", 1)
     assert found() == whole
+
+
+ODD_TEXTS = ["", None, "--", " ant  bee ", "É_é É", "İstanbul ΟΔΟΣ οδός ß", "a1 ½ 二三 x²", "😀ant😀", "\tant\x00bee\n", "᾿Α ﬁ Ǆ"]
+
+
+def test_words_reach_the_workers_as_one_string_and_stay_the_same(spark):
+    """The tokens of odd texts in order, by the rows that are made of them; no list of them is handed over."""
+    rows = [(number, text) for number, text in enumerate(ODD_TEXTS)]
+    documents = talk(spark, ["x"]).drop("event_index", "text").crossJoin(spark.createDataFrame(rows, "event_index long, text string"))
+    made = postings.postings(documents, TRANSCRIPTS)
+    assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()
+    wanted = {r["event_index"]: r["tokens"] or [] for r in postings.tokenized(documents, TRANSCRIPTS).collect()}
+    found = {number: {} for number in wanted}
+    for row in made.collect():
+        assert (row["tf"], row["dl"]) == (len(row["positions"]), len(wanted[row["event_index"]]))
+        found[row["event_index"]] |= dict.fromkeys(row["positions"], row["term"])
+    assert {number: [term for _, term in sorted(places.items())] for number, places in found.items()} == wanted
