@@ -409,3 +409,32 @@ def test_words_reach_the_workers_as_one_string_and_stay_the_same(spark):
         assert (row["tf"], row["dl"]) == (len(row["positions"]), len(wanted[row["event_index"]]))
         found[row["event_index"]] |= dict.fromkeys(row["positions"], row["term"])
     assert {number: [term for _, term in sorted(places.items())] for number, places in found.items()} == wanted
+
+
+def test_what_a_replacement_hides_is_found_once(spark, index, tmp_path, monkeypatch):
+    """The changed files are asked for once, and only terms are made of the rows they hide."""
+    asked = str(tmp_path)
+
+    def noting(batches):
+        for number, batch in enumerate(batches):
+            (Path(asked) / f"{number}-{time.time_ns()}").touch()
+            yield batch
+
+    made, carried = postings.postings, []
+
+    def watching(documents, corpus, *rest):
+        carried.append(corpus.filterable)
+        return made(documents, corpus, *rest)
+
+    monkeypatch.setattr(postings, "postings", watching)
+    changed = paths(spark, *FILES[:2]).coalesce(1).mapInArrow(noting, "file_path string")
+    before = {k: v for k, v in state_of_texts(index).items() if k[0] not in FILES[:2]}
+    index.replace_files(talk(spark, ["dog"], path=FILES[0]), changed)
+    assert len(list(tmp_path.iterdir())) == 1
+    assert carried == [TRANSCRIPTS.filterable, ()]
+    monkeypatch.setattr(postings, "postings", made)
+    assert state(index) == {**before, (FILES[0], 0): "dog"}
+
+
+def state_of_texts(index):
+    return {(r["file_path"], r["event_index"]): r["text"] for r in index.documents().collect()}
