@@ -14,8 +14,9 @@ from loresift.sources.tree import GONE, _open, list_tree, reading_tasks, with_si
 BLOCK_BYTES = 64 * 1024 * 1024
 
 SUFFIX = ".jsonl"
-#: Bytes read at a time, and lines handed on at a time.
+#: Bytes read at a time; lines of many files are handed on at a time, by their bytes and number.
 _READ_BYTES = 4 * 1024 * 1024
+_READ_LINES = 1 << 16
 _LINES = "file_path string, event_index bigint, line string"
 
 
@@ -65,6 +66,7 @@ def _read_blocks(blocks: DataFrame, root: str, block_bytes: int, counted: bool)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, _ = _open(root)
+        paths, nth, texts, held = [], [], [], 0
         for batch in batches:
             for path, file_path, block, before in zip(*(batch.column(c).to_pylist() for c in names)):
                 stream = _opened(filesystem, path)
@@ -72,27 +74,27 @@ def _read_blocks(blocks: DataFrame, root: str, block_bytes: int, counted: bool)
                     if counted:
                         raise FileNotFoundError(f"{path} went away while it was read")
                     continue
-                nth, texts, held = [], [], 0
                 with stream:
                     for number, line in enumerate(_block_lines(stream, block * block_bytes, (block + 1) * block_bytes)):
                         text = _usable(line)
                         if text is None:
                             continue
+                        paths.append(file_path)
                         nth.append(before + number)
                         texts.append(text)
                         held += len(line)
-                        if held >= _READ_BYTES:
-                            yield _line_batch(file_path, nth, texts)
-                            nth, texts, held = [], [], 0
-                if nth:
-                    yield _line_batch(file_path, nth, texts)
+                        if held >= _READ_BYTES or len(nth) >= _READ_LINES:
+                            yield _line_batch(paths, nth, texts)
+                            paths, nth, texts, held = [], [], [], 0
+        if nth:
+            yield _line_batch(paths, nth, texts)
 
     names = ["path", "file_path", "block", "lines_before"]
     return blocks.select(*names).mapInArrow(read, _LINES)
 
 
-def _line_batch(file_path: str, nth: list[int], texts: list[str]) -> pa.RecordBatch:
-    columns = [pa.array([file_path] * len(nth), pa.string()), pa.array(nth, pa.int64()), pa.array(texts, pa.string())]
+def _line_batch(paths: list[str], nth: list[int], texts: list[str]) -> pa.RecordBatch:
+    columns = [pa.array(paths, pa.string()), pa.array(nth, pa.int64()), pa.array(texts, pa.string())]
     return pa.record_batch(columns, names=["file_path", "event_index", "line"])
 
 

@@ -19,6 +19,7 @@ from loresift.plans.scan import DocumentScan
 from loresift.plans.store import StoredIndex
 from loresift.schema import TRANSCRIPTS
 from loresift.session import scratch_path
+from loresift.sources import jsonl
 from loresift.sources.jsonl import list_transcripts
 from loresift.streaming.follow import follow_files, follow_versions, quiet_files, transcript_changes
 from tests.helpers import talk
@@ -438,3 +439,28 @@ def test_what_a_replacement_hides_is_found_once(spark, index, tmp_path, monkeypa
 
 def state_of_texts(index):
     return {(r["file_path"], r["event_index"]): r["text"] for r in index.documents().collect()}
+
+
+def test_lines_of_many_files_are_handed_on_together(tmp_path, monkeypatch):
+    class Blocks:
+        """What the reading tasks run, caught."""
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, function, schema):
+            return function
+
+    names = ["path", "file_path", "block", "lines_before"]
+    for number in range(5):
+        (tmp_path / f"{number}.jsonl").write_text("" if number == 3 else f"a{number}\n\nb{number}\n")
+    files = [str(tmp_path / f"{number}.jsonl") for number in range(6)]  # the last is not there
+    blocks = [pa.table([some, some, [0] * 3, [0] * 3], names=names).to_batches()[0] for some in (files[:3], files[3:])]
+    read = jsonl._read_blocks(Blocks(), str(tmp_path), jsonl.BLOCK_BYTES, False)
+    wanted = [(files[n], at, f"{letter}{n}") for n in (0, 1, 2, 4) for at, letter in ((0, "a"), (2, "b"))]
+    for lines, size, batches in ((1 << 16, 1 << 22, 1), (3, 1 << 22, 3), (1 << 16, 4, 4)):
+        monkeypatch.setattr(jsonl, "_READ_LINES", lines, raising=False)
+        monkeypatch.setattr(jsonl, "_READ_BYTES", size)
+        found = list(read(iter(blocks)))
+        assert len(found) == batches
+        assert [tuple(row.values()) for batch in found for row in batch.to_pylist()] == wanted
