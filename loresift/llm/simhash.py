@@ -202,6 +202,21 @@ def _block_links(distance: int) -> Callable:
     return run
 
 
+def _pivot_links(nodes: DataFrame, distance: int, parts: int) -> DataFrame:
+    """Links of nodes with the least node at home at one of their anchors.
+
+    The planner takes rows of anchors for as few as the nodes, of which they are
+    dozens a node, and would broadcast them: the join is told to shuffle.
+    """
+    alone = nodes.select("node", F.col("node").alias("component"))
+    pivots = _anchored(alone, distance, parts, homes_only=True).groupBy("key").agg(F.min("node").alias("pivot"))
+    return (
+        _anchored(alone, distance, parts).hint("merge").join(pivots.hint("merge"), "key")
+        .where(F.expr(f"node <> pivot AND bit_count(node ^ pivot) <= {int(distance)}"))
+        .select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    )
+
+
 def _found_in_blocks(nodes: DataFrame, distance: int, parts: int, block: int) -> DataFrame:
     """A spanning forest of the links between different components of ``nodes`` (node, component)."""
     rows = _anchored(nodes, distance, parts)
@@ -248,14 +263,7 @@ def near_duplicates(
     made = settle(texts.mapInArrow(_fingerprints(width, seed), "doc_id long, node long"), "fingerprints")
     nodes = settle(made.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
 
-    alone = nodes.select("node", F.col("node").alias("component"))
-    pivots = _anchored(alone, distance, parts, homes_only=True).groupBy("key").agg(F.min("node").alias("pivot"))
-    links = settle(
-        _anchored(alone, distance, parts).join(pivots, "key")
-        .where(F.expr(f"node <> pivot AND bit_count(node ^ pivot) <= {int(distance)}"))
-        .select(F.col("node").alias("a"), F.col("pivot").alias("b")),
-        "links",
-    )
+    links = settle(_pivot_links(nodes, distance, parts), "links")
     found = components(links)
     merged = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     links = links.union(_found_in_blocks(settle(merged, "merged"), distance, parts, block))

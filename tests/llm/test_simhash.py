@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from loresift.llm import simhash
 from loresift.llm.anchors import anchor_rows, cover
@@ -124,3 +125,11 @@ def test_odd_rows(spark, docs, odd):
     assert simhash.near_duplicates(odd.where("false")).collect() == []
     nameless = simhash.near_duplicates(docs((None, "nobody has a name here"))).collect()
     assert [r.component_id for r in nameless] == [None]
+
+
+def test_rows_of_anchors_are_not_broadcast(spark):
+    # few bytes by the planner's guess, dozens of rows a node in truth
+    nodes = spark.range(100).select(F.xxhash64("id").alias("node"))
+    plan = simhash._pivot_links(nodes, 4, simhash.PARTS)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert "Broadcast" not in plan
