@@ -16,9 +16,9 @@ from loresift.operators.changes import detect_changes
 from loresift.operators.search import search
 from loresift.operators.transcripts import load_transcripts
 from loresift.plans.scan import DocumentScan
-from loresift.plans.store import StoredIndex
+from loresift.plans.store import StoredIndex, path_bucket
 from loresift.schema import TRANSCRIPTS
-from loresift.session import scratch_path
+from loresift.session import scratch_path, settled, shared_folder
 from loresift.sources import jsonl
 from loresift.sources.jsonl import list_transcripts
 from loresift.streaming.follow import follow_files, follow_versions, quiet_files, transcript_changes
@@ -91,6 +91,54 @@ def test_postings_of_a_part_are_made_by_tasks_of_bounded_size(spark, monkeypatch
     assert state(index) == {(FILES[0], 0): "dog"}
 
 
+def _shuffled(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (files.apply(i).getName() for i in range(files.size()))
+    return {name for name in names if name.startswith("shuffle_") and name.endswith(".data")}
+
+
+def test_postings_are_shuffled_a_portion_of_the_files_at_a_time(spark, monkeypatch):
+    documents = reduce(DataFrame.union, [talk(spark, [f"ant w{k} x{k}" * 3 for k in range(9)], path=p) for p in FILES])
+    whole = StoredIndex.create(documents, TRANSCRIPTS, scratch_path(spark, "whole"), 8, 2)
+    made, portions = postings.postings, []
+
+    def noting(documents, *rest):
+        portions.append(documents.count())
+        return made(documents, *rest)
+
+    monkeypatch.setattr(postings, "postings", noting)
+    monkeypatch.setattr("loresift.plans.store.PORTION_BYTES", 1)
+    parted = StoredIndex.create(documents, TRANSCRIPTS, scratch_path(spark, "parted"), 8, 2)
+    folders = documents.select(path_bucket(F.col("file_path"), 8)).distinct().count()
+    assert len(portions) >= folders > 1 and sum(portions) == 9 * len(FILES)
+    for index in (whole, parted):
+        index.replace_files(talk(spark, ["dog w1"], path=FILES[0]), paths(spark, *FILES[:2]))
+    columns = ["file_path", "event_index", "term", "tf", "positions", "dl"]
+    for rows in (lambda i: i.postings().select(*columns), lambda i: i.dictionary(), lambda i: i.stats()):
+        assert sorted(rows(parted).collect()) == sorted(rows(whole).collect())
+    assert state(parted) == state(whole)
+    for term in ("ant", "w1", "dog"):
+        assert sorted(search(parted, term).collect()) == sorted(search(whole, term).collect())
+
+
+def test_a_write_keeps_nothing_that_it_shuffled(spark):
+    before = _shuffled(spark)
+    written = settled(spark.range(1000).repartition(3, "id"), "written")
+    until = time.time() + 20
+    while (left := _shuffled(spark) - before) and time.time() < until:  # they go in the background
+        time.sleep(0.1)
+    assert not left and written.count() == 1000
+
+
+def test_a_replacement_leaves_no_rows_in_the_shared_folder(spark, index):
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    index.replace_files(talk(spark, ["dog"], path=FILES[0]), paths(spark, *FILES[:2]))
+    left = {p.name.rpartition("-")[0]: spark.read.parquet(str(p)).columns for p in set(folder.iterdir()) - before}
+    assert left.keys() >= {"changed", "hidden", "hidden-terms"}
+    assert all(columns == ["nothing"] for columns in left.values())
+
+
 def test_replacing_everything_by_nothing(spark, index):
     index.replace_files(talk(spark, []), paths(spark, *FILES))
     assert state(index) == {}
