@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from loresift.operators.transcripts import extract_documents
 from loresift.plans.refresh import refresh
 from loresift.plans.store import StoredIndex
+from loresift.session import let_go, settled
 from loresift.sources.jsonl import read_lines_of, split_lines
 
 # Change kinds that matter, and how long a file must be quiet.
@@ -90,10 +91,11 @@ def apply_versions(index: StoredIndex, versions: DataFrame) -> None:
     )
     applied = index.applied_versions().select("file_path", F.col("ts").alias("applied"))
     latest = latest.join(applied, "file_path", "left").filter(F.col("applied").isNull() | (F.col("ts") >= F.col("applied")))
-    latest = latest.drop("applied").persist()
+    # whole transcripts, which a cache would hold unpacked
+    latest = settled(latest.drop("applied"), "latest")
     live = latest.filter(F.col("last.kind") != "remove").select("file_path", F.col("last.content").alias("value"))
     index.replace_files(extract_documents(split_lines(live)), latest.select("file_path", "ts"))
-    latest.unpersist()
+    let_go(latest)
 
 
 def reindex_paths(index: StoredIndex, due: DataFrame, root: str) -> None:
@@ -118,7 +120,7 @@ def _each_batch(job: Callable[[DataFrame], None]) -> Callable[[DataFrame, int],
 def follow_versions(index: StoredIndex, changes: DataFrame) -> DataStreamWriter:
     """Stream of file versions into the index, one replacement per micro-batch."""
     wanted = transcript_changes(changes)
-    return wanted.writeStream.foreachBatch(_each_batch(lambda batch: apply_versions(index, batch)))
+    return wanted.writeStream.foreachBatch(lambda batch, _: apply_versions(index, batch))  # which reads the batch once
 
 
 def follow_folder(index: StoredIndex, root: str) -> DataStreamWriter:

@@ -21,7 +21,7 @@ from loresift.schema import TRANSCRIPTS
 from loresift.session import scratch_path, settled, shared_folder
 from loresift.sources import jsonl
 from loresift.sources.jsonl import list_transcripts
-from loresift.streaming.follow import follow_files, follow_versions, quiet_files, transcript_changes
+from loresift.streaming.follow import apply_versions, follow_files, follow_versions, quiet_files, transcript_changes
 from tests.helpers import talk
 
 FILES = [f"/t/-p/{i}.jsonl" for i in range(6)]
@@ -139,6 +139,22 @@ def test_a_replacement_leaves_no_rows_in_the_shared_folder(spark, index):
     assert all(columns == ["nothing"] for columns in left.values())
 
 
+def test_versions_are_kept_in_files_not_in_a_cache(spark, index, monkeypatch):
+    line = json.dumps({"type": "user", "message": {"content": "dog"}})
+    rows = [(FILES[0], "modify", datetime(2024, 1, 2), line), (FILES[0], "create", datetime(2024, 1, 1), "{}")]
+    versions = spark.createDataFrame(rows, "file_path string, kind string, ts timestamp, content string")
+    replace_files, plans = StoredIndex.replace_files, []
+
+    def noting(self, documents, changed, *rest):
+        plans.extend(rows._jdf.queryExecution().withCachedData().toString() for rows in (documents, changed))
+        return replace_files(self, documents, changed, *rest)
+
+    monkeypatch.setattr(StoredIndex, "replace_files", noting)
+    apply_versions(index, versions)
+    assert len(plans) == 2 and not any("InMemoryRelation" in plan for plan in plans)
+    assert state(index)[(FILES[0], 0)] == "dog"
+
+
 def test_replacing_everything_by_nothing(spark, index):
     index.replace_files(talk(spark, []), paths(spark, *FILES))
     assert state(index) == {}
